@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quernflow.llm import linededup, warc
+from quernflow.llm import linededup, simhash, warc
 
 QUERIES = {
+    "op3_simhash": simhash.op3_simhash,
     "op4_warc": warc.op4_warc,
     "op5_line_dedup": linededup.op5_line_dedup,
 }
