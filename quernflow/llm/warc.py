@@ -146,7 +146,8 @@ def read_records(index: DataFrame, target: str, payload: bool = True, gap: int =
         if source is not None:
             source.close()
 
-    ranges = index.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / (1 << 25)))
+    tasks = -(-(index.agg(F.sum("length")).first()[0] or 1) // most)
+    ranges = index.select("file", "offset", "length").repartition(tasks, "file", F.floor(F.col("offset") / (4 * most)))
     return ranges.sortWithinPartitions("file", "offset").mapInPandas(read, schema)
 
 
