@@ -70,3 +70,18 @@ def held_out(doc_id: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def partition_sum(df: DataFrame, task, length: int):
+    """Sum over all partitions of ``task(batches)``, a vector of ``length`` doubles.
+
+    The partial vectors meet in a tree of tasks; the driver gets a few of them.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([np.asarray(task(batches), np.float64).tobytes()], pa.binary())], ["part"])
+
+    parts = df.mapInArrow(run, "part binary").rdd.map(lambda row: np.frombuffer(row[0], np.float64))
+    return parts.treeAggregate(np.zeros(length), lambda a, b: a + b, lambda a, b: a + b, depth=2)

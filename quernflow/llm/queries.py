@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernflow.llm import ann, linededup, packing, simhash, warc
+from quernflow.llm import ann, linededup, packing, quality, simhash, warc
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_warc": warc.op4_warc,
     "op5_line_dedup": linededup.op5_line_dedup,
     "op8_ann": ann.op8_ann,
+    "op9_quality": quality.op9_quality,
 }
 
 ORACLES = {
