@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quernflow.llm import ann, linededup, packing, quality, simhash, warc
+from quernflow.llm import ann, langid, linededup, packing, quality, simhash, warc
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op3_simhash": simhash.op3_simhash,
     "op4_warc": warc.op4_warc,
     "op5_line_dedup": linededup.op5_line_dedup,
+    "op7_langid": langid.op7_langid,
     "op8_ann": ann.op8_ann,
     "op9_quality": quality.op9_quality,
 }
