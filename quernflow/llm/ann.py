@@ -111,24 +111,24 @@ def _search_task(ids: np.ndarray, queries: np.ndarray, mean: np.ndarray, dim: in
         flat = unit(queries)
         centred = flat - mean
         turned = (centred @ rotation(dim, seed)).astype(np.float32)
-        reach = np.sqrt((centred * centred).sum(axis=1))
-        offset = flat @ mean
+        reach = np.sqrt((centred * centred).sum(axis=1)).astype(np.float32)
+        offset = (flat @ mean).astype(np.float32)
         best = Best(len(ids), k)
         for batch in batches:
             if not batch.num_rows:
                 continue
             v, vec = _matrix(batch.column(1), dim), batch.column(0).to_numpy()
-            norm, fit = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            norm, fit = (batch.column(i).to_numpy().astype(np.float32) for i in (3, 4))
             bits = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(vec), -1)
             signs = np.unpackbits(bits, axis=1, count=dim).astype(np.float32) * 2 - 1
-            along = unit(v) @ mean - mean @ mean  # <vector - mean, mean>
-            spread = np.sqrt(np.maximum(0, 1 - fit * fit)) / fit / np.sqrt(max(1, dim - 1))
+            along = (unit(v) @ mean - mean @ mean).astype(np.float32)  # <vector - mean, mean>
+            spread = epsilon * norm * np.sqrt(np.maximum(0, 1 - fit * fit)) / fit / np.float32(np.sqrt(max(1, dim - 1)))
             for s in range(0, len(vec), 1024):
                 part = slice(s, s + 1024)
                 # <q, x> = <q - m, x - m> + <m, x - m> + <q, m>
-                code = signs[part] @ turned.T / np.sqrt(dim) / fit[part, None]
-                guess = norm[part, None] * code + along[part, None] + offset[None, :]
-                slack = epsilon * norm[part, None] * spread[part, None] * reach[None, :] + 1e-5
+                code = (signs[part] * (norm[part] / fit[part] / np.float32(np.sqrt(dim)))[:, None]) @ turned.T
+                guess = code + along[part, None] + offset[None, :]
+                slack = spread[part, None] * reach[None, :] + np.float32(1e-5)
                 bar = best.bar()
                 if np.isinf(bar).any():  # lower bounds of this part give a first bar
                     own = np.where(vec[part, None] == ids[None, :], -np.inf, guess - slack)
@@ -144,7 +144,7 @@ def _search_task(ids: np.ndarray, queries: np.ndarray, mean: np.ndarray, dim: in
     return run
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, epsilon: float = 4.0, seed: int = 20240501, block: int = 8192) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, epsilon: float = 1.9, seed: int = 20240501, block: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest of each row whose id ``every`` divides."""
     spark = vectors.sparkSession
     rows = usable(vectors)
