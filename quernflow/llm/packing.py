@@ -14,7 +14,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,7 +28,9 @@ from quernflow.llm.common import materialise
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Remembered chunks, and the longest chunk worth remembering.
-CACHE, CHUNK = 300_000, 48
+CACHE, CHUNK = 600_000, 48
+#: Punctuation that never joins the word before it (an apostrophe may), and the separator.
+MARKS, STOP = b".,!?;:#$%&*|", "\x01"
 
 
 class ChunkEncoder:
@@ -36,33 +38,71 @@ class ChunkEncoder:
 
     White space separates tokens in this vocabulary, so a text's ids are its chunks' ids
     in order, and chunks that come again are encoded once. Only ASCII white space is cut at:
-    what it separates is not changed by the tokenizer's normal form.
+    what it separates is not changed by the tokenizer's normal form. An ASCII word in front of
+    punctuation is a token run of its own, so words are also remembered without it. The rest
+    goes to the tokenizer in one text, with a control character between the chunks.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
-
-    def _encode(self, chunks: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([c.decode() for c in chunks], add_special_tokens=False)
-        return [struct.pack(f"<{len(x.ids)}I", *x.ids) for x in found]
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        self.parts: dict[bytes, bytes] = {}
+        self.stop = self._ids(STOP)[0]
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _together(self, chunks: list[bytes]) -> Iterator[bytes]:
+        ids = np.array(self._ids(f" {STOP} ".join(c.decode() for c in chunks)), "<u4")
+        ends = np.append(np.flatnonzero(ids == self.stop), len(ids))
+        data, start = ids.tobytes(), 0
+        for end in ends.tolist():
+            yield data[4 * start : 4 * end]
+            start = end + 1
+
+    def _word(self, word: bytes) -> bytes:
+        """Ids of lower-case ASCII letters."""
+        if word not in self.parts:
+            found = [x.id for x in self.tokenizer.model.tokenize(word.decode())]
+            self.parts[word] = struct.pack(f"<{len(found)}I", *found)
+        return self.parts[word]
+
+    def _mark(self, marks: bytes) -> bytes:
+        if marks not in self.parts:
+            found = self._ids(marks.decode())
+            self.parts[marks] = struct.pack(f"<{len(found)}I", *found)
+        return self.parts[marks]
+
+    def _learn(self, chunks: Iterable[bytes]) -> None:
+        rest = []
+        for c in chunks:
+            word = c.rstrip(MARKS)
+            if word.isalpha() and len(c) <= CHUNK:
+                tail = c[len(word) :]
+                self.known[c] = self._word(word.lower()) + (self._mark(tail) if tail else b"")
+            elif STOP.encode() in c:
+                found = self._ids(c.decode())
+                self.known[c] = struct.pack(f"<{len(found)}I", *found)
+            else:
+                rest.append(c)
+        if rest:
+            self.known.update(zip(rest, self._together(rest), strict=True))
+
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         for text in texts:
             chunks = text.encode().split()
-            known = self.known
-            new = [c for c in set(chunks) if c not in known]
+            new = set(chunks).difference(self.known)
             if new:
-                if len(known) > CACHE:
-                    known.clear()
-                    new = list(set(chunks))
-                known.update(zip(new, self._encode(new), strict=True))
-            yield b"".join(map(known.__getitem__, chunks))
-            if new and len(max(new, key=len)) > CHUNK:
-                for c in new:
-                    if len(c) > CHUNK:
-                        del known[c]
+                if len(self.known) > CACHE:
+                    self.known.clear()
+                    self.parts.clear()
+                    new = set(chunks)
+                self._learn(new)
+            yield b"".join(map(self.known.__getitem__, chunks))
+            for c in new:
+                if len(c) > CHUNK:
+                    del self.known[c]
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int) -> DataFrame:
