@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernflow.llm import ann, langid, licenses, linededup, packing, quality, simhash, tokencount, warc
+from quernflow.llm import ann, contamination, langid, licenses, linededup, packing, quality, simhash, tokencount, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_langid": langid.op7_langid,
     "op8_ann": ann.op8_ann,
     "op9_quality": quality.op9_quality,
+    "op10_decontamination": contamination.op10_decontamination,
 }
 
 ORACLES = {
