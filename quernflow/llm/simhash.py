@@ -45,23 +45,31 @@ def shingles(text: str | None, size: int) -> list[bytes]:
     return [joined[a : b - 1] for a, b in zip([0, *ends[: len(words) - size]], ends[size - 1 :], strict=True)]
 
 
-def majority(hashes: np.ndarray) -> int:
-    """The 64 bits that are set in over half of the hashes."""
-    total = np.zeros(64, np.int64)
+def digests(parts: list[bytes], words: int) -> np.ndarray:
+    """Hash bytes, a row a shingle: XXH64 for one word, else XXH3 with 128 bits a seed."""
+    if words == 1:
+        digest = xxhash.xxh64_digest
+        data = b"".join([digest(x, SEED) for x in parts])
+    else:
+        digest = xxhash.xxh3_128_digest
+        data = b"".join([digest(x, seed) for x in parts for seed in range(SEED, SEED + words // 2)])
+    return np.frombuffer(data, np.uint8).reshape(len(parts), 8 * words)
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """The bits that are set in over half of the hashes, as big-endian 64-bit words."""
+    total = np.zeros(8 * hashes.shape[1], np.int64)
     for s in range(0, len(hashes), SLICE):
-        part = hashes[s : s + SLICE].astype(">u8").view(np.uint8).reshape(-1, 8)
-        bits = np.unpackbits(part, axis=1).view(np.uint64)  # 64 byte-wide counters a row, added as 8 lanes
+        bits = np.unpackbits(hashes[s : s + SLICE], axis=1).view(np.uint64)  # byte-wide counters, added eight at a time
         for k in range(0, len(bits), 255):
             total += bits[k : k + 255].sum(axis=0).view(np.uint8)
-    return int.from_bytes(np.packbits(total * 2 > len(hashes)).tobytes(), "big")
+    return np.packbits(total * 2 > len(hashes)).view(">u8")
 
 
-def fingerprint(text: str | None, size: int, words: int = 1) -> list[int]:
+def fingerprint(text: str | None, size: int, words: int = 1) -> np.ndarray:
+    """``words``: one, or an even number."""
     parts = shingles(text, size)
-    if not parts:
-        return [0] * words
-    digest = xxhash.xxh64_intdigest
-    return [majority(np.array([digest(x, SEED + w) for x in parts], np.uint64)) for w in range(words)]
+    return majority(digests(parts, words)) if parts else np.zeros(words, ">u8")
 
 
 def fingerprints(docs: DataFrame, size: int = 3, words: int = 1) -> DataFrame:
@@ -77,14 +85,12 @@ def fingerprints(docs: DataFrame, size: int = 3, words: int = 1) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
-def band_layout(words: int, bands: int) -> list[tuple[int, int, int]]:
-    """(word, rotation, width) of disjoint bands that cover the code, if one word: else 5 of 12 bits a word."""
+def band_layout(words: int, bands: int, width: int = 12) -> list[tuple[int, int, int]]:
+    """(word, rotation, width) of disjoint bands: they cover a single word, else have ``width`` bits."""
     if words == 1:
         edges = [round(64 * i / bands) for i in range(bands + 1)]
         return [(0, a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
-    per_word = -(-bands // words)
-    width = 64 // per_word
-    return [(w, i * width, width) for w in range(words) for i in range(per_word)][:bands]
+    return [(i % words, i // words * width, width) for i in range(bands)]
 
 
 def _join_task(words: int, layout: list[tuple[int, int, int]], budget: int):
@@ -161,6 +167,19 @@ def near_duplicates(docs: DataFrame, size: int = 3, words: int = 1, bands: int =
     return marks.join(named, names, "left").select("doc_id", *names, "component_id")
 
 
+def one_of_each(docs: DataFrame, size: int = 5, words: int = 8, bands: int = 24, budget: int = 90) -> DataFrame:
+    """The document with the smallest id of each near-duplicate group, all columns kept.
+
+    512 bits over five-word shingles: at a similarity of 0.8 about 78 bits differ, at 0.7
+    about 99, with a deviation of 8. At 0.8 some of the 24 bands of 12 bits agrees in 97 of
+    100 pairs. Rows without ``doc_id`` stay.
+    """
+    groups = near_duplicates(docs.select("doc_id", "text"), size, words, bands, budget)
+    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id IS NULL"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = near_duplicates(docs)
