@@ -63,7 +63,10 @@ def texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.R
 
 
 def word_weights(docs: DataFrame, vocabulary: dict[str, int]) -> np.ndarray:
-    """Smoothed inverse document frequency by word id, over all non-empty blocks of all texts."""
+    """Inverse document frequency by word id, over all non-empty blocks of all texts.
+
+    Words that most blocks have weigh next to nothing, so they alone bring no passage near an item.
+    """
     size = len(vocabulary) + 1
 
     def count(batches):
@@ -77,7 +80,7 @@ def word_weights(docs: DataFrame, vocabulary: dict[str, int]) -> np.ndarray:
         return total
 
     total = partition_sum(docs.select("text"), count, size + 1)
-    weight = np.log((1 + total[size]) / (1 + total[:size])) + 1
+    weight = np.log((2 + total[size]) / (1 + total[:size]))
     weight[0] = 0
     return weight
 
@@ -185,10 +188,13 @@ class Index:
         for doc, start, i, near in self.candidates(docs):
             words = self.items[i][1]
             around = docs[doc][max(0, start - len(words)) : start + 2 * BLOCK + len(words)]
-            share = common_length(self.bits[i], len(words), around) / len(words)
             there = set(around)
             told = sum(w in there for w in self.telling[i]) / len(self.telling[i])
-            if share >= self.strict or (share >= self.loose and told >= self.answer):
+            least = self.loose if told >= self.answer else self.strict
+            if sum(w in there for w in words) < least * len(words):
+                continue  # the subsequence cannot be longer
+            share = common_length(self.bits[i], len(words), around) / len(words)
+            if share >= least:
                 out[doc, i] = max(out.get((doc, i), (-1.0, 0.0, 0.0, 0)), (share, told, near, -start))
         return out
 
