@@ -9,7 +9,9 @@ share of the words between the first and the last aligned word; a hit has both a
 
 A template can only be covered if the text has one of its *gate* words: so many of its
 longest words that without them too few words remain. Texts are searched around each gate
-word, all of them, whatever the text's length.
+word, all of them, whatever the text's length. An unchanged copy is always covered fully; where
+words of the template also stand right beside an edited copy, patience may align fewer words
+than the longest common subsequence would.
 
 Defined results for odd input: a null or empty text has no hits; copies of a notice in one
 text are hits of their own; of overlapping hits the one with more aligned words stays, ties
@@ -77,8 +79,12 @@ def common_subsequence(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return out
 
 
-def patience(a: list[str], b: list[str], at: int = 0, bt: int = 0) -> list[tuple[int, int]]:
-    """Aligned index pairs (into a and b), in order."""
+def patience(a: list[str], b: list[str], at: int = 0, bt: int = 0, outer: bool = True) -> list[tuple[int, int]]:
+    """Aligned index pairs (into a and b), in order.
+
+    What stands before the first anchor of the whole text is aligned from its end, so that
+    the pairs lie as close together as they can.
+    """
     if not a or not b:
         return []
     count_a, count_b = Counter(a), Counter(b)
@@ -94,13 +100,16 @@ def patience(a: list[str], b: list[str], at: int = 0, bt: int = 0) -> list[tuple
         out = [(at + k, bt + k) for k in range(head)]
         middle_a, middle_b = a[head : len(a) - tail], b[head : len(b) - tail]
         if head or tail:
-            out += patience(middle_a, middle_b, at + head, bt + head)
+            out += patience(middle_a, middle_b, at + head, bt + head, False)
         else:
             out += [(at + i, bt + j) for i, j in common_subsequence(middle_a, middle_b)]
         return out + [(at + len(a) - k, bt + len(b) - k) for k in range(tail, 0, -1)]
     out, i, j = [], 0, 0
     for x, y in [*anchors, (len(a), len(b))]:
-        out += patience(a[i:x], b[j:y], at + i, bt + j)
+        if outer and not i:
+            out += [(at + x - 1 - k, bt + y - 1 - m) for k, m in reversed(patience(a[:x][::-1], b[:y][::-1], outer=False))]
+        else:
+            out += patience(a[i:x], b[j:y], at + i, bt + j, False)
         if x < len(a):
             out.append((at + x, bt + y))
         i, j = x + 1, y + 1
@@ -112,7 +121,7 @@ class Template:
     name: str
     words: tuple[str, ...]
     gates: dict[str, tuple[int, ...]]
-    least: float
+    bag: Counter
 
     @classmethod
     def of(cls, name: str, text: str, least: float) -> Template:
@@ -127,7 +136,7 @@ class Template:
                 break
             gates[w] = tuple(places[w])
             covered += len(places[w])
-        return cls(name, tuple(words), gates, least)
+        return cls(name, tuple(words), gates, Counter(words))
 
 
 class Scanner:
@@ -143,6 +152,8 @@ class Scanner:
         size = len(template.words)
         slack = int(size * (1 / self.least - 1)) + 1
         lo, hi = max(0, at - place - slack), min(len(words), at - place + size + slack)
+        if (Counter(words[lo:hi]) & template.bag).total() < self.least * size:
+            return None  # no alignment can cover enough
         pairs = patience(words[lo:hi], list(template.words))
         # words aligned far outside the dense part only stretch the hit: take the best stretch
         best = None
@@ -166,15 +177,17 @@ class Scanner:
                 found[w].append(i)
         hits = []
         for rank, template in enumerate(self.templates):
-            tries = sorted({(i, p) for w, places in template.gates.items() for i in found.get(w, ()) for p in places}, key=lambda x: (x[0] - x[1], x[0]))
+            # each gate word in the text may stand for each of its places in the template
+            starts = {i - p: (i, p) for w, places in template.gates.items() for i in found.get(w, ()) for p in places}
             done: set[int] = set()
-            for at, place in tries:
-                if at in done or at - place in done:
+            for start in sorted(starts):
+                if start in done:
                     continue
-                hit = self._around(words, template, at, place)
+                hit = self._around(words, template, *starts[start])
                 if hit:
-                    done.update(range(hit[0], hit[1]))
                     hits.append((-hit[2], rank, hit[0], hit[1]))
+                    if hit[2] == len(template.words):
+                        done.update(range(hit[0], hit[1]))
         out, taken = [], set()
         for aligned, rank, start, end in sorted(hits):
             if taken.isdisjoint(range(start, end)):
