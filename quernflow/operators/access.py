@@ -13,4 +13,6 @@ def entitled(df: DataFrame, entitlements: DataFrame, user: str, column: str = "p
     if exempt:
         return df
     mine = entitlements.where(F.upper("user_email") == user.upper()).select(F.col("plant_id").alias("_may")).distinct()
-    return df.join(mine, (F.col(column) == F.col("_may")) | (F.col("_may") == ANY), "left_semi")
+    everything = mine.agg(F.coalesce(F.bool_or(F.col("_may") == ANY), F.lit(False))).scalar()
+    listed = df.join(mine, F.col(column) == F.col("_may"), "left")
+    return listed.where(F.col("_may").isNotNull() | everything).drop("_may")

@@ -15,8 +15,8 @@ def skew_report(df: DataFrame, keys: Sequence[str], top: int = 20, error: float
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count"))
     middle = counts.agg(F.percentile_approx("row_count", 0.5, round(1 / error)).alias("median"))
     heavy = counts.orderBy(F.desc("row_count"), *keys).limit(top)
-    median = F.when(F.coalesce("median", F.lit(0)) == 0, 1).otherwise(F.col("median"))
-    return heavy.crossJoin(F.broadcast(middle)).select(*keys, "row_count", (F.col("row_count") / median).alias("times_median"))
+    median = F.coalesce(F.nullif(middle.scalar(), F.lit(0)), F.lit(1))
+    return heavy.select(*keys, "row_count", (F.col("row_count") / median).alias("times_median"))
 
 
 def salted_join(large: DataFrame, small: DataFrame, keys: Sequence[str], salts: int = 16, how: str = "inner", extra=None) -> DataFrame:

@@ -470,8 +470,8 @@ def intervals(spark, sf_dir) -> DataFrame:
     """A six-hour run on a user's clock for each order."""
     o = table(spark, sf_dir, "orders")
     start = F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.col("o_orderkey") * 7919, F.lit(29 * 24)) * 3600)
-    n = table(spark, sf_dir, "events").agg(F.max("user_id").alias("users"))
-    return o.crossJoin(F.broadcast(n)).select("o_orderkey", F.pmod("o_custkey", F.col("users") + 1).alias("user_id"), start.alias("start_ts"), (start + F.expr("INTERVAL 6 HOURS")).alias("end_ts"))
+    users = table(spark, sf_dir, "events").agg(F.max("user_id") + 1).scalar()
+    return o.select("o_orderkey", F.pmod("o_custkey", users).alias("user_id"), start.alias("start_ts"), (start + F.expr("INTERVAL 6 HOURS")).alias("end_ts"))
 
 
 def exact_readings(spark, sf_dir) -> DataFrame:
