@@ -18,7 +18,6 @@ language that sorts first; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,7 +31,8 @@ from quernflow.llm.common import held_out
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
-BUCKETS = 1 << 17
+BITS = 17
+BUCKETS = 1 << BITS
 #: Remembered words, and padded words labelled at once.
 CACHE, PADDED = 300_000, 1 << 18
 
@@ -41,17 +41,46 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Buckets of a word's features; very long words use both ends."""
-    if len(word) > 64:
-        word = word[:32] + word[-32:]
-    edged = f"^{word}$"
-    names = [f"w{word}"]
-    names += [f"p{word[:k]}" for k in (1, 2, 3)] + [f"s{word[-k:]}" for k in (1, 2, 3, 4)]
-    names += [f"g{edged[i : i + k]}" for k in (1, 2, 3) for i in range(len(edged) - k + 1)]
-    if word in lexicon:
-        names.append(f"l{lexicon[word]}")
-    return [zlib.crc32(x.encode()) % BUCKETS for x in names]
+def _bucket(kind: int, value: np.ndarray) -> np.ndarray:
+    """A bucket for each value; values of different kinds are mixed differently."""
+    mixed = (value + np.uint64(kind)) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (mixed >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(word number, bucket) of the words' features, all words at once.
+
+    The word, its first 1 to 3 and last 1 to 4 characters, its 1- to 3-grams with the ends
+    marked, and its lexicon. Very long words use both ends.
+    """
+    short = [w if len(w) <= 64 else w[:32] + w[-32:] for w in words]
+    code = np.frombuffer("".join(f"^{w}$" for w in short).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, short), np.int64, len(short))
+    last = np.cumsum(size + 2) - 1  # the closing mark of each word
+    first = last - size - 1
+    number = np.repeat(np.arange(len(short)), size + 2)
+    place = np.arange(len(code)) - first[number]
+    step = np.uint64(1_000_003)
+    power = step ** np.arange(66, dtype=np.uint64)
+    owners, buckets = [np.arange(len(short))], [_bucket(1, np.add.reduceat(code * power[place], first))]
+    gram = np.zeros(len(code), np.uint64)
+    for k in (1, 2, 3, 4):
+        # gram[i] becomes the hash of the k characters that end at i
+        gram = np.concatenate([np.zeros(1, np.uint64), gram[:-1]]) * step + code if k > 1 else code.copy()
+        there = np.flatnonzero(size >= k)
+        if k <= 3:
+            inside = np.flatnonzero(place >= k - 1)
+            owners += [number[inside], there]
+            buckets += [_bucket(10 + k, gram[inside]), _bucket(20 + k, gram[first[there] + k])]
+        owners.append(there)
+        buckets.append(_bucket(30 + k, gram[last[there] - 1]))
+    known = [(i, lexicon[w]) for i, w in enumerate(words) if w in lexicon]
+    if known:
+        at, lang = np.array(known).T
+        owners.append(at)
+        buckets.append(_bucket(2, lang.astype(np.uint64)))
+    return np.concatenate(owners), np.concatenate(buckets)
 
 
 def learn_lexicon(texts: list[list[str]], labels: np.ndarray, langs: int, size: int = 400) -> dict[str, int]:
@@ -79,10 +108,8 @@ class Field:
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """Score of each language for each word."""
-        found = [features(w, self.lexicon) for w in words]
-        sizes = np.array([len(x) for x in found])
-        flat = np.fromiter((b for x in found for b in x), np.int64, sizes.sum())
-        return np.add.reduceat(self.weight[flat], np.cumsum(sizes) - sizes, axis=0)
+        owner, bucket = features(words, self.lexicon)
+        return np.stack([np.bincount(owner, self.weight[bucket, c], len(words)) for c in range(len(self.langs))], axis=1)
 
 
 def posteriors(emit: np.ndarray, alive: np.ndarray, step: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,10 +163,7 @@ def fit(texts: list[list[str]], labels: list[str], rounds: int = 30, length: int
     pad = -len(word) % length
     word, truth = np.append(word, word[:1].repeat(pad)), np.append(truth, truth[:1].repeat(pad))
     word, truth = word.reshape(-1, length).T, truth.reshape(-1, length).T  # time x sequence
-    found = [features(w, lexicon) for w in kinds]
-    sizes = np.array([len(x) for x in found])
-    flat = np.fromiter((b for x in found for b in x), np.int64, sizes.sum())
-    owner, first = np.repeat(np.arange(len(kinds)), sizes), np.cumsum(sizes) - sizes
+    owner, flat = features(kinds, lexicon)
     used, local = np.unique(flat, return_inverse=True)
     k, alive = len(langs), np.full(length, word.shape[1])
     gold = np.eye(k)[truth]
@@ -147,7 +171,7 @@ def fit(texts: list[list[str]], labels: list[str], rounds: int = 30, length: int
     params = [np.zeros((len(used), k)), np.zeros((k, k)), np.zeros(k)]
     first_moment, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for t in range(1, rounds + 1):
-        scores = np.add.reduceat(params[0][local], first, axis=0)
+        scores = np.stack([np.bincount(owner, params[0][local, c], len(kinds)) for c in range(k)], axis=1)
         scores = np.exp(scores - scores.max(axis=1, keepdims=True))
         post, moves = posteriors(scores[word], alive, params[1], params[2])
         gap = (post - gold).reshape(-1, k)
