@@ -5,9 +5,10 @@ learned lexicons) that give it a score a language; learned transitions tie neigh
 together, so code-switched text changes language where the words do. Forward-backward
 gives each word a distribution; a document's language is that with the largest share.
 
-The field is fitted on the driver on a bounded sample: at most ``rows_per_lang`` whole
-documents of each language, picked by a hash of the id. Training sequences splice runs of
-words from different documents, so the transitions see changes of language.
+The field is fitted on the driver on a bounded sample: at most ``rows_per_lang`` documents of
+each language of at most ``most_chars`` characters, picked by a hash of the id, and at most
+``words_per_lang`` words of them in runs of 8 to 31 words. Training sequences splice runs from
+different documents, so the transitions see changes of language.
 
 Defined results for odd input: a null text or one without a letter is ``und`` with score
 0; rows with null ``lang`` or ``doc_id`` are not learned from; with nothing to learn from
@@ -45,7 +46,7 @@ def _bucket(kind: int, value: np.ndarray) -> np.ndarray:
     """A bucket for each value; values of different kinds are mixed differently."""
     mixed = (value + np.uint64(kind)) * np.uint64(0x9E3779B97F4A7C15)
     mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (mixed >> np.uint64(64 - BITS)).astype(np.int64)
+    return (mixed >> np.uint64(64 - BITS)).astype(np.int32)
 
 
 def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -59,16 +60,16 @@ def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.
     size = np.fromiter(map(len, short), np.int64, len(short))
     last = np.cumsum(size + 2) - 1  # the closing mark of each word
     first = last - size - 1
-    number = np.repeat(np.arange(len(short)), size + 2)
+    number = np.repeat(np.arange(len(short), dtype=np.int32), size + 2)
     place = np.arange(len(code)) - first[number]
     step = np.uint64(1_000_003)
     power = step ** np.arange(66, dtype=np.uint64)
-    owners, buckets = [np.arange(len(short))], [_bucket(1, np.add.reduceat(code * power[place], first))]
+    owners, buckets = [np.arange(len(short), dtype=np.int32)], [_bucket(1, np.add.reduceat(code * power[place], first))]
     gram = np.zeros(len(code), np.uint64)
     for k in (1, 2, 3, 4):
         # gram[i] becomes the hash of the k characters that end at i
         gram = np.concatenate([np.zeros(1, np.uint64), gram[:-1]]) * step + code if k > 1 else code.copy()
-        there = np.flatnonzero(size >= k)
+        there = np.flatnonzero(size >= k).astype(np.int32)
         if k <= 3:
             inside = np.flatnonzero(place >= k - 1)
             owners += [number[inside], there]
@@ -77,7 +78,7 @@ def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.
         buckets.append(_bucket(30 + k, gram[last[there] - 1]))
     known = [(i, lexicon[w]) for i, w in enumerate(words) if w in lexicon]
     if known:
-        at, lang = np.array(known).T
+        at, lang = np.array(known, np.int32).T
         owners.append(at)
         buckets.append(_bucket(2, lang.astype(np.uint64)))
     return np.concatenate(owners), np.concatenate(buckets)
@@ -142,24 +143,28 @@ def posteriors(emit: np.ndarray, alive: np.ndarray, step: np.ndarray, start: np.
     return forward, moves
 
 
-def fit(texts: list[list[str]], labels: list[str], rounds: int = 30, length: int = 64, seed: int = 5) -> Field:
+def fit(texts: list[list[str]], labels: list[str], words_per_lang: int = 40_000, rounds: int = 30, length: int = 64, seed: int = 5) -> Field:
     """Adam on the penalised likelihood of spliced sequences."""
     langs = sorted(set(labels))
     y = np.array([langs.index(x) for x in labels])
     lexicon = learn_lexicon(texts, y, len(langs))
-    kinds = sorted({w for ws in texts for w in ws})
-    index = {w: i for i, w in enumerate(kinds)}
     draw = np.random.default_rng(seed)
-    runs = []  # (word indices, label) of 8 to 31 words each
+    runs = []  # (words, label) of 8 to 31 words each
     for ws, label in zip(texts, y, strict=True):
         at = 0
         while at < len(ws):
             n = int(draw.integers(8, 32))
-            runs.append((np.array([index[w] for w in ws[at : at + n]]), label))
+            runs.append((ws[at : at + n], label))
             at += n
-    order = draw.permutation(len(runs))
-    word = np.concatenate([runs[i][0] for i in order])
-    truth = np.concatenate([np.full(len(runs[i][0]), runs[i][1]) for i in order])
+    order, taken, chosen = draw.permutation(len(runs)), Counter(), []
+    for i in order:
+        if taken[runs[i][1]] < words_per_lang:
+            taken[runs[i][1]] += len(runs[i][0])
+            chosen.append(runs[i])
+    kinds = sorted({w for ws, _ in chosen for w in ws})
+    index = {w: i for i, w in enumerate(kinds)}
+    word = np.array([index[w] for ws, _ in chosen for w in ws], np.int32)
+    truth = np.array([label for ws, label in chosen for _ in ws], np.int32)
     pad = -len(word) % length
     word, truth = np.append(word, word[:1].repeat(pad)), np.append(truth, truth[:1].repeat(pad))
     word, truth = word.reshape(-1, length).T, truth.reshape(-1, length).T  # time x sequence
@@ -228,17 +233,17 @@ class Labeller:
         return out
 
 
-def sample(docs: DataFrame, rows_per_lang: int) -> DataFrame:
-    """text, lang of at most so many learnable documents a language."""
-    known = docs.where(~held_out(F.col("doc_id"))).where("lang IS NOT NULL AND text IS NOT NULL")
+def sample(docs: DataFrame, rows_per_lang: int, most_chars: int) -> DataFrame:
+    """text, lang of at most so many learnable documents a language, none longer than ``most_chars``."""
+    known = docs.where(~held_out(F.col("doc_id"))).where("lang IS NOT NULL AND text IS NOT NULL").where(F.length("text") <= most_chars)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     picked = known.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows_per_lang)
     # at most rows_per_lang rows a language, which bounds what is broadcast
     return known.select("doc_id", "lang", "text").join(F.broadcast(picked.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi").select("text", "lang")
 
 
-def train(docs: DataFrame, rows_per_lang: int = 150) -> Field | None:
-    rows = [(words_of(x["text"]), x["lang"]) for x in sample(docs, rows_per_lang).collect()]
+def train(docs: DataFrame, rows_per_lang: int = 150, most_chars: int = 20_000) -> Field | None:
+    rows = [(words_of(x["text"]), x["lang"]) for x in sample(docs, rows_per_lang, most_chars).collect()]
     rows = sorted((w, y) for w, y in rows if w)
     return fit([w for w, _ in rows], [y for _, y in rows]) if rows else None
 
