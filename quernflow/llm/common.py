@@ -36,15 +36,19 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/quernflow/{tag}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again.
+def written(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> tuple[DataFrame, str]:
+    """Write ``df`` as Parquet into the shared folder and read it again; also its path.
 
     The lineage ends here: a lost executor costs a re-read, not a recomputation.
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path, partitionBy=partition_by)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataFrame:
+    return written(df, tag, partition_by)[0]
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -54,8 +58,9 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def ascii_lower(column: Column) -> Column:
-    """A-Z to a-z; every other character stays."""
-    return F.translate(column, ASCII_UPPER, ASCII_UPPER.lower())
+    """A-Z to a-z; every other character stays. Text that is all ASCII takes the faster function."""
+    ascii_only = F.octet_length(column) == F.length(column)
+    return F.when(ascii_only, F.lower(column)).otherwise(F.translate(column, ASCII_UPPER, ASCII_UPPER.lower()))
 
 
 def fold(doc_id: Column) -> Column:
