@@ -39,3 +39,20 @@ def add_row_metadata(df: DataFrame, entity: Entity, run_id: str) -> DataFrame:
         digest([F.col(a.name) for a in entity.attributes]).alias("_row_hash"),
         F.lit(run_id).alias("_pipeline_run_id"),
     )
+
+
+def supplier_lines(df: DataFrame) -> DataFrame:
+    """Supplier files cleansed the strict way: bad lines are dropped, not quarantined.
+
+    Codes trimmed and upper-cased, names in proper case, types cast; a line needs a key, a
+    positive quantity and rejects within it; one line per key, plus the accepted quantity.
+    """
+    code = lambda c: F.upper(F.trim(c))
+    rows = df.select(
+        code("delivery_id").alias("delivery_id"), code("supplier_id").alias("supplier_id"), F.initcap(F.trim("supplier_name")).alias("supplier_name"), code("material_code").alias("material_code"), code("plant_id").alias("plant_id"),
+        F.col("delivery_date").try_cast("date").alias("delivery_date"), F.col("delivered_qty").try_cast("int").alias("delivered_qty"), F.coalesce(F.col("rejected_qty").try_cast("int"), F.lit(0)).alias("rejected_qty"), code("lot_number").alias("lot_number"),
+    )
+    good = rows.where("delivery_id IS NOT NULL AND delivery_id <> '' AND delivered_qty > 0 AND rejected_qty BETWEEN 0 AND delivered_qty")
+    rest = [c for c in good.columns if c != "delivery_id"]
+    one = good.groupBy("delivery_id").agg(F.max(F.struct(*rest)).alias("r")).select("delivery_id", "r.*")
+    return one.withColumn("accepted_qty", F.col("delivered_qty") - F.col("rejected_qty"))

@@ -85,6 +85,12 @@ def latest_results(results: DataFrame) -> DataFrame:
     return results.groupBy("check_type", "entity", "run_id").agg(newest.alias("r")).select("r.*")
 
 
+def report(results: DataFrame) -> DataFrame:
+    """Open failures first, then by layer in the order data flows, then by entity."""
+    layer = F.when(F.col("check_type").startswith("MANIFEST"), 1).when(F.col("check_type").startswith("SILVER"), 2).when(F.col("check_type").startswith("GOLD"), 3).otherwise(4)
+    return latest_results(results).withColumn("position", layer).orderBy("passed", "position", "entity", "run_id")
+
+
 def gate(results: DataFrame) -> None:
     """Raise if a check's last result is a failure."""
     open_ = latest_results(results).where("NOT passed").select("check_type", "entity", "run_id").orderBy("check_type", "entity", "run_id").take(20)

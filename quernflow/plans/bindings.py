@@ -864,6 +864,123 @@ def medallion_stream(spark, sf_dir):
     return silver.read().select("o_orderkey", "status", F.col("_is_deleted").alias("is_deleted"), F.col("_ingestion_run_id").alias("run_id"))
 
 
+@query("""
+SELECT 'D' || l_orderkey AS delivery_id, 'S' || arg_max(l_suppkey, (l_suppkey, -l_linenumber)) AS supplier_id, CAST(count(*) AS INT) AS lines FROM lineitem GROUP BY l_orderkey
+""")
+def supplier_of_order(spark, sf_dir):
+    """The highest supplier of each order: the largest value per key by ``max_by``."""
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    top = F.max_by("l_suppkey", F.struct("l_suppkey", (-F.col("l_linenumber")).alias("n")))
+    return l.groupBy("l_orderkey").agg(top.alias("s"), F.count(F.lit(1)).cast("int").alias("lines")).select(F.concat(F.lit("D"), "l_orderkey").alias("delivery_id"), F.concat(F.lit("S"), "s").alias("supplier_id"), "lines")
+
+
+@query("""
+WITH r AS (SELECT 'D' || o_orderkey AS delivery_id, 'Supplier' AS supplier_name, 'C' || o_custkey AS supplier_id, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE CAST(floor(o_totalprice / 1000) AS INT) END AS delivered_qty,
+             CASE WHEN o_orderpriority = '1-URGENT' THEN 400 WHEN o_orderpriority = '5-LOW' THEN 0 ELSE 3 END AS rejected_qty, CAST(o_orderdate AS DATE) AS delivery_date FROM orders)
+SELECT *, delivered_qty - rejected_qty AS accepted_qty FROM r WHERE delivered_qty > 0 AND rejected_qty BETWEEN 0 AND delivered_qty
+""")
+def supplier_cleansing(spark, sf_dir):
+    """Strict cleansing: bad lines are dropped, repeated keys collapse, the accepted quantity is added."""
+    o = table(spark, sf_dir, "orders")
+    raw = o.select(
+        F.concat(F.lit(" d"), F.col("o_orderkey").cast("string")).alias("delivery_id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.lit(" ")).alias("supplier_id"), F.lit("  supplier").alias("supplier_name"), F.lit("m").alias("material_code"), F.lit("p").alias("plant_id"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("delivery_date"), F.when(F.col("o_orderstatus") == "F", "none").otherwise(F.floor(F.col("o_totalprice") / 1000).cast("string")).alias("delivered_qty"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", "400").when(F.col("o_orderpriority") == "5-LOW", "").otherwise("3").alias("rejected_qty"), F.lit("l").alias("lot_number"),
+    )
+    out = cleanse.supplier_lines(raw.unionByName(raw))
+    return out.select("delivery_id", "supplier_name", "supplier_id", "delivered_qty", "rejected_qty", "delivery_date", "accepted_qty")
+
+
+@query(f"""{SQL_HISTORY} SELECT l_orderkey * 10 + l_linenumber AS inspection_id, l_partkey, CAST(strftime(l_shipdate, '%Y%m%d') AS INT) AS date_key, coalesce(nullif(l_returnflag, 'N'), 'NONE') AS defect_code, coalesce(d.status, 'miss') AS status, CAST(l_quantity AS INT) AS sample_size
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey LEFT JOIN dim d ON d.o_custkey = o.o_custkey AND CAST(l.l_shipdate AS DATE) >= d.effective_from AND CAST(l.l_shipdate AS DATE) < d.effective_to WHERE l_linestatus <> 'O'""")
+def fact_inspection(spark, sf_dir):
+    """The inspection fact: live rows, versions in force, a default defect code."""
+    h = customer_history(spark, sf_dir)
+    names = h.select(F.col("customer_sk").alias("machine_sk"), "status")
+    machines = h.select("customer_sk", F.col("o_custkey").cast("string").alias("machine_id"), "effective_from", "effective_to").withColumnRenamed("customer_sk", "machine_sk")
+    products = machines.select(F.col("machine_sk").alias("product_sk"), F.lit("none").alias("product_id"), "effective_from", "effective_to")
+    l = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))  # noqa: E741
+    rows = l.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("inspection_id"), F.col("l_partkey").alias("production_log_id"), F.col("o_custkey").cast("string").alias("machine_id"), F.lit("part").alias("product_id"), F.to_date("l_shipdate").cast("timestamp").alias("inspection_ts"),
+        F.col("l_quantity").cast("int").alias("sample_size"), F.lit(0).alias("defect_count"), F.expr("nullif(l_returnflag, 'N')").alias("defect_code"), F.lit("PASS").alias("inspection_result"), F.lit("i").alias("inspector_id"), (F.col("l_linestatus") == "O").alias("_is_deleted"),
+    )
+    out = facts.quality_inspection(rows, machines, products).join(names, "machine_sk", "left")
+    return out.select("inspection_id", F.col("production_log_id").alias("l_partkey"), "date_key", "defect_code", F.coalesce("status", F.lit("miss")).alias("status"), "sample_size")
+
+
+@query("""
+SELECT CAST(o_orderkey AS VARCHAR) AS work_order_id, CAST(strftime(o_orderdate, '%Y%m%d') AS INT) AS reported_date_key, CASE WHEN o_orderstatus = 'F' THEN CAST(strftime(o_orderdate + INTERVAL 1 DAY, '%Y%m%d') AS INT) END AS completed_date_key,
+       CAST(o_custkey % 50 AS INT) AS response_minutes, CASE WHEN o_orderstatus = 'F' THEN 1440 END AS repair_minutes, CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' ELSE 'OPEN' END AS status FROM orders
+""")
+def fact_maintenance(spark, sf_dir):
+    """The accumulating snapshot: response and repair times as far as they are known."""
+    o = table(spark, sf_dir, "orders").withColumn("at", F.col("o_orderdate").cast("timestamp"))
+    done = F.col("o_orderstatus") == "F"
+    rows = o.select(
+        F.col("o_orderkey").cast("string").alias("work_order_id"), F.lit("m").alias("machine_id"), F.lit("BREAKDOWN").alias("work_type"), F.lit("P1").alias("priority"), F.when(done, "COMPLETED").otherwise("OPEN").alias("status"), F.col("at").alias("reported_at"),
+        F.timestamp_seconds(F.unix_timestamp("at") + F.pmod("o_custkey", F.lit(50)) * 60).alias("started_at"), F.when(done, F.col("at") + F.expr("INTERVAL 1 DAY")).alias("completed_at"), F.lit(0).alias("downtime_minutes"), F.lit("t").alias("technician"), F.lit(False).alias("_is_deleted"),
+    )
+    machines = history.empty_scd2(rows.withColumn("a", F.lit("")), ["machine_id"], ["a"], "machine_sk")
+    out = facts.maintenance_event(rows, machines)
+    return out.select("work_order_id", "reported_date_key", "completed_date_key", "response_minutes", "repair_minutes", "status")
+
+
+@query("""
+SELECT n_nationkey AS k, upper(n_name) AS up, lower(n_name) AS low, upper(left(n_name, 1)) || lower(substr(n_name, 2)) AS proper, trim('  ' || n_name || ' ') AS trimmed, concat_ws('|', n_name, CAST(n_regionkey AS VARCHAR)) AS joined, CAST(length(n_name) AS INT) AS len,
+       sha256(n_name) AS digest, regexp_extract('run_id=' || n_name || '/x', 'run_id=([^/]+)', 1) AS part, nullif(n_regionkey, 1) AS no_one, greatest(n_regionkey, 2) AS up_to, least(n_regionkey, NULL, 2) AS at_most, coalesce(nullif(n_regionkey, 1), -1) AS filled, CASE WHEN n_regionkey > 2 THEN 'high' ELSE 'low' END AS band FROM nation
+""")
+def scalar_functions(spark, sf_dir):
+    """The string, hash and conditional functions the engine uses."""
+    n, name, key = table(spark, sf_dir, "nation"), F.col("n_name"), F.col("n_regionkey")
+    proper = F.initcap(F.regexp_replace(name, "_", "~"))
+    return n.select(
+        F.col("n_nationkey").alias("k"), F.upper(name).alias("up"), F.lower(name).alias("low"), F.regexp_replace(proper, "~", "_").alias("proper"), F.trim(F.concat(F.lit("  "), name, F.lit(" "))).alias("trimmed"), F.concat_ws("|", name, key.cast("string")).alias("joined"), F.length(name).alias("len"),
+        F.sha2(name, 256).alias("digest"), F.regexp_extract(F.concat(F.lit("run_id="), name, F.lit("/x")), landing.RUN_ID, 1).alias("part"), F.nullif(key, F.lit(1)).alias("no_one"), F.greatest(key, F.lit(2)).alias("up_to"), F.least(key, F.lit(None).cast("int"), F.lit(2)).alias("at_most"),
+        F.coalesce(F.nullif(key, F.lit(1)), F.lit(-1)).alias("filled"), F.when(key > 2, "high").otherwise("low").alias("band"),
+    )
+
+
+@query("""
+SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, CAST(year(o_orderdate) AS INT) AS y, CAST(quarter(o_orderdate) AS INT) AS q, CAST(month(o_orderdate) AS INT) AS m, CAST(weekofyear(o_orderdate) AS INT) AS w, CAST(dayofweek(o_orderdate) + 1 AS INT) AS dow, date_trunc('month', o_orderdate)::DATE AS first_day,
+       strftime(o_orderdate, '%Y%m%d') AS text, TRY_CAST(CASE WHEN o_orderstatus = 'F' THEN '2024-02-30' ELSE '2024-02-28' END AS DATE) AS tried, CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS INT) AS days FROM orders
+""")
+def date_functions(spark, sf_dir):
+    """The date functions the engine uses; what is no date becomes NULL."""
+    d = F.to_date("o_orderdate")
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", d.alias("d"), F.year(d).alias("y"), F.quarter(d).alias("q"), F.month(d).alias("m"), F.weekofyear(d).alias("w"), F.dayofweek(d).alias("dow"), F.to_date(F.date_trunc("month", d)).alias("first_day"), F.date_format(d, "yyyyMMdd").alias("text"),
+        F.when(F.col("o_orderstatus") == "F", "2024-02-30").otherwise("2024-02-28").try_cast("date").alias("tried"), F.datediff(d, F.lit("1995-01-01").cast("date")).alias("days"),
+    )
+
+
+@query(f"""{SQL_VERSIONS} SELECT o_orderkey, order_date, {sql_round('price', 2)} AS price FROM a""")
+def publish_serving(spark, sf_dir):
+    """A serving copy brought up to date from a versioned table's recorded changes, reconciled, then read by SQL."""
+    from quernflow.plans import gold
+
+    root = workspace(spark)
+    source, target = VersionedTable(spark, f"{root}/gold", ("o_orderkey",)), VersionedTable(spark, f"{root}/serving")
+    marks = control.Watermarks(VersionedTable(spark, f"{root}/marks"))
+    for snapshot in order_versions(spark, sf_dir):
+        source.commit(snapshot.withColumn("price", F.col("price").cast("decimal(18,2)")), "MERGE", record_changes=True)
+        reconcile.assert_all_passed([gold.publish_table(source, target, "fact_orders", marks)])
+    return gold.serving_sql(spark, {"serving_orders": target}, "SELECT o_orderkey, order_date, CAST(price AS DOUBLE) AS price FROM serving_orders")
+
+
+@query("""
+WITH r AS (SELECT event_type AS check_type, user_id AS entity, arg_max(value < 100, (ts, event_id)) AS passed FROM events GROUP BY 1, 2)
+SELECT CASE WHEN event_type = 'view' THEN 'MANIFEST' WHEN event_type = 'click' THEN 'SILVER' WHEN event_type = 'error' THEN 'GOLD' ELSE 'SERVING' END AS check_type, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'error' THEN 3 ELSE 4 END AS position, entity, passed
+FROM (SELECT check_type AS event_type, entity, passed FROM r WHERE check_type IN ('view', 'click', 'error', 'signup'))
+""")
+def reconciliation_report(spark, sf_dir):
+    """The last result of each check, open failures first, in the order data flows."""
+    names = {"view": "MANIFEST", "click": "SILVER", "error": "GOLD", "signup": "SERVING"}
+    kind = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in names.items()])
+    e = table(spark, sf_dir, "events").where("event_type <> 'purchase'")
+    rows = e.select(kind.alias("check_type"), F.col("user_id").alias("entity"), F.lit("r").alias("run_id"), (F.col("value") < 100).alias("passed"), F.struct("ts", "event_id").alias("checked_at"))
+    return reconcile.report(rows).select("check_type", "position", "entity", "passed")
+
+
 @query("SELECT o_orderstatus AS status, count(*) AS n, CAST(least(64, greatest(1, ceil(count(*) / 1000.0))) AS INT) AS files FROM orders GROUP BY 1")
 def output_files(spark, sf_dir):
     """Output sizing per status."""

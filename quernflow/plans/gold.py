@@ -94,3 +94,11 @@ def publish_all(gold: dict[str, VersionedTable], serving: dict[str, VersionedTab
     results = [publish_table(gold[n], serving[n], n, watermarks) for n in PUBLISHED if n in gold and gold[n].exists()]
     reconcile.assert_all_passed(results)
     return results
+
+
+def serving_sql(spark: SparkSession, serving: dict[str, VersionedTable], sql: str) -> DataFrame:
+    """Run SQL over the serving copies, each a view of its table's name."""
+    for name, table in serving.items():
+        if table.exists():
+            table.read().createOrReplaceTempView(name)
+    return spark.sql(sql)
