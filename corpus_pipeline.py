@@ -19,9 +19,7 @@ LEAST_SHARE = 0.4
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a recognised language; ``und`` and undecided ones go."""
-    marked = langid.predict(docs, langid.train(docs))
-    good = marked.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
-    return docs.join(good.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+    return langid.recognised(docs, langid.train(docs), LEAST_SHARE)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +36,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaks = contamination.find_leaks(docs, bench).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    return contamination.without_leaks(docs, bench)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

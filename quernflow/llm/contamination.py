@@ -199,13 +199,10 @@ class Index:
         return out
 
 
-def find_leaks(docs: DataFrame, bench: DataFrame, rank: int = 128, block: int = 4096, cosine: float = 0.3, strict: float = 0.8, loose: float = 0.5, answer: float = 0.6) -> DataFrame:
-    """One row per document and item that it holds."""
-    spark = docs.sparkSession
-    docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def indexes(docs: DataFrame, bench: DataFrame, rank: int = 128, block: int = 4096, cosine: float = 0.3, strict: float = 0.8, loose: float = 0.5, answer: float = 0.6) -> Iterator[Index]:
+    """An index for each block of items; word weights are counted over all documents."""
     bench = bench.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
     blocks = max(1, -(-bench.count() // block))
-    found = None
     for number in range(blocks):
         part = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number)
         items = sorted((x["item_id"], w) for x in part.collect() if (w := words_of(x["text"])))
@@ -214,7 +211,16 @@ def find_leaks(docs: DataFrame, bench: DataFrame, rank: int = 128, block: int =
         vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for _, ws in items for w in ws}))}
         weight = word_weights(docs, vocabulary)
         basis = latent_basis(part, vocabulary, weight, min(rank, len(items)))
-        index = spark.sparkContext.broadcast(Index(vocabulary, weight, basis, items, cosine, strict, loose, answer))
+        yield Index(vocabulary, weight, basis, items, cosine, strict, loose, answer)
+
+
+def find_leaks(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
+    """One row per document and item that it holds. ``options``: those of ``indexes``."""
+    spark = docs.sparkSession
+    docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = None
+    for one in indexes(docs, bench, **options):
+        index = spark.sparkContext.broadcast(one)
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             mine = index.value
@@ -234,6 +240,22 @@ def find_leaks(docs: DataFrame, bench: DataFrame, rank: int = 128, block: int =
     return best.select("doc_id", "item_id", "best.subsequence", "best.answer", "best.cosine", (-F.col("best._at")).alias("start_word"))
 
 
+def without_leaks(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
+    """The rows, all columns, that hold no item: a filter where the rows are read."""
+    at, kept = docs.columns.index("text"), docs
+    for one in indexes(docs, bench, **options):
+        index = docs.sparkSession.sparkContext.broadcast(one)
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch, words in texts(batches, at):
+                clean = np.ones(batch.num_rows, bool)
+                clean[[d for d, _ in index.value.hits(words)]] = False
+                yield batch.filter(pa.array(clean))
+
+        kept = kept.mapInArrow(run, docs.schema)
+    return kept
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))

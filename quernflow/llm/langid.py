@@ -270,6 +270,24 @@ def predict(docs: DataFrame, field: Field | None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def recognised(docs: DataFrame, field: Field | None, least: float) -> DataFrame:
+    """The rows, all columns, whose text is in one language by a share of at least ``least``.
+
+    A filter where the rows are read: nothing is shuffled or joined.
+    """
+    model, at = docs.sparkSession.sparkContext.broadcast(field), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller = Labeller(model.value) if model.value else None
+        for whole in batches:
+            for s in range(0, whole.num_rows, 2048):
+                batch = whole.slice(s, 2048)
+                share = labeller.shares(x.as_py() for x in batch.column(at)).max(axis=1) if labeller else np.zeros(batch.num_rows)
+                yield batch.filter(pa.array(share >= max(least, 1e-9)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     out = predict(docs, train(docs))
