@@ -11,7 +11,7 @@ task keeps k rows a query. ``codes`` is written once and read for each block.
 
 Defined results for odd input: null, zero and non-finite vectors and those of another
 length than most take no part; rows repeating a ``vec_id`` are not each other's
-neighbours; equal scores go to the smaller ``vec_id``; empty tables give an empty result.
+neighbours, and those that repeat its vector too count once; equal scores go to the smaller ``vec_id``; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -91,6 +91,8 @@ class Best:
     def add(self, query: np.ndarray, ident: np.ndarray, score: np.ndarray) -> None:
         order = np.lexsort((ident, -score, query))
         query, ident, score = query[order], ident[order], score[order]
+        new = np.append(True, (np.diff(query) != 0) | (np.diff(ident) != 0) | (np.diff(score) != 0))[: len(query)]
+        query, ident, score = query[new], ident[new], score[new]  # repeated rows count once
         rank = np.arange(len(query)) - np.searchsorted(query, query)
         top = rank < self.k
         query, ident, score, rank = query[top], ident[top], score[top], rank[top]
@@ -101,6 +103,10 @@ class Best:
         more_s[at, rank], more_i[at, rank] = score, ident
         s = np.concatenate([self.score[rows], more_s], axis=1)
         i = np.concatenate([self.ident[rows], more_i], axis=1)
+        order = np.lexsort((i, -s), axis=1)
+        s, i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+        again = (np.diff(s, axis=1, prepend=np.inf) == 0) & (np.diff(i, axis=1, prepend=-1) == 0)
+        s, i = np.where(again, -np.inf, s), np.where(again, np.iinfo(np.int64).max, i)
         order = np.lexsort((i, -s), axis=1)[:, : self.k]
         self.score[rows] = np.take_along_axis(s, order, 1)
         self.ident[rows] = np.take_along_axis(i, order, 1)

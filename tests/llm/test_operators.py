@@ -425,6 +425,13 @@ class TestNeighbours:
         got = [(r["rank"], r["vec_id"]) for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(6)).where("query_id = 0").collect()]
         assert sorted(got) == [(n, n) for n in range(1, 6)]
 
+    def test_repeated_rows_count_once(self, spark):
+        rng = np.random.default_rng(8)
+        rows = [(i, rng.standard_normal(8).tolist()) for i in range(60)]
+        frame = spark.createDataFrame(rows * 3, "vec_id long, embedding array<double>").repartition(5)
+        once = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=7, epsilon=4.0)
+        assert sorted(map(tuple, ann.nearest(frame, every=7, epsilon=4.0).collect())) == sorted(map(tuple, once.collect()))
+
     def test_recall(self, spark, sf):
         rows = [(r[0], r[1]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()]
         x = np.array([v for _, v in rows], float)
