@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quernflow.llm.common import materialise
+from quernflow.llm.common import in_arrow, materialise
 
 RESULT = "query_id long, vec_id long, score double"
 
@@ -74,7 +74,7 @@ def encode(vectors: DataFrame, dim: int, mean: np.ndarray, seed: int) -> DataFra
             packed = pa.array([x.tobytes() for x in bits], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, packed, pa.array(norm), pa.array(np.where(norm > 0, fit, 1.0))], ["vec_id", "v", "bits", "norm", "fit"])
 
-    return vectors.mapInArrow(run, "vec_id long, v array<double>, bits binary, norm double, fit double")
+    return in_arrow(vectors, run, "vec_id long, v array<double>, bits binary, norm double, fit double")
 
 
 class Best:
@@ -167,7 +167,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, epsilon: float = 1.
                 total, n = total + unit(_matrix(batch.column(1), dim)).sum(axis=0), n + batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim)), pa.array(total), pa.array(np.full(dim, float(n)))], ["i", "s", "n"])
 
-    parts = rows.mapInArrow(sums, "i long, s double, n double").groupBy("i").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).orderBy("i").collect()
+    parts = in_arrow(rows, sums, "i long, s double, n double").groupBy("i").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).orderBy("i").collect()
     mean = np.array([x["s"] / x["n"] for x in parts])
     codes = materialise(encode(rows, dim, mean, seed), "codes")
     asked = codes.where(F.col("vec_id") % every == 0)
@@ -176,7 +176,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, epsilon: float = 1.
     for (number,) in sorted(numbered.select("block").distinct().collect()):
         batch = numbered.where(F.col("block") == number).select("vec_id", "v").collect()
         ids, query = np.array([x[0] for x in batch], np.int64), np.array([x[1] for x in batch], np.float64)
-        best = codes.mapInArrow(_search_task(ids, query, mean, dim, seed, k, epsilon), RESULT)
+        best = in_arrow(codes, _search_task(ids, query, mean, dim, seed, k, epsilon), RESULT)
         found = best if found is None else found.unionByName(best)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

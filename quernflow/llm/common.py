@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
+import quernflow
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Folders made for sessions that name none, by application id.
 _LOCAL: dict[str, str] = {}
 
+#: Applications whose executors have this package.
+_SHIPPED: set[str] = set()
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
@@ -57,6 +64,32 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application, whatever their Python path is."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    root = Path(quernflow.__file__).resolve().parent
+    target = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="quernflow-")), "quernflow.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    context.addPyFile(target)
+
+
+def in_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` with this package on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
+def in_pandas(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInPandas`` with this package on the executors."""
+    ship(df.sparkSession)
+    return df.mapInPandas(function, schema)
+
+
 def ascii_lower(column: Column) -> Column:
     """A-Z to a-z; every other character stays. Text that is all ASCII takes the faster function."""
     ascii_only = F.octet_length(column) == F.length(column)
@@ -88,5 +121,5 @@ def partition_sum(df: DataFrame, task, length: int):
     def run(batches):
         yield pa.RecordBatch.from_arrays([pa.array([np.asarray(task(batches), np.float64).tobytes()], pa.binary())], ["part"])
 
-    parts = df.mapInArrow(run, "part binary").rdd.map(lambda row: np.frombuffer(row[0], np.float64))
+    parts = in_arrow(df, run, "part binary").rdd.map(lambda row: np.frombuffer(row[0], np.float64))
     return parts.treeAggregate(np.zeros(length), lambda a, b: a + b, lambda a, b: a + b, depth=2)

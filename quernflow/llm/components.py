@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
-Edges and labels stay distributed; each round is cut by a written table. The result has
-a row per node that has an edge: node, component (the smallest node reachable).
+Edges and labels stay distributed; each round is cut by a written table, which replaces the
+one before. The result has a row per node that has an edge: node, component (the smallest
+node reachable).
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernflow.llm.common import materialise
+from quernflow.llm.common import remove, written
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -34,11 +35,12 @@ def small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """Null ends and loops are ignored; no edges give an empty result."""
     pairs = edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))
-    pairs = materialise(pairs.where(f"{left} IS NOT NULL AND {right} IS NOT NULL").where("u <> v").distinct(), "edges")
+    pairs, path = written(pairs.where(f"{left} IS NOT NULL AND {right} IS NOT NULL").where("u <> v").distinct(), "edges")
     before = _signature(pairs)
     while before[0]:
-        pairs = materialise(small_star(large_star(pairs)), "stars")
-        after = _signature(pairs)
+        pairs, stars = written(small_star(large_star(pairs)), "stars")
+        remove(pairs.sparkSession, path)
+        after, path = _signature(pairs), stars
         if after == before:
             break
         before = after

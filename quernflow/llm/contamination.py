@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernflow.llm.common import partition_sum
+from quernflow.llm.common import in_arrow, partition_sum
 
 WORD = re.compile(r"\w+")
 BLOCK = 16
@@ -231,7 +231,7 @@ def find_leaks(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in HIT.split(", ")])
 
-        hits = docs.mapInArrow(run, HIT)
+        hits = in_arrow(docs, run, HIT)
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         return spark.createDataFrame([], HIT)
@@ -252,7 +252,7 @@ def without_leaks(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
                 clean[[d for d, _ in index.value.hits(words)]] = False
                 yield batch.filter(pa.array(clean))
 
-        kept = kept.mapInArrow(run, docs.schema)
+        kept = in_arrow(kept, run, docs.schema)
     return kept
 
 

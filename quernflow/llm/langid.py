@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quernflow.llm.common import held_out
+from quernflow.llm.common import held_out, in_arrow
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -267,7 +267,7 @@ def predict(docs: DataFrame, field: Field | None) -> DataFrame:
                     score, lang = np.zeros(batch.num_rows), [UNKNOWN] * batch.num_rows
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, lang_pred string, score double")
 
 
 def recognised(docs: DataFrame, field: Field | None, least: float) -> DataFrame:
@@ -285,7 +285,7 @@ def recognised(docs: DataFrame, field: Field | None, least: float) -> DataFrame:
                 share = labeller.shares(x.as_py() for x in batch.column(at)).max(axis=1) if labeller else np.zeros(batch.num_rows)
                 yield batch.filter(pa.array(share >= max(least, 1e-9)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

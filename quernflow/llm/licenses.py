@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernflow.llm.common import in_arrow
 from quernflow.llm.license_texts import TEMPLATES
 
 WORD = re.compile(r"\w+")
@@ -209,7 +210,7 @@ def scan_documents(docs: DataFrame, templates: dict[str, str] | None = None, lea
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in HIT.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, HIT)
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, HIT)
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

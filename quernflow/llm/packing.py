@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernflow.llm.common import materialise
+from quernflow.llm.common import in_arrow, in_pandas, materialise
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Remembered chunks, and the longest chunk worth remembering.
@@ -120,7 +120,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int) -> DataFra
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [x.split()[0] for x in PIECE.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECE)
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, PIECE)
 
 
 class OpenWindows:
@@ -196,7 +196,7 @@ def pack(cut: DataFrame, window: int, group_rows: int) -> DataFrame:
 
     groups = max(1, -(-cut.count() // group_rows))
     spread = cut.withColumn("doc_id", F.col("doc_id").cast("long")).repartition(groups, F.xxhash64("doc_id", "start", "ids_crc32"))
-    return spread.mapInPandas(run, PIECE + ", sequence_id long, offset long")
+    return in_pandas(spread, run, PIECE + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, group_rows: int = 1 << 16) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernflow.llm.common import held_out, materialise, partition_sum
+from quernflow.llm.common import held_out, in_arrow, materialise, partition_sum
 
 UPPER, DIGIT = bytes(range(65, 91)), bytes(range(48, 58))
 LETTER = UPPER + bytes(range(97, 123)) + bytes(range(128, 256))
@@ -81,7 +81,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([statistics(x.as_py()) for x in batch.column(1)], pa.list_(pa.float64()))], ["doc_id", "stats"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, stats array<double>")
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, stats array<double>")
 
 
 def pool_adjacent(value: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -188,7 +188,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
             score = model.score(_stats(b)) if model else np.full(b.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score)], ["doc_id", "score"])
 
-    scored = stats.mapInArrow(run, "doc_id long, score double")
+    scored = in_arrow(stats, run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score")
 
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernflow.llm.common import materialise
+from quernflow.llm.common import in_arrow, materialise
 from quernflow.llm.components import connected_components
 from quernflow.llm.trie import Forest, close_pairs
 
@@ -82,7 +82,7 @@ def fingerprints(docs: DataFrame, size: int = 3, words: int = 1) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(codes[:, i])) for i in range(words))], ["doc_id", *names])
 
     schema = "doc_id long, " + ", ".join(f"{n} long" for n in names)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema)
 
 
 def band_layout(words: int, bands: int, width: int = 12) -> list[tuple[int, int, int]]:
@@ -154,7 +154,7 @@ def links(codes: DataFrame, words: int, bands: int, budget: int, group_rows: int
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.withColumn("one", F.least("side", "other")).withColumn("two", F.greatest("side", "other"))
     parts = dealt.select("rep", *[f"w{i}" for i in range(words)], "band", "value", "side", "one", "two").repartition("band", "value", "one", "two")
-    return parts.drop("value").mapInArrow(_join_task(words, layout, budget), "a long, b long")
+    return in_arrow(parts.drop("value"), _join_task(words, layout, budget), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, words: int = 1, bands: int = 3, budget: int = 2) -> DataFrame:

@@ -21,6 +21,8 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernflow.llm.common import in_arrow
+
 #: Remembered words, and the longest word worth remembering.
 CACHE, LONG = 400_000, 48
 MARK = "▁"
@@ -110,7 +112,7 @@ def token_counts(docs: DataFrame, model: str) -> DataFrame:
             columns = np.array(rows, np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(columns[:, i]) for i in range(3))], ["doc_id", "n_words", "n_tokens", "longest_word_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, n_tokens long, longest_word_tokens long")
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_words long, n_tokens long, longest_word_tokens long")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

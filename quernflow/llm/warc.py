@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernflow.llm.common import materialise, new_path
+from quernflow.llm.common import in_pandas, materialise, new_path
 
 INDEX = "page_id long, url string, file string, offset long, length long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -103,7 +103,7 @@ def write_archive(pages: DataFrame, target: str, min_bytes: int = 100, date: str
         if out is not None:
             out.close()
 
-    return materialise(mark_revisits(pages, min_bytes).mapInPandas(write, INDEX), "warc-index")
+    return materialise(in_pandas(mark_revisits(pages, min_bytes), write, INDEX), "warc-index")
 
 
 def read_records(index: DataFrame, target: str, payload: bool = True, gap: int = 1 << 16, most: int = 1 << 23) -> DataFrame:
@@ -148,7 +148,7 @@ def read_records(index: DataFrame, target: str, payload: bool = True, gap: int =
 
     tasks = -(-(index.agg(F.sum("length")).first()[0] or 1) // most)
     ranges = index.select("file", "offset", "length").repartition(tasks, "file", F.floor(F.col("offset") / (4 * most)))
-    return ranges.sortWithinPartitions("file", "offset").mapInPandas(read, schema)
+    return in_pandas(ranges.sortWithinPartitions("file", "offset"), read, schema)
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
