@@ -15,17 +15,25 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernflow.llm.common import ASCII_SPACE, ascii_lower, materialise, new_path, remove
+from quernflow.llm.common import ASCII_SPACE, ascii_lower, materialise, new_path, remove, written
 
 HASH = ["_h1", "_h2"]
 
 
+def stripped(line: Column) -> Column:
+    """The line without white space at its ends. Most lines have none to take."""
+    padded = reduce(or_, (line.startswith(c) | line.endswith(c) for c in ASCII_SPACE))
+    return F.when(padded, F.trim(line, F.lit(ASCII_SPACE))).otherwise(line)
+
+
 def line_key(line: Column) -> Column:
-    return ascii_lower(F.trim(line, F.lit(ASCII_SPACE)))
+    return ascii_lower(stripped(line))
 
 
 def split_lines(text: Column) -> Column:
@@ -42,7 +50,8 @@ def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
     lines = docs.where("doc_id IS NOT NULL").select(
         "doc_id", _text_hash(F.col("text")).alias("_text"), F.posexplode(split_lines(F.col("text"))).alias("_pos", "_line")
     )
-    keyed = lines.select("doc_id", "_text", "_pos", line_key(F.col("_line")).alias("_key")).where(F.length("_key") >= min_chars)
+    # lower-casing keeps the length, so short lines go before it
+    keyed = lines.where(F.length(stripped(F.col("_line"))) >= min_chars).select("doc_id", "_text", "_pos", line_key(F.col("_line")).alias("_key"))
     return keyed.select("doc_id", "_text", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(7), "_key").alias("_h2"))
 
 
@@ -115,13 +124,15 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10, batches: int = 3, fanout
     cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000)).first()[0] if batches > 1 else None
     cuts = sorted(set(cuts or []))
     batch = sum(((F.col("doc_id") > c).cast("int") for c in cuts), F.lit(0))
-    hashes = materialise(hashes.withColumn("_batch", batch), "lines", ["_batch"])
+    hashes, path = written(hashes.withColumn("_batch", batch), "lines", ["_batch"])
+    used = [path]
     runs = LineRuns(spark, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), fanout)
     losses: list[DataFrame] = []
     for number in range(len(cuts) + 1):
         part = hashes.where(F.col("_batch") == number)
         own = part.groupBy(*HASH).agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last"))
-        own = materialise(runs.seen(own), "seen")
+        own, path = written(runs.seen(own), "seen")
+        used.append(path)
         if number < len(cuts):
             runs.add(own.where("_known IS NULL"))
         shared = own.where("_known IS NOT NULL OR _first < _last").select(*HASH, F.coalesce("_known", "_first").alias("_first"))
@@ -132,22 +143,26 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10, batches: int = 3, fanout
         lost = lost.unionByName(more)
     lost = materialise(lost.groupBy("doc_id", "_text").agg(F.collect_set("_pos").alias("_drop")), "lost")
     runs.close()
+    for path in used:
+        remove(spark, path)
     return lost
 
 
 def deduplicate(docs: DataFrame, min_chars: int = 10, batches: int = 3, fanout: int = 2) -> DataFrame:
     """Every row of ``docs`` with its text after dropping, ``n_lines`` and ``n_dropped``."""
-    lost = dropped_lines(docs.select("doc_id", "text"), min_chars, batches, fanout).withColumnRenamed("doc_id", "_doc")
-    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(*own).withColumn("_hash", _text_hash(F.col("text")))
-    joined = joined.join(lost, (F.col("doc_id") == F.col("_doc")) & (F.col("_hash") == F.col("_text")), "left")
-    lines = split_lines(F.col("text"))
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("_drop"), i)), "\n")
+    lost = dropped_lines(docs.select("doc_id", "text"), min_chars, batches, fanout)
+    own = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
+    # the other columns travel in a struct, where no name of theirs can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).alias("d")
+    rows = rows.withColumn("hash", _text_hash(F.col("text"))).alias("d")
+    joined = rows.join(lost.alias("l"), (F.col("d.doc_id") == F.col("l.doc_id")) & (F.col("d.hash") == F.col("l._text")), "left")
+    lines, drop = split_lines(F.col("d.text")), F.col("l._drop")
+    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(drop, i)), "\n")
     return joined.select(
-        *[c for c in own if c != "text"],
-        F.when(F.col("_drop").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept).alias("text"),
+        *[F.col("d.row")[c].alias(c) for c in own],
+        F.when(drop.isNull(), F.col("d.text")).otherwise(kept).alias("text"),
         F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size(drop), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 
