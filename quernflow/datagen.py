@@ -63,7 +63,7 @@ class Extracts:
         }
 
     def _machine(self, key: str, at: str, **other) -> Row:
-        base = dict(machine_id=key, machine_name=f"Machine {key}", plant_id=key[2:5], line_id="L1", machine_type="PRESS" if key.endswith("1") else "LATHE", manufacturer="Acme", install_date="2020-01-15", status="RUNNING", rated_units_per_hour=120, modified_at=at)
+        base = dict(machine_id=key, machine_name=f"Machine {key}", plant_id=key[2:5], line_id="L1", machine_type="PRESS" if key.endswith("1") else "LATHE", manufacturer="Acme", install_date="2020-01-15", status="ACTIVE", rated_units_per_hour=120, modified_at=at)
         return _text(**(base | other))
 
     def _machines(self, number: int, day: str) -> list[Row]:
@@ -71,7 +71,7 @@ class Extracts:
         if number == 1:
             return [self._change(2, at, self._machine(m, at)) for m in MACHINES]
         return [
-            self._change(4, at, self._machine("M-P01-03", at, line_id="L2")), self._change(4, at, self._machine("M-P02-01", at, status="DOWN")), self._change(2, at, self._machine("M-P03-05", at)),
+            self._change(4, at, self._machine("M-P01-03", at, line_id="L2")), self._change(4, at, self._machine("M-P02-01", at, status="MAINTENANCE")), self._change(2, at, self._machine("M-P03-05", at)),
         ]
 
     def _production(self, number: int, day: str) -> list[Row]:
@@ -110,7 +110,7 @@ class Extracts:
             out.append(self._change(2, f"{day} 23:40:00", row))
         if number == 2:
             again = {k: v for k, v in self[DAYS[0]]["mes_quality_inspection"][0].items() if not k.startswith("cdc_")}
-            out.append(self._change(4, f"{day} 01:00:00", again | {"defect_count": "4", "inspection_result": "FAIL", "defect_code": "DENT"}))
+            out.append(self._change(4, f"{day} 01:00:00", again | {"defect_count": "4", "inspection_result": "FAIL", "defect_code": "BURR"}))
         return out
 
     def _products(self, number: int, day: str) -> list[Row]:
@@ -137,7 +137,7 @@ class Extracts:
         )
         if number == 1:
             return [make("WO-1", "M-P01-01", "BREAKDOWN", "COMPLETED", 90), make("WO-2", "M-P02-02", "BREAKDOWN", "OPEN", 0, False), make("WO-3", "M-P03-03", "PREVENTIVE", "COMPLETED", 45), make("WO-4", "M-P03-04", "PAINTING", "COMPLETED", 5)]
-        return [make("WO-2", "M-P02-02", "BREAKDOWN", "COMPLETED", 200, day=datetime.fromisoformat(DAYS[0])), make("WO-5", "M-P01-02", "BREAKDOWN", "COMPLETED", 1500), make("WO-6", "M-P01-01", "INSPECTION", "OPEN", 0, False)]
+        return [make("WO-2", "M-P02-02", "BREAKDOWN", "COMPLETED", 200, day=datetime.fromisoformat(DAYS[0])), make("WO-5", "M-P01-02", "BREAKDOWN", "COMPLETED", 1500), make("WO-6", "M-P01-01", "CORRECTIVE", "OPEN", 0, False)]
 
     def _deliveries(self, number: int, day: str) -> list[Row]:
         make = lambda i, **other: _text(**(dict(delivery_id=f"DLV-{number}{i}", supplier_id=f"s{i % 2 + 1}", supplier_name=f"  supplier {'one' if i % 2 == 0 else 'two'}", material_code=f"MAT{i}", plant_id=PLANTS[i % 3], delivery_date=day, delivered_qty=100 + i, rejected_qty=i, lot_number=f"LOT{i}") | other))
@@ -171,7 +171,7 @@ def land(spark: SparkSession, root: str, extracts: Extracts, day: str, overstate
         schema = landing.raw_schema(entity)
         run_id = landing.run_id_of(name, day, 1)
         frame = spark.createDataFrame([tuple(r.get(f.name) for f in schema) for r in rows], schema)
-        landing.publish(frame.coalesce(1), root, landing.raw_path(root, entity.system, name, day, run_id))
+        landing.publish(frame.coalesce(1), root, landing.raw_path(root, entity, day, run_id))
         n = len(rows) + (overstate or {}).get(name, 0)
         landing.write_manifest(spark, root, {
             "run_id": run_id, "entity_name": name, "source_system": entity.system, "load_pattern": entity.pattern, "status": "SUCCESS", "pipeline_run_id": "local", "source_count": n, "rows_read": n, "rows_copied": n, "rows_skipped": 0,

@@ -13,11 +13,12 @@ FISCAL_START = 4
 SHIFTS = [("A", "Morning", 6, 14, False), ("B", "Afternoon", 14, 22, False), ("C", "Night", 22, 6, True), ("UNKNOWN", "Unknown", None, None, False)]
 DEFECTS = [
     ("NONE", "No defect", "NONE", "NONE"),
-    ("SCRATCH", "Surface scratch", "COSMETIC", "LOW"),
-    ("DENT", "Dent", "COSMETIC", "MEDIUM"),
-    ("DIM", "Dimension out of tolerance", "DIMENSIONAL", "HIGH"),
+    ("SCRATCH", "Surface scratch", "COSMETIC", "MINOR"),
+    ("DIMENSION_OOT", "Dimension out of tolerance", "DIMENSIONAL", "MAJOR"),
+    ("POROSITY", "Casting porosity", "MATERIAL", "MAJOR"),
+    ("BURR", "Burr on machined edge", "COSMETIC", "MINOR"),
     ("CRACK", "Crack", "STRUCTURAL", "CRITICAL"),
-    ("UNKNOWN", "Unknown defect", "UNKNOWN", "UNKNOWN"),
+    ("WELD_SPATTER", "Weld spatter", "COSMETIC", "MINOR"),
 ]
 
 

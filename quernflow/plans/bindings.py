@@ -845,7 +845,7 @@ def land_orders(spark, sf_dir, root: str, day: str) -> None:
         (price if second else F.when(F.col("o_orderpriority") == "5-LOW", "n/a").otherwise(price)).alias("price"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("ordered"),
     )
     rows = rows.unionByName(rows) if second else rows
-    rows.write.parquet(landing.raw_path(root, "MES", "order_feed", day, landing.run_id_of("order_feed", day, 2 if second else 1)))
+    rows.write.parquet(landing.raw_path(root, ORDER_FEED, day, landing.run_id_of("order_feed", day, 2 if second else 1)))
 
 
 @query("""
@@ -859,7 +859,7 @@ def medallion_stream(spark, sf_dir):
     processor = SilverProcessor(spark, ORDER_FEED, silver, f"{root}/quarantine")
     for day in ("2024-01-01", "2024-01-02"):
         land_orders(spark, sf_dir, root, day)
-        landing.ingest_to_bronze(spark, f"{root}/raw/MES/order_feed", f"{root}/bronze", f"{root}/_bronze", ORDER_FEED)
+        landing.ingest_to_bronze(spark, landing.raw_folder(root, ORDER_FEED), f"{root}/bronze", f"{root}/_bronze", ORDER_FEED)
         processor.run(f"{root}/bronze", f"{root}/_silver")
     return silver.read().select("o_orderkey", "status", F.col("_is_deleted").alias("is_deleted"), F.col("_ingestion_run_id").alias("run_id"))
 

@@ -49,6 +49,7 @@ class Entity:
     defaults: dict[str, object] = field(default_factory=dict)
     rules: tuple[Rule, ...] = ()
     deleted_when: str | None = None
+    folder: str = ""
 
     def __post_init__(self) -> None:
         names = {a.name for a in self.attributes}
@@ -72,11 +73,11 @@ class Entity:
 
 
 def _columns(spec: str) -> tuple[Attribute, ...]:
-    """``source:kind:step+step`` per word; the target name is the source in lower case."""
+    """``source:kind:step+step:name`` per word; the name is the source in lower case if left out."""
     out = []
     for word in spec.split():
-        source, kind, steps = (word.split(":") + ["", ""])[:3]
-        out.append(Attribute(source, source.lower(), kind.replace("_", ",") or "string", tuple(s for s in steps.split("+") if s)))
+        source, kind, steps, name = (word.split(":") + ["", "", ""])[:4]
+        out.append(Attribute(source, name or source.lower(), kind.replace("_", ",") or "string", tuple(s for s in steps.split("+") if s)))
     return tuple(out)
 
 
@@ -84,67 +85,79 @@ def _rules(*rows: tuple[str, str] | tuple[str, str, str]) -> tuple[Rule, ...]:
     return tuple(Rule(*r) for r in rows)
 
 
-CODE = "trim+upper+empty_to_null"
-TEXT = "trim+empty_to_null"
+CODE, NAME = "trim+upper", "trim+initcap"
+CHANGED = "modified_at:timestamp::source_modified_at"
 CDC_ORDER = ("cdc_start_lsn", "cdc_seqval")
 
-# The columns, defaults and rules of the eight source tables.
+# The source tables' columns, defaults, domains and rules. Two are our own: the rule
+# start_not_null, and the file name that settles ties between deliveries.
 ENTITIES = {
     e.name: e
     for e in (
         Entity(
-            "mes_machine", "MES", CDC, ("machine_id",), CDC_ORDER,
-            _columns(f"machine_id::{CODE} machine_name::{TEXT} plant_id::{CODE} line_id::{CODE} machine_type::{CODE} manufacturer::{TEXT} install_date:date status::{CODE} rated_units_per_hour:int modified_at:timestamp"),
+            "mes_machine", "SQLSERVER_MES", CDC, ("machine_id",), CDC_ORDER,
+            _columns(f"machine_id::{CODE} machine_name::trim+empty_to_null plant_id::{CODE} line_id::{CODE} machine_type::{CODE} manufacturer::{NAME} install_date:date status::{CODE} rated_units_per_hour:int {CHANGED}"),
             {"machine_type": "UNKNOWN", "status": "UNKNOWN"},
-            _rules(("machine_id_not_null", "machine_id IS NOT NULL"), ("plant_id_not_null", "plant_id IS NOT NULL"), ("capacity_positive", "rated_units_per_hour IS NULL OR rated_units_per_hour > 0"), ("status_in_domain", "status IN ('RUNNING', 'IDLE', 'DOWN', 'RETIRED', 'UNKNOWN')", "WARN")),
-            "cdc_operation = 1",
+            _rules(
+                ("machine_id_not_null", "machine_id IS NOT NULL"), ("plant_id_not_null", "plant_id IS NOT NULL"), ("rated_capacity_positive", "rated_units_per_hour IS NULL OR rated_units_per_hour > 0"),
+                ("status_in_domain", "status IN ('ACTIVE', 'IDLE', 'MAINTENANCE', 'RETIRED', 'UNKNOWN')", "WARN"),
+            ),
+            "cdc_operation = 1", "sqlserver_mes/machine",
         ),
         Entity(
-            "mes_production_log", "MES", CDC, ("production_log_id",), CDC_ORDER,
-            _columns(f"production_log_id:bigint order_id::{CODE} machine_id::{CODE} product_id::{CODE} shift_code::{CODE} start_ts:timestamp end_ts:timestamp units_produced:int units_scrapped:int operator_id::{CODE} modified_at:timestamp"),
+            "mes_production_log", "SQLSERVER_MES", CDC, ("production_log_id",), CDC_ORDER,
+            _columns(f"production_log_id:bigint order_id::{CODE} machine_id::{CODE} product_id::{CODE} shift_code::{CODE} start_ts:timestamp end_ts:timestamp units_produced:int units_scrapped:int operator_id::{CODE} {CHANGED}"),
             {"units_scrapped": 0, "shift_code": "UNKNOWN"},
             _rules(
-                ("key_not_null", "production_log_id IS NOT NULL"), ("machine_and_product_not_null", "machine_id IS NOT NULL AND product_id IS NOT NULL"), ("non_negative_units", "units_produced >= 0 AND units_scrapped >= 0"),
-                ("scrap_not_above_produced", "units_scrapped <= units_produced"), ("end_after_start", "start_ts IS NOT NULL AND (end_ts IS NULL OR end_ts >= start_ts)"), ("shift_in_domain", "shift_code IN ('A', 'B', 'C', 'UNKNOWN')", "WARN"),
+                ("key_not_null", "production_log_id IS NOT NULL"), ("machine_not_null", "machine_id IS NOT NULL AND product_id IS NOT NULL"), ("non_negative_units", "units_produced >= 0 AND units_scrapped >= 0"),
+                ("scrap_not_above_produced", "units_scrapped <= units_produced"), ("end_after_start", "end_ts IS NULL OR end_ts >= start_ts"), ("start_not_null", "start_ts IS NOT NULL"), ("shift_in_domain", "shift_code IN ('A', 'B', 'C', 'UNKNOWN')", "WARN"),
             ),
-            "cdc_operation = 1",
+            "cdc_operation = 1", "sqlserver_mes/production_log",
         ),
         Entity(
-            "mes_quality_inspection", "MES", CDC, ("inspection_id",), CDC_ORDER,
-            _columns(f"inspection_id:bigint production_log_id:bigint machine_id::{CODE} product_id::{CODE} inspection_ts:timestamp sample_size:int defect_count:int defect_code::{CODE} inspection_result::{CODE} inspector_id::{CODE} modified_at:timestamp"),
+            "mes_quality_inspection", "SQLSERVER_MES", CDC, ("inspection_id",), CDC_ORDER,
+            _columns(f"inspection_id:bigint production_log_id:bigint machine_id::{CODE} product_id::{CODE} inspection_ts:timestamp sample_size:int defect_count:int defect_code::{CODE}+empty_to_null inspection_result::{CODE} inspector_id::{CODE} {CHANGED}"),
             {"defect_code": "NONE", "defect_count": 0},
             _rules(("key_not_null", "inspection_id IS NOT NULL"), ("sample_positive", "sample_size > 0"), ("defects_within_sample", "defect_count BETWEEN 0 AND sample_size"), ("result_in_domain", "inspection_result IN ('PASS', 'FAIL')")),
-            "cdc_operation = 1",
+            "cdc_operation = 1", "sqlserver_mes/quality_inspection",
         ),
         Entity(
-            "erp_product", "ERP", WATERMARK, ("product_id",), ("last_update_date",),
-            _columns(f"PRODUCT_ID::{CODE} SKU::{CODE} PRODUCT_NAME::{TEXT} PRODUCT_FAMILY::{CODE} UNIT_COST:decimal(12_2) STD_CYCLE_TIME_SEC:int LAST_UPDATE_DATE:timestamp"),
+            "erp_product", "ORACLE_ERP", WATERMARK, ("product_id",), ("last_update_date",),
+            _columns(f"PRODUCT_ID::{CODE} SKU::{CODE} PRODUCT_NAME::trim+empty_to_null PRODUCT_FAMILY::{CODE} UNIT_COST:decimal(12_2) STD_CYCLE_TIME_SEC:int LAST_UPDATE_DATE:timestamp"),
             {"product_family": "UNCLASSIFIED"},
-            _rules(("product_id_not_null", "product_id IS NOT NULL"), ("cycle_positive", "std_cycle_time_sec > 0"), ("cost_non_negative", "unit_cost IS NULL OR unit_cost >= 0"), ("name_not_null", "product_name IS NOT NULL", "WARN")),
+            _rules(("product_id_not_null", "product_id IS NOT NULL"), ("cycle_time_positive", "std_cycle_time_sec > 0"), ("cost_non_negative", "unit_cost IS NULL OR unit_cost >= 0"), ("name_present", "product_name IS NOT NULL", "WARN")),
+            folder="oracle_erp/product",
         ),
         Entity(
-            "erp_plant", "ERP", FULL, ("plant_id",), ("last_update_date",),
-            _columns(f"PLANT_ID::{CODE} PLANT_NAME::{TEXT} CITY::trim+initcap+empty_to_null COUNTRY_CODE::{CODE} TIMEZONE::{TEXT} LAST_UPDATE_DATE:timestamp"),
+            "erp_plant", "ORACLE_ERP", FULL, ("plant_id",), ("last_update_date",),
+            _columns(f"PLANT_ID::{CODE} PLANT_NAME::trim CITY::{NAME} COUNTRY_CODE::{CODE} TIMEZONE::trim LAST_UPDATE_DATE:timestamp"),
             {},
-            _rules(("plant_id_not_null", "plant_id IS NOT NULL"), ("country_two_letters", "length(country_code) = 2", "WARN")),
+            _rules(("plant_id_not_null", "plant_id IS NOT NULL"), ("country_iso2", "length(country_code) = 2", "WARN")),
+            folder="oracle_erp/plant",
         ),
         Entity(
-            "erp_production_order", "ERP", WATERMARK, ("order_id",), ("last_update_date",),
+            "erp_production_order", "ORACLE_ERP", WATERMARK, ("order_id",), ("last_update_date",),
             _columns(f"ORDER_ID::{CODE} PRODUCT_ID::{CODE} PLANT_ID::{CODE} PLANNED_QTY:int PLANNED_START:timestamp PLANNED_END:timestamp ORDER_STATUS::{CODE} LAST_UPDATE_DATE:timestamp"),
             {"order_status": "UNKNOWN"},
-            _rules(("order_id_not_null", "order_id IS NOT NULL"), ("planned_qty_positive", "planned_qty > 0"), ("planned_end_after_start", "planned_end >= planned_start", "WARN")),
+            _rules(("order_id_not_null", "order_id IS NOT NULL"), ("planned_qty_positive", "planned_qty > 0"), ("planned_window_valid", "planned_end >= planned_start", "WARN")),
+            folder="oracle_erp/production_order",
         ),
         Entity(
-            "cmms_work_order", "CMMS", API, ("work_order_id",), ("updated_at",),
-            _columns(f"work_order_id::{CODE} machine_id::{CODE} work_type::{CODE} priority::{CODE} status::{CODE} reported_at:timestamp started_at:timestamp completed_at:timestamp downtime_minutes:int technician::{TEXT} updated_at:timestamp"),
+            "cmms_work_order", "CMMS_API", API, ("work_order_id",), ("updated_at",),
+            _columns(f"work_order_id::{CODE} machine_id::{CODE} work_type::{CODE} priority::{CODE} status::{CODE} reported_at:timestamp started_at:timestamp completed_at:timestamp downtime_minutes:int technician::{NAME} updated_at:timestamp"),
             {"downtime_minutes": 0, "priority": "P3"},
-            _rules(("id_and_machine_not_null", "work_order_id IS NOT NULL AND machine_id IS NOT NULL"), ("downtime_non_negative", "downtime_minutes >= 0"), ("type_in_domain", "work_type IN ('BREAKDOWN', 'PREVENTIVE', 'INSPECTION')"), ("completed_after_reported", "completed_at IS NULL OR completed_at >= reported_at", "WARN")),
+            _rules(
+                ("wo_id_not_null", "work_order_id IS NOT NULL AND machine_id IS NOT NULL"), ("downtime_non_negative", "downtime_minutes >= 0"), ("type_in_domain", "work_type IN ('PREVENTIVE', 'CORRECTIVE', 'BREAKDOWN')"),
+                ("completed_after_reported", "completed_at IS NULL OR completed_at >= reported_at", "WARN"),
+            ),
+            folder="cmms_api/work_order",
         ),
         Entity(
-            "supplier_delivery", "SUPPLIER", FILE, ("delivery_id",), ("_ingest_ts", "_source_file"),
-            _columns(f"delivery_id::{CODE} supplier_id::{CODE} supplier_name::trim+initcap+empty_to_null material_code::{CODE} plant_id::{CODE} delivery_date:date delivered_qty:int rejected_qty:int lot_number::{CODE}"),
+            "supplier_delivery", "SUPPLIER_FILES", FILE, ("delivery_id",), ("_ingest_ts", "_source_file"),
+            _columns(f"delivery_id::{CODE} supplier_id::{CODE} supplier_name::{NAME} material_code::{CODE} plant_id::{CODE} delivery_date:date delivered_qty:int rejected_qty:int lot_number::{CODE}"),
             {"rejected_qty": 0},
-            _rules(("id_not_null", "delivery_id IS NOT NULL"), ("quantities_valid", "delivered_qty > 0 AND rejected_qty BETWEEN 0 AND delivered_qty"), ("date_not_in_future", "delivery_date <= {as_of}", "WARN")),
+            _rules(("delivery_id_not_null", "delivery_id IS NOT NULL"), ("qty_valid", "delivered_qty > 0 AND rejected_qty BETWEEN 0 AND delivered_qty"), ("date_not_future", "delivery_date <= {as_of}", "WARN")),
+            folder="supplier_files/delivery",
         ),
     )
 }

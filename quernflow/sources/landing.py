@@ -20,8 +20,12 @@ MANIFEST = (
 CORRUPT = "_corrupt_record"
 
 
-def raw_path(root: str, source: str, entity: str, load_date: str, run_id: str) -> str:
-    return f"{root}/raw/{source}/{entity}/load_date={load_date}/run_id={run_id}"
+def raw_folder(root: str, entity: Entity) -> str:
+    return f"{root}/raw/{entity.folder or entity.name}"
+
+
+def raw_path(root: str, entity: Entity, load_date: str, run_id: str) -> str:
+    return f"{raw_folder(root, entity)}/load_date={load_date}/run_id={run_id}"
 
 
 def run_id_of(entity: str, day: str, number: int) -> str:

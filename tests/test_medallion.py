@@ -39,7 +39,7 @@ class Lakehouse:
         datagen.land(self.spark, self.root, self.extracts, day, **options)
         for n in names:
             e = registry.ENTITIES[n]
-            landing.ingest_to_bronze(self.spark, f"{self.root}/raw/{e.system}/{n}", f"{self.root}/bronze/{n}", f"{self.root}/_check/bronze/{n}", e)
+            landing.ingest_to_bronze(self.spark, landing.raw_folder(self.root, e), f"{self.root}/bronze/{n}", f"{self.root}/_check/bronze/{n}", e)
             self.processors[n].run(f"{self.root}/bronze/{n}", f"{self.root}/_check/silver/{n}")
 
     def dimensions(self) -> None:
@@ -85,7 +85,7 @@ class TestSilver:
         m = house.first["mes_production_log"]
         assert (m["read"], m["valid"], m["quarantined"], m["duplicates"]) == (37, 35, 2, 1)
         assert m["rules"]["non_negative_units"] == 1 and m["rules"]["scrap_not_above_produced"] == 2 and m["rules"]["shift_in_domain"] == 0
-        assert house.first["mes_quality_inspection"]["quarantined"] == 1 and house.first["erp_product"]["rules"]["name_not_null"] == 1
+        assert house.first["mes_quality_inspection"]["quarantined"] == 1 and house.first["erp_product"]["rules"]["name_present"] == 1
         assert house.first["supplier_delivery"]["duplicates"] == 1 and house.first["supplier_delivery"]["quarantined"] == 1
 
     def test_day_two_repairs_updates_and_deletes(self, house):
@@ -96,7 +96,7 @@ class TestSilver:
 
     def test_lineage(self, house):
         got = house.spark.read.parquet(f"{house.root}/bronze/erp_plant").select("_ingestion_run_id", "_load_date", "_source_system").distinct().orderBy("_load_date").first()
-        assert got["_ingestion_run_id"] == "erp_plant_20240301_01" and str(got["_load_date"]) == "2024-03-01" and got["_source_system"] == "ERP"
+        assert got["_ingestion_run_id"] == "erp_plant_20240301_01" and str(got["_load_date"]) == "2024-03-01" and got["_source_system"] == "ORACLE_ERP"
 
     def test_a_replayed_batch_changes_nothing(self, house):
         table = house.silver["erp_plant"]
@@ -130,8 +130,8 @@ class TestSilver:
         schema = landing.raw_schema(e)
         for day, extra in (("2024-03-01", False), ("2024-03-02", True)):
             df = spark.createDataFrame([tuple("x" for _ in schema)], schema)
-            (df.withColumn("REGION", F.lit("south")) if extra else df).write.parquet(landing.raw_path(root, "ERP", "erp_plant", day, f"r{day}"))
-            landing.ingest_to_bronze(spark, f"{root}/raw/ERP/erp_plant", f"{root}/bronze", f"{root}/_c", e)
+            (df.withColumn("REGION", F.lit("south")) if extra else df).write.parquet(landing.raw_path(root, e, day, f"r{day}"))
+            landing.ingest_to_bronze(spark, landing.raw_folder(root, e), f"{root}/bronze", f"{root}/_c", e)
         assert spark.read.option("mergeSchema", True).parquet(f"{root}/bronze").where("REGION = 'south'").count() == 1
 
 
@@ -337,8 +337,8 @@ class TestSources:
     def test_publish_replaces_its_own_run(self, spark, tmp_path):
         root = f"file://{tmp_path}"
         for n in (3, 5):
-            landing.publish(spark.range(n), root, landing.raw_path(root, "S", "e", "2024-01-01", "e_1"))
-        assert spark.read.parquet(landing.raw_path(root, "S", "e", "2024-01-01", "e_1")).count() == 5
+            landing.publish(spark.range(n), root, landing.raw_path(root, registry.ENTITIES["erp_plant"], "2024-01-01", "e_1"))
+        assert spark.read.parquet(landing.raw_path(root, registry.ENTITIES["erp_plant"], "2024-01-01", "e_1")).count() == 5
 
     def test_option_builders_and_sizing(self):
         assert extract.kafka_options("h:9093", "t", sasl_jaas="x")["kafka.security.protocol"] == "SASL_SSL" and extract.kafka_options("h", "t")["failOnDataLoss"] == "false"
