@@ -29,80 +29,80 @@ from quernflow.llm.common import in_arrow, in_pandas, materialise
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Remembered chunks, and the longest chunk worth remembering.
 CACHE, CHUNK = 600_000, 48
-#: Punctuation that never joins the word before it (an apostrophe may), and the separator.
-MARKS, STOP = b".,!?;:#$%&*|", "\x01"
+#: Punctuation that never joins the word before it (an apostrophe may).
+MARKS = b".,!?;:#$%&*|"
 
 
-class ChunkEncoder:
-    """Token ids of whole texts as little-endian 32-bit bytes.
+def byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it is a
+    visible Latin-1 character, else one from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in visible)}
+    return [chr(hidden.get(b, b)) for b in range(256)]
+
+
+class ChunkEncoder(dict):
+    """Token ids of whole texts as little-endian 32-bit bytes; a dictionary of chunks.
 
     White space separates tokens in this vocabulary, so a text's ids are its chunks' ids
     in order, and chunks that come again are encoded once. Only ASCII white space is cut at:
-    what it separates is not changed by the tokenizer's normal form. An ASCII word in front of
-    punctuation is a token run of its own, so words are also remembered without it. The rest
-    goes to the tokenizer in one text, with a control character between the chunks.
+    what it separates is not changed by the tokenizer's normal form. A word of Latin letters
+    is one token run, whatever punctuation follows it; it goes to the tokenizer's model
+    itself, lower-cased and as byte letters, and is remembered without the punctuation.
+    Anything else goes through the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
         self.parts: dict[bytes, bytes] = {}
-        self.stop = self._ids(STOP)[0]
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _together(self, chunks: list[bytes]) -> Iterator[bytes]:
-        ids = np.array(self._ids(f" {STOP} ".join(c.decode() for c in chunks)), "<u4")
-        ends = np.append(np.flatnonzero(ids == self.stop), len(ids))
-        data, start = ids.tobytes(), 0
-        for end in ends.tolist():
-            yield data[4 * start : 4 * end]
-            start = end + 1
-
-    def _word(self, word: bytes) -> bytes:
-        """Ids of lower-case ASCII letters."""
+        self.letters = dict(enumerate(byte_letters()))
+
+    def _whole(self, chunk: bytes) -> bytes:
+        ids = self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _run(self, word: str) -> bytes:
+        found = [x.id for x in self.model.tokenize(word)]
+        return struct.pack(f"<{len(found)}I", *found)
+
+    def _word(self, word: bytes) -> bytes | None:
+        """Ids of a word of Latin letters, else None."""
+        if word.isalpha():  # ASCII letters are their own byte letters
+            word = word.lower()
+            if word not in self.parts:
+                self.parts[word] = self._run(word.decode())
+            return self.parts[word]
         if word not in self.parts:
-            found = [x.id for x in self.tokenizer.model.tokenize(word.decode())]
-            self.parts[word] = struct.pack(f"<{len(found)}I", *found)
+            text = word.decode()
+            # below U+0180 letters are in normal form and lower-case one by one; a dotted capital I is not
+            if not text.isalpha() or max(text) >= "\u0180" or "\u0130" in text:
+                return None
+            self.parts[word] = self._run(text.lower().encode().decode("latin-1").translate(self.letters))
         return self.parts[word]
 
-    def _mark(self, marks: bytes) -> bytes:
-        if marks not in self.parts:
-            found = self._ids(marks.decode())
-            self.parts[marks] = struct.pack(f"<{len(found)}I", *found)
-        return self.parts[marks]
-
-    def _learn(self, chunks: Iterable[bytes]) -> None:
-        rest = []
-        for c in chunks:
-            word = c.rstrip(MARKS)
-            if word.isalpha() and len(c) <= CHUNK:
-                tail = c[len(word) :]
-                self.known[c] = self._word(word.lower()) + (self._mark(tail) if tail else b"")
-            elif STOP.encode() in c:
-                found = self._ids(c.decode())
-                self.known[c] = struct.pack(f"<{len(found)}I", *found)
-            else:
-                rest.append(c)
-        if rest:
-            self.known.update(zip(rest, self._together(rest), strict=True))
+    def __missing__(self, chunk: bytes) -> bytes:
+        word = chunk.rstrip(MARKS)
+        ids = self._word(word) if word else None
+        if ids is None:
+            ids = self._whole(chunk)
+        elif len(word) < len(chunk):
+            tail = chunk[len(word) :]
+            if tail not in self.parts:
+                self.parts[tail] = self._whole(tail)
+            ids += self.parts[tail]
+        if len(chunk) <= CHUNK:
+            if len(self) > CACHE:
+                self.clear()
+                self.parts.clear()
+            self[chunk] = ids
+        return ids
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         for text in texts:
-            chunks = text.encode().split()
-            new = set(chunks).difference(self.known)
-            if new:
-                if len(self.known) > CACHE:
-                    self.known.clear()
-                    self.parts.clear()
-                    new = set(chunks)
-                self._learn(new)
-            yield b"".join(map(self.known.__getitem__, chunks))
-            for c in new:
-                if len(c) > CHUNK:
-                    del self.known[c]
+            yield b"".join(map(self.__getitem__, text.encode().split()))
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int) -> DataFrame:
