@@ -178,23 +178,27 @@ class Index:
             at = open_[s : s + 1024]
             z = self.project[np.concatenate([ids[at], ids[at + 1]], axis=1)].sum(axis=1)
             near = z @ self.latent.T / norm[at][:, None]
-            for p, i in zip(*np.nonzero(near >= self.cosine), strict=True):
-                doc = int(np.searchsorted(first, at[p], side="right")) - 1
-                yield doc, int(at[p] - first[doc]) * BLOCK, int(i), float(near[p, i])
+            passage, item = np.nonzero(near >= self.cosine)
+            block = at[passage]
+            doc = np.searchsorted(first, block, side="right") - 1
+            yield from zip(doc.tolist(), ((block - first[doc]) * BLOCK).tolist(), item.tolist(), near[passage, item].tolist(), strict=True)
 
     def hits(self, docs: list[list[str]]) -> dict[tuple[int, int], tuple[float, float, float, int]]:
         """By (document, item): best subsequence, answer share, cosine, first word."""
         out: dict[tuple[int, int], tuple[float, float, float, int]] = {}
+        margin, here = max(len(w) for _, w in self.items), None
         for doc, start, i, near in self.candidates(docs):
-            words = self.items[i][1]
+            if here != (doc, start):
+                here, near_by = (doc, start), set(docs[doc][max(0, start - margin) : start + 2 * BLOCK + margin])
+            words, telling = self.items[i][1], self.telling[i]
+            # what the text near by lacks, no subsequence can have
+            least = self.loose if len(near_by.intersection(telling)) >= self.answer * len(telling) else self.strict
+            if sum(map(near_by.__contains__, words)) < least * len(words):
+                continue
             around = docs[doc][max(0, start - len(words)) : start + 2 * BLOCK + len(words)]
-            there = set(around)
-            told = sum(w in there for w in self.telling[i]) / len(self.telling[i])
-            least = self.loose if told >= self.answer else self.strict
-            if sum(w in there for w in words) < least * len(words):
-                continue  # the subsequence cannot be longer
+            told = len(set(around).intersection(telling)) / len(telling)
             share = common_length(self.bits[i], len(words), around) / len(words)
-            if share >= least:
+            if share >= (self.loose if told >= self.answer else self.strict):
                 out[doc, i] = max(out.get((doc, i), (-1.0, 0.0, 0.0, 0)), (share, told, near, -start))
         return out
 
