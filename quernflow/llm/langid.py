@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 
 from quernflow.llm.common import held_out, in_arrow
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Characters that count as word characters but are numerals, not letters.
+NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+WORD = re.compile(rf"[^\W\d_{NUMERALS}]+")
 UNKNOWN = "und"
 BITS = 17
 BUCKETS = 1 << BITS

@@ -388,6 +388,9 @@ class TestLanguage:
         assert len(out) > 150 and np.mean(out) > 0.97 and all(0 <= r["score"] <= 1 for r in got)
         assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
 
+    def test_words_are_letters(self):
+        assert langid.words_of("Ab½c ² Ⅷ x1y _z é") == ["ab", "c", "x", "y", "z", "é"] and langid.words_of(None) == []
+
     def test_code_switched_text(self):
         english, french = "the house and of with that from is".split(), "maison avec dans les une pour est que".split()
         field = langid.fit([english * 20, french * 20], ["en", "fr"])
