@@ -18,6 +18,8 @@ _LOCAL: dict[str, str] = {}
 #: Applications whose executors have this package.
 _SHIPPED: set[str] = set()
 
+ROWS_PER_FILE = 1 << 19
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
@@ -43,19 +45,22 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/quernflow/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> tuple[DataFrame, str]:
+def written(df: DataFrame, tag: str, most_rows: int | None = None) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet into the shared folder and read it again; also its path.
 
-    The lineage ends here: a lost executor costs a re-read, not a recomputation.
+    The lineage ends here: a lost executor costs a re-read, not a recomputation. If a bound of
+    the rows is known, they go into as few files as hold them at ROWS_PER_FILE each.
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path, partitionBy=partition_by)
+    if most_rows is not None:
+        df = df.coalesce(max(1, -(-most_rows // ROWS_PER_FILE)))
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def materialise(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataFrame:
-    return written(df, tag, partition_by)[0]
+def materialise(df: DataFrame, tag: str, most_rows: int | None = None) -> DataFrame:
+    return written(df, tag, most_rows)[0]
 
 
 def remove(spark: SparkSession, path: str) -> None:

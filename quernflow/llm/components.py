@@ -32,13 +32,14 @@ def small_star(edges: DataFrame) -> DataFrame:
     return hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
-    """Null ends and loops are ignored; no edges give an empty result."""
+def connected_components(edges: DataFrame, left: str = "a", right: str = "b", most_rows: int | None = None) -> DataFrame:
+    """Null ends and loops are ignored; no edges give an empty result. ``most_rows``: a bound of
+    the edges, if one is known. Rounds never have more edges than nodes, so than twice the edges."""
     pairs = edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))
-    pairs, path = written(pairs.where(f"{left} IS NOT NULL AND {right} IS NOT NULL").where("u <> v").distinct(), "edges")
+    pairs, path = written(pairs.where(f"{left} IS NOT NULL AND {right} IS NOT NULL").where("u <> v").distinct(), "edges", most_rows)
     before = _signature(pairs)
     while before[0]:
-        pairs, stars = written(small_star(large_star(pairs)), "stars")
+        pairs, stars = written(small_star(large_star(pairs)), "stars", 2 * before[0])
         remove(pairs.sparkSession, path)
         after, path = _signature(pairs), stars
         if after == before:

@@ -124,7 +124,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10, batches: int = 3, fanout
     cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000)).first()[0] if batches > 1 else None
     cuts = sorted(set(cuts or []))
     batch = sum(((F.col("doc_id") > c).cast("int") for c in cuts), F.lit(0))
-    hashes, path = written(hashes.withColumn("_batch", batch), "lines", ["_batch"])
+    hashes, path = written(hashes.withColumn("_batch", batch), "lines")
     used = [path]
     runs = LineRuns(spark, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), fanout)
     losses: list[DataFrame] = []

@@ -161,8 +161,9 @@ def near_duplicates(docs: DataFrame, size: int = 3, words: int = 1, bands: int =
     """doc_id, w0.., component_id: the smallest doc_id that links reach."""
     names = [f"w{i}" for i in range(words)]
     marks = materialise(fingerprints(docs, size, words), "fingerprints")
-    codes = materialise(marks.groupBy(*names).agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"), "codes")
-    groups = connected_components(links(codes, words, bands, budget))
+    codes = marks.groupBy(*names).agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL")
+    # a band's forest has fewer edges than codes
+    groups = connected_components(links(codes, words, bands, budget), most_rows=len(band_layout(words, bands)) * marks.count())
     named = codes.join(groups, F.col("rep") == F.col("node"), "left").select(*names, F.coalesce("component", "rep").alias("component_id"))
     return marks.join(named, names, "left").select("doc_id", *names, "component_id")
 
