@@ -195,7 +195,9 @@ def pack(cut: DataFrame, window: int, group_rows: int) -> DataFrame:
         yield rows.assign(sequence_id=base + placed[:, 0], offset=placed[:, 1])
 
     groups = max(1, -(-cut.count() // group_rows))
-    spread = cut.withColumn("doc_id", F.col("doc_id").cast("long")).repartition(groups, F.xxhash64("doc_id", "start", "ids_crc32"))
+    # dealt in turn, so that rows repeated any number of times spread as well; Spark sorts before
+    # it deals, which makes a repeated task deal alike
+    spread = cut.withColumn("doc_id", F.col("doc_id").cast("long")).repartition(groups)
     return in_pandas(spread, run, PIECE + ", sequence_id long, offset long")
 
 

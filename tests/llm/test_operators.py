@@ -138,6 +138,11 @@ class TestPacking:
             assert list(s["offset"]) == list(s["length"].cumsum() - s["length"]) and s["length"].sum() <= 4096
         assert packing.pack_documents(rows.limit(0), WORD_BPE).count() == 0
 
+    def test_repeated_rows_spread_over_the_groups(self, spark):
+        same = docs(spark, [(None, "")] * 400 + [(1, "some words here")] * 400)
+        got = packing.pack_documents(same, WORD_BPE, group_rows=100)
+        assert got.count() == 800 and got.groupBy(F.shiftright("sequence_id", 40).alias("g")).count().agg(F.max("count")).first()[0] <= 120
+
     def test_little_padding(self, spark, sf):
         got = QUERIES["op2_packing"](spark, sf).groupBy("sequence_id").agg(F.sum("length").alias("n")).toPandas()["n"]
         assert got.sum() / (4096 * len(got)) > 0.95
