@@ -22,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +31,7 @@ from pyspark.sql import functions as F
 
 from quernflow.llm.common import held_out, in_arrow
 
-#: Characters that count as word characters but are numerals, not letters.
-NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-WORD = re.compile(rf"[^\W\d_{NUMERALS}]+")
+WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 BITS = 17
 BUCKETS = 1 << BITS
@@ -41,7 +40,12 @@ CACHE, PADDED = 300_000, 1 << 18
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    """Runs of letters, lower-cased. Numerals that are no digits are word characters, but no letters."""
+    lower = (text or "").lower()
+    words = WORD.findall(lower)
+    if lower.isascii() or all(map(str.isalpha, words)):
+        return words
+    return ["".join(run) for w in words for letters, run in groupby(w, str.isalpha) if letters]
 
 
 def _bucket(kind: int, value: np.ndarray) -> np.ndarray:
