@@ -5,8 +5,10 @@
 2. Latent space: a distributed randomised SVD of the TF-IDF passages of the benchmark;
    every partition sums its part of the sketch, with one power step.
 3. Candidates: document passages (two neighbouring blocks of words, sliding by a block) are
-   projected and compared with all items by cosine. Passages whose words cannot bring the
-   cosine to the threshold are left out beforehand by a bound, not by a guess.
+   compared with all items by cosine, in the latent space and, by postings of the items'
+   words, in the full one: a space of ``rank`` directions cannot hold any number of items.
+   Passages whose words cannot bring either to the threshold are left out beforehand by a
+   bound, not by a guess.
 4. Check: longest common subsequence of the item and the text around the passage, and the
    share of the item's *answer* (its most telling words) found there. A hit has a
    subsequence of 0.8 of the item, or of half the item together with most of the answer.
@@ -152,18 +154,42 @@ class Index:
     telling: list[list[str]] = field(default_factory=list)
 
     def __post_init__(self) -> None:
-        vectors = np.zeros((len(self.items), len(self.weight)))
+        size, owner, word, value = len(self.weight), [], [], []
+        self.latent = np.zeros((len(self.items), self.basis.shape[1]), np.float32)
         for i, (_, words) in enumerate(self.items):
-            ids = [self.vocabulary[w] for w in words]
-            np.add.at(vectors[i], ids, self.weight[ids])
+            ids, times = np.unique([self.vocabulary[w] for w in words], return_counts=True)
+            v = times * self.weight[ids]
+            v /= np.linalg.norm(v)
+            inside = v @ self.basis[ids]
+            self.latent[i] = inside / max(np.linalg.norm(inside), 1e-12)
+            owner.append(np.full(len(ids), i))
+            word.append(ids)
+            value.append(v)
             self.bits.append(mask(words))
             distinct = sorted(set(words), key=lambda w: (-self.weight[self.vocabulary[w]], w))
             self.telling.append(distinct[: max(3, math.ceil(len(distinct) / 4))])
-        vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
-        self.most = (vectors.max(axis=0) * self.weight).astype(np.float32)
+        owner, word, value = map(np.concatenate, (owner, word, value))
+        most = np.zeros(size)
+        np.maximum.at(most, word, value)
+        self.whole = self.basis.shape[1] >= len(self.items)  # then both spaces are one
+        for s in range(0, 0 if self.whole else len(self.items), 256):
+            most = np.maximum(most, (self.basis @ self.latent[s : s + 256].T).max(axis=1))
+        self.most = (most * self.weight).astype(np.float32)
         self.square = (self.weight**2).astype(np.float32)
         self.project = (self.weight[:, None] * self.basis).astype(np.float32)
-        self.latent = (vectors @ self.basis).astype(np.float32)
+        order = np.argsort(word, kind="stable")
+        self.owner, self.value = owner[order], (value * self.weight[word])[order]
+        self.count = np.bincount(word, minlength=size)
+        self.start = np.cumsum(self.count) - self.count
+
+    def products(self, words: np.ndarray) -> np.ndarray:
+        """Exact inner products (passage x item) of the passages' words with the items."""
+        count = self.count[words]
+        row = np.repeat(np.arange(len(words)), count.sum(axis=1))
+        c = count.ravel()
+        at = np.repeat(self.start[words].ravel() - np.cumsum(c) + c, c) + np.arange(len(row))
+        n = len(self.items)
+        return np.bincount(row * n + self.owner[at], self.value[at], len(words) * n).reshape(-1, n)
 
     def candidates(self, docs: list[list[str]]) -> Iterator[tuple[int, int, int, float]]:
         """(document, first word, item, cosine) of passages near an item."""
@@ -174,10 +200,14 @@ class Index:
         reach = self.most[ids].sum(axis=1)
         norm = np.sqrt(norm[:-1] + norm[1:])
         open_ = np.flatnonzero((norm > 0) & (reach[:-1] + reach[1:] >= self.cosine * norm))
-        for s in range(0, len(open_), 1024):
-            at = open_[s : s + 1024]
-            z = self.project[np.concatenate([ids[at], ids[at + 1]], axis=1)].sum(axis=1)
-            near = z @ self.latent.T / norm[at][:, None]
+        step = max(1, min(1024, (1 << 20) // len(self.items)))
+        for s in range(0, len(open_), step):
+            at = open_[s : s + step]
+            words = np.concatenate([ids[at], ids[at + 1]], axis=1)
+            near = self.products(words)
+            if not self.whole:
+                near = np.maximum(near, self.project[words].sum(axis=1) @ self.latent.T)
+            near /= norm[at][:, None]
             passage, item = np.nonzero(near >= self.cosine)
             block = at[passage]
             doc = np.searchsorted(first, block, side="right") - 1

@@ -524,6 +524,15 @@ class TestContamination:
         got = {(r["doc_id"], r["item_id"]) for r in contamination.find_leaks(docs(spark, rows).repartition(3), bench, block=block).collect()}
         assert got == want
 
+    def test_thousands_of_items(self, spark):
+        draw = random.Random(6)
+        make = lambda n: [f"w{int(20_000 * draw.random() ** 3)}" for _ in range(n)]
+        items = [make(draw.randrange(15, 60)) for _ in range(2000)]
+        rows = [(i, " ".join(make(200) + x + make(200))) for i, x in enumerate(items)]
+        bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+        got = {(r["doc_id"], r["item_id"]) for r in contamination.find_leaks(docs(spark, rows), bench).collect()}
+        assert {(i, i) for i in range(2000)} <= got and len(got) <= 2010
+
     def test_exact_passages_of_the_tables(self, spark, sf):
         folder = sf.replace("0.001", "0.01")
         texts = [(r[0], r[1]) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
