@@ -7,11 +7,15 @@
 3. Candidates: document passages (two neighbouring blocks of words, sliding by a block) are
    compared with all items by cosine, in the latent space and, by postings of the items'
    words, in the full one: a space of ``rank`` directions cannot hold any number of items.
-   Passages whose words cannot bring either to the threshold are left out beforehand by a
-   bound, not by a guess.
+   Items longer than a passage are searched for by overlapping pieces of a passage's length
+   too. A passage is also near if it holds the share ``own`` of the weight of an item or
+   piece, however small that is beside the passage's other words; one of the passages that
+   an unchanged copy touches holds half. Passages whose words cannot bring any of these to
+   its threshold are left out beforehand by a bound, not by a guess.
 4. Check: longest common subsequence of the item and the text around the passage, and the
    share of the item's *answer* (its most telling words) found there. A hit has a
    subsequence of 0.8 of the item, or of half the item together with most of the answer.
+   For items of at most SHORT words both must be in twice as many neighbouring words.
 
 Items go in blocks of ``block`` rows, which bounds what is sent to the executors.
 Defined results for odd input: null and wordless texts and items match nothing; rows that
@@ -38,6 +42,7 @@ from quernflow.llm.common import in_arrow, partition_sum
 WORD = re.compile(r"\w+")
 BLOCK = 16
 SLICE = 512
+SHORT = 8
 HIT = "doc_id long, item_id long, subsequence double, answer double, cosine double, start_word long"
 
 
@@ -126,6 +131,11 @@ def mask(words: list[str]) -> dict[str, int]:
     return out
 
 
+def pieces_of(words: list[str]) -> list[list[str]]:
+    """Overlapping pieces of a passage's length that cover a longer text."""
+    return [words[k : k + 2 * BLOCK] for k in range(0, len(words) - BLOCK, BLOCK)] if len(words) > 2 * BLOCK else []
+
+
 def common_length(bits: dict[str, int], size: int, words: list[str]) -> int:
     """Length of the longest common subsequence, a bit per word of the first text."""
     full = (1 << size) - 1
@@ -150,27 +160,41 @@ class Index:
     strict: float
     loose: float
     answer: float
+    own: float
     bits: list[dict[str, int]] = field(default_factory=list)
     telling: list[list[str]] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         size, owner, word, value = len(self.weight), [], [], []
+        # the items, then the pieces of the long ones
+        sought = [(i, words) for i, (_, words) in enumerate(self.items)]
+        sought += [(i, piece) for i, words in sought for piece in pieces_of(words)]
+        self.item = np.array([i for i, _ in sought])
+        self.floor = np.full(len(sought), np.inf)
         self.latent = np.zeros((len(self.items), self.basis.shape[1]), np.float32)
-        for i, (_, words) in enumerate(self.items):
+        for k, (i, words) in enumerate(sought):
             ids, times = np.unique([self.vocabulary[w] for w in words], return_counts=True)
             v = times * self.weight[ids]
-            v /= np.linalg.norm(v)
-            inside = v @ self.basis[ids]
-            self.latent[i] = inside / max(np.linalg.norm(inside), 1e-12)
-            owner.append(np.full(len(ids), i))
+            length = np.linalg.norm(v)
+            v /= length
+            owner.append(np.full(len(ids), k))
             word.append(ids)
             value.append(v)
+            if len(words) <= 2 * BLOCK:
+                self.floor[k] = self.own * length
+            if k >= len(self.items):
+                continue
+            inside = v @ self.basis[ids]
+            self.latent[i] = inside / max(np.linalg.norm(inside), 1e-12)
             self.bits.append(mask(words))
             distinct = sorted(set(words), key=lambda w: (-self.weight[self.vocabulary[w]], w))
             self.telling.append(distinct[: max(3, math.ceil(len(distinct) / 4))])
         owner, word, value = map(np.concatenate, (owner, word, value))
         most = np.zeros(size)
         np.maximum.at(most, word, value)
+        share = np.zeros(size)
+        np.maximum.at(share, word, value * self.weight[word] / self.floor[owner])
+        self.share = share.astype(np.float32)
         self.whole = self.basis.shape[1] >= len(self.items)  # then both spaces are one
         for s in range(0, 0 if self.whole else len(self.items), 256):
             most = np.maximum(most, (self.basis @ self.latent[s : s + 256].T).max(axis=1))
@@ -183,13 +207,14 @@ class Index:
         self.start = np.cumsum(self.count) - self.count
 
     def products(self, words: np.ndarray) -> np.ndarray:
-        """Exact inner products (passage x item) of the passages' words with the items."""
-        count = self.count[words]
-        row = np.repeat(np.arange(len(words)), count.sum(axis=1))
-        c = count.ravel()
-        at = np.repeat(self.start[words].ravel() - np.cumsum(c) + c, c) + np.arange(len(row))
-        n = len(self.items)
-        return np.bincount(row * n + self.owner[at], self.value[at], len(words) * n).reshape(-1, n)
+        """Exact inner products (block x item or piece) of the blocks' words."""
+        n, row = len(self.item), np.repeat(np.arange(len(words)), BLOCK)
+        there = np.flatnonzero(words)
+        word, row = words.ravel()[there], row[there]
+        c = self.count[word]
+        begin = np.cumsum(c) - c
+        at = np.repeat(self.start[word] - begin, c) + np.arange(c.sum())
+        return np.bincount(np.repeat(row * n, c) + self.owner[at], self.value[at], len(words) * n).reshape(-1, n)
 
     def candidates(self, docs: list[list[str]]) -> Iterator[tuple[int, int, int, float]]:
         """(document, first word, item, cosine) of passages near an item."""
@@ -197,43 +222,62 @@ class Index:
         if len(ids) < 2:
             return
         norm = self.square[ids].sum(axis=1)
-        reach = self.most[ids].sum(axis=1)
+        reach, share = self.most[ids].sum(axis=1), self.share[ids].sum(axis=1)
         norm = np.sqrt(norm[:-1] + norm[1:])
-        open_ = np.flatnonzero((norm > 0) & (reach[:-1] + reach[1:] >= self.cosine * norm))
-        step = max(1, min(1024, (1 << 20) // len(self.items)))
+        open_ = np.flatnonzero((norm > 0) & ((reach[:-1] + reach[1:] >= self.cosine * norm) | (share[:-1] + share[1:] >= 0.999)))
+        step, items = max(1, min(1024, (1 << 17) // len(self.item))), len(self.items)
         for s in range(0, len(open_), step):
             at = open_[s : s + step]
-            words = np.concatenate([ids[at], ids[at + 1]], axis=1)
-            near = self.products(words)
+            blocks, place = np.unique(np.concatenate([at, at + 1]), return_inverse=True)
+            one, two = place[: len(at)], place[len(at) :]
+            words = ids[blocks]
+            part = self.products(words)
+            if not self.whole:
+                latent = self.project[words].sum(axis=1) @ self.latent.T
+            near = part[one] + part[two]
             if not self.whole:
-                near = np.maximum(near, self.project[words].sum(axis=1) @ self.latent.T)
-            near /= norm[at][:, None]
-            passage, item = np.nonzero(near >= self.cosine)
+                near[:, :items] = np.maximum(near[:, :items], latent[one] + latent[two])
+            passage, sought = np.nonzero((near >= self.cosine * norm[at][:, None]) | (near >= self.floor))
+            pair = passage * items + self.item[sought]
+            cosine = near[passage, sought] / norm[at[passage]]
+            order = np.lexsort((-cosine, pair))
+            order = order[np.diff(pair[order], prepend=-1) != 0]  # the best of an item and its pieces
+            passage, item, cosine = passage[order], pair[order] % items, cosine[order]
             block = at[passage]
             doc = np.searchsorted(first, block, side="right") - 1
-            yield from zip(doc.tolist(), ((block - first[doc]) * BLOCK).tolist(), item.tolist(), near[passage, item].tolist(), strict=True)
+            yield from zip(doc.tolist(), ((block - first[doc]) * BLOCK).tolist(), item.tolist(), cosine.tolist(), strict=True)
 
     def hits(self, docs: list[list[str]]) -> dict[tuple[int, int], tuple[float, float, float, int]]:
         """By (document, item): best subsequence, answer share, cosine, first word."""
         out: dict[tuple[int, int], tuple[float, float, float, int]] = {}
-        margin, here = max(len(w) for _, w in self.items), None
+        here, sets = None, {}
         for doc, start, i, near in self.candidates(docs):
             if here != (doc, start):
-                here, near_by = (doc, start), set(docs[doc][max(0, start - margin) : start + 2 * BLOCK + margin])
+                here, sets = (doc, start), {}
             words, telling = self.items[i][1], self.telling[i]
+            n = len(words)
+            margin = 1 << n.bit_length()
+            if margin not in sets:
+                sets[margin] = set(docs[doc][max(0, start - margin) : start + 2 * BLOCK + margin])
+            near_by = sets[margin]
             # what the text near by lacks, no subsequence can have
             least = self.loose if len(near_by.intersection(telling)) >= self.answer * len(telling) else self.strict
-            if sum(map(near_by.__contains__, words)) < least * len(words):
+            if sum(map(near_by.__contains__, words)) < least * n:
                 continue
-            around = docs[doc][max(0, start - len(words)) : start + 2 * BLOCK + len(words)]
-            told = len(set(around).intersection(telling)) / len(telling)
-            share = common_length(self.bits[i], len(words), around) / len(words)
-            if share >= (self.loose if told >= self.answer else self.strict):
-                out[doc, i] = max(out.get((doc, i), (-1.0, 0.0, 0.0, 0)), (share, told, near, -start))
+            around = docs[doc][max(0, start - n) : start + 2 * BLOCK + n]
+            if n <= SHORT:
+                windows = [around[k : k + 2 * n] for k in range(0, max(1, len(around) - n), max(1, n // 2))]
+            else:
+                windows = [around]
+            for window in windows:
+                told = len(set(window).intersection(telling)) / len(telling)
+                share = common_length(self.bits[i], n, window) / n
+                if share >= (self.loose if told >= self.answer else self.strict):
+                    out[doc, i] = max(out.get((doc, i), (-1.0, 0.0, 0.0, 0)), (share, told, near, -start))
         return out
 
 
-def indexes(docs: DataFrame, bench: DataFrame, rank: int = 128, block: int = 4096, cosine: float = 0.3, strict: float = 0.8, loose: float = 0.5, answer: float = 0.6) -> Iterator[Index]:
+def indexes(docs: DataFrame, bench: DataFrame, rank: int = 256, block: int = 4096, cosine: float = 0.3, strict: float = 0.8, loose: float = 0.5, answer: float = 0.6, own: float = 0.4) -> Iterator[Index]:
     """An index for each block of items; word weights are counted over all documents."""
     bench = bench.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
     blocks = max(1, -(-bench.count() // block))
@@ -245,7 +289,7 @@ def indexes(docs: DataFrame, bench: DataFrame, rank: int = 128, block: int = 409
         vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for _, ws in items for w in ws}))}
         weight = word_weights(docs, vocabulary)
         basis = latent_basis(part, vocabulary, weight, min(rank, len(items)))
-        yield Index(vocabulary, weight, basis, items, cosine, strict, loose, answer)
+        yield Index(vocabulary, weight, basis, items, cosine, strict, loose, answer, own)
 
 
 def find_leaks(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:

@@ -533,6 +533,20 @@ class TestContamination:
         got = {(r["doc_id"], r["item_id"]) for r in contamination.find_leaks(docs(spark, rows), bench).collect()}
         assert {(i, i) for i in range(2000)} <= got and len(got) <= 2010
 
+    def test_items_of_any_length(self, spark):
+        draw = random.Random(9)
+        make = lambda n: [f"w{int(20_000 * draw.random() ** 3)}" for _ in range(n)]
+        items = [make(n) for n in (2, 3, 4, 5, 6, 8, 12, 17, 33, 100, 600, 1000) for _ in range(8)]
+        rows = [(i, " ".join(make(200 + i % 16) + x + make(200))) for i, x in enumerate(items)]
+        bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+        got = {(r["doc_id"], r["item_id"]) for r in contamination.find_leaks(docs(spark, rows), bench).collect()}
+        assert {(i, i) for i in range(len(items))} <= got
+
+    def test_words_of_a_short_item_far_apart(self, spark):
+        rows = [(1, "alpha " + "x " * 12 + "beta"), (2, "x x alpha beta x"), (3, "y " * 30)]
+        bench = spark.createDataFrame([(1, "alpha beta")], "item_id long, text string")
+        assert [r["doc_id"] for r in contamination.find_leaks(docs(spark, rows), bench).collect()] == [2]
+
     def test_exact_passages_of_the_tables(self, spark, sf):
         folder = sf.replace("0.001", "0.01")
         texts = [(r[0], r[1]) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
