@@ -137,7 +137,9 @@ def _search_task(ids: np.ndarray, queries: np.ndarray, mean: np.ndarray, dim: in
                 slack = spread[part, None] * reach[None, :] + np.float32(1e-5)
                 bar = best.bar()
                 if np.isinf(bar).any():  # lower bounds of this part give a first bar
-                    own = np.where(vec[part, None] == ids[None, :], -np.inf, guess - slack)
+                    # rows that repeat an id and a vector have one place, as in Best
+                    _, first = np.unique(np.column_stack([vec[part], (v[part] + 0.0).view(np.int64)]), axis=0, return_index=True)
+                    own = np.where(vec[part, None] == ids[None, :], -np.inf, guess - slack)[first]
                     if own.shape[0] > k:
                         bar = np.maximum(bar, np.partition(own, -k, axis=0)[-k])
                 row, query = np.nonzero((guess + slack >= bar[None, :]) & (vec[part, None] != ids[None, :]))

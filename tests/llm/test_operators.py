@@ -440,6 +440,18 @@ class TestNeighbours:
         once = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=7, epsilon=4.0)
         assert sorted(map(tuple, ann.nearest(frame, every=7, epsilon=4.0).collect())) == sorted(map(tuple, once.collect()))
 
+    def test_many_copies_of_the_nearest_row(self, spark):
+        rng = np.random.default_rng(12)
+        rows = [(0, rng.standard_normal(128))]
+        rows += [(i, rows[0][1] + (0.05 if i == 1 else 0.3 + 0.15 * i) * rng.standard_normal(128)) for i in range(1, 7)]
+        rows += [(i, rng.standard_normal(128)) for i in range(7, 60)]
+        rows = [(i, v.tolist()) for i, v in rows]
+        frame = spark.createDataFrame(rows + [rows[1]] * 9, "vec_id long, embedding array<double>").coalesce(1)
+        got = [r["vec_id"] for r in ann.nearest(frame, every=1000).orderBy("rank").collect()]
+        x = np.array([v for _, v in rows])
+        score = x @ x[0] / np.linalg.norm(x, axis=1)
+        assert got == np.argsort(-score)[1:6].tolist()
+
     def test_recall(self, spark, sf):
         rows = [(r[0], r[1]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()]
         x = np.array([v for _, v in rows], float)
