@@ -6,8 +6,9 @@ together, so code-switched text changes language where the words do. Forward-bac
 gives each word a distribution; a document's language is that with the largest share.
 
 The field is fitted on the driver on a bounded sample: at most ``rows_per_lang`` documents of
-each language of at most ``most_chars`` characters, picked by a hash of the id, and at most
-``words_per_lang`` words of them in runs of 8 to 31 words. Training sequences splice runs from
+each language, picked by a hash of the id, about ``most_chars`` characters of each (longer
+texts give runs of words from all over), and at most ``words_per_lang`` words of them in runs
+of 8 to 31 words. Training sequences splice runs from
 different documents, so the transitions see changes of language.
 
 Defined results for odd input: a null text or one without a letter is ``und`` with score
@@ -239,13 +240,33 @@ class Labeller:
         return out
 
 
+def excerpt(text: str, most_chars: int, run: int = 32) -> str:
+    """A text of up to ``most_chars`` as it is, of a longer one about so much: runs of words,
+    evenly spaced from its start to its end. Long words are as short as ``features`` sees them."""
+    if len(text) <= most_chars:
+        return text
+    words = [w if len(w) <= 64 else w[:32] + w[-32:] for w in words_of(text)]
+    runs = int(most_chars / (sum(map(len, words)) + len(words) + 1) * len(words) / run)
+    if runs * run >= len(words):
+        return " ".join(words)
+    starts = np.linspace(0, max(0, len(words) - run), max(1, runs)).astype(int).tolist()
+    return " ".join(w for s in starts for w in words[s : s + run])
+
+
 def sample(docs: DataFrame, rows_per_lang: int, most_chars: int) -> DataFrame:
-    """text, lang of at most so many learnable documents a language, none longer than ``most_chars``."""
-    known = docs.where(~held_out(F.col("doc_id"))).where("lang IS NOT NULL AND text IS NOT NULL").where(F.length("text") <= most_chars)
+    """text, lang of at most so many learnable documents a language; long texts by an excerpt."""
+    known = docs.where(~held_out(F.col("doc_id"))).where("lang IS NOT NULL AND text IS NOT NULL")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     picked = known.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows_per_lang)
     # at most rows_per_lang rows a language, which bounds what is broadcast
-    return known.select("doc_id", "lang", "text").join(F.broadcast(picked.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi").select("text", "lang")
+    chosen = known.select("doc_id", "lang", "text").join(F.broadcast(picked.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi").select("text", "lang")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [excerpt(x.as_py(), most_chars) for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(1)], ["text", "lang"])
+
+    return in_arrow(chosen, run, chosen.schema)
 
 
 def train(docs: DataFrame, rows_per_lang: int = 150, most_chars: int = 20_000) -> Field | None:

@@ -363,6 +363,22 @@ class TestTokenCounts:
 
 
 class TestLanguage:
+    def test_only_long_texts(self, spark):
+        draw = random.Random(3)
+        words = {"aa": "kala maja sana tavu".split(), "bb": "stone river winter cloud".split()}
+        make = lambda y, n: " ".join(draw.choice(words[y]) + draw.choice("xyz") for _ in range(n))
+        rows = [(k, make(y, 9000), y) for k, y in enumerate(["aa", "bb"] * 10)]
+        field = langid.train(docs(spark, rows))
+        got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs(spark, rows), field).collect()}
+        assert got == {k: y for k, _, y in rows}
+        assert langid.recognised(docs(spark, rows), field, 0.4).count() == 20
+
+    def test_an_excerpt_reaches_both_ends(self):
+        text = " ".join(f"{'abcdefghij'[k // 1000]}{'qrstuvwxyz'[k % 10]}word" for k in range(10_000))
+        got = langid.words_of(langid.excerpt(text, 5000))
+        assert got[0] == "aqword" and got[-1] == "jzword" and {w[0] for w in got} == set("abcdefghij") and 2000 < 7 * len(got) <= 5000
+        assert langid.excerpt(text, 10**6) == text and len(langid.excerpt("x" * 100_000, 20_000)) == 64
+
     def test_forward_backward_against_enumeration(self):
         import itertools
 
