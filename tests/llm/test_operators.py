@@ -236,6 +236,26 @@ class TestSimHash:
         assert {r[0] for r in rows} - left == gone
 
 
+    def test_similarity_is_checked(self, spark):
+        draw = random.Random(11)
+        make = lambda n: [f"{draw.choice('abcdefgh')}{draw.randrange(4000)}" for _ in range(n)]
+        rows, gone = [], set()
+        for k in range(0, 400, 2):  # of 300 words, the last 42 (0.755) or 32 (0.807) differ
+            words, new = make(300), 42 if k < 200 else 32
+            rows += [(k, " ".join(words)), (k + 1, " ".join(words[:-new] + make(new)))]
+            gone |= {k + 1} if k >= 200 else set()
+        phrase = " ".join("one two three four five".split() * 20)
+        rows += [(1000 + k, " ".join(make(300)) + "\n" + phrase) for k in range(20)]  # a repeated phrase counts once
+        got = {r[0] for r in simhash.one_of_each(docs(spark, rows)).select("doc_id").collect()}
+        assert {r[0] for r in rows} - got == gone
+
+    def test_a_large_group_in_chunks(self, spark):
+        words = [f"w{i}" for i in range(200)]
+        rows = [(k, " ".join(words[: 200 - k])) for k in range(60)]  # a chain: neighbours are alike, the ends are not
+        left = {r[0] for r in simhash.one_of_each(docs(spark, rows), group_rows=16).select("doc_id").collect()}
+        assert left == {0}
+
+
 class TestWarc:
     def pages(self, spark):
         same, short = "<html>" + "x" * 200, "tiny"
