@@ -9,7 +9,13 @@ The field is fitted on the driver on a bounded sample: at most ``rows_per_lang``
 each language, picked by a hash of the id, about ``most_chars`` characters of each (longer
 texts give runs of words from all over), and at most ``words_per_lang`` words of them in runs
 of 8 to 31 words. Training sequences splice runs from
-different documents, so the transitions see changes of language.
+different documents, so the transitions see changes of language. ``most_langs`` bounds the
+languages that are learned, the most frequent first.
+
+Every letter is read: a run of over LETTERS letters, as in scripts without blanks, is a
+sequence of words of so many letters. A text of over CHUNK words is labelled in parts of
+so many, each a sequence of its own, and the parts' shares are weighted by their words;
+memory is bounded by a part.
 
 Defined results for odd input: a null text or one without a letter is ``und`` with score
 0; rows with null ``lang`` or ``doc_id`` are not learned from; with nothing to learn from
@@ -32,16 +38,19 @@ from pyspark.sql import functions as F
 
 from quernflow.llm.common import held_out, in_arrow
 
-WORD = re.compile(r"[^\W\d_]+")
+LETTERS = 32
+WORD = re.compile(rf"[^\W\d_]{{1,{LETTERS}}}")
 UNKNOWN = "und"
 BITS = 17
 BUCKETS = 1 << BITS
 #: Remembered words, and padded words labelled at once.
 CACHE, PADDED = 300_000, 1 << 18
+#: Words of a text labelled as one sequence; characters of a text that are split at once.
+CHUNK, SLICE = 1 << 15, 1 << 20
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, lower-cased. Numerals that are no digits are word characters, but no letters."""
+    """Runs of up to LETTERS letters, lower-cased. Numerals that are no digits are word characters, but no letters."""
     lower = (text or "").lower()
     words = WORD.findall(lower)
     if lower.isascii() or all(map(str.isalpha, words)):
@@ -49,6 +58,23 @@ def words_of(text: str | None) -> list[str]:
     return ["".join(run) for w in words for letters, run in groupby(w, str.isalpha) if letters]
 
 
+def parts_of(text: str | None) -> Iterator[list[str]]:
+    """The words of a text in lists of at most CHUNK; long texts are split slice by slice, at white space if there is any."""
+    text, at, held = text or "", 0, []
+    while at < len(text):
+        end = at + SLICE
+        if end < len(text):
+            blank = max(text.rfind(" ", at + 1, end), text.rfind("\n", at + 1, end))
+            end = blank if blank > at else end
+        held += words_of(text[at:end])
+        while len(held) >= CHUNK:
+            yield held[:CHUNK]
+            held = held[CHUNK:]
+        at = end
+    if held:
+        yield held
+
+
 def _bucket(kind: int, value: np.ndarray) -> np.ndarray:
     """A bucket for each value; values of different kinds are mixed differently."""
     mixed = (value + np.uint64(kind)) * np.uint64(0x9E3779B97F4A7C15)
@@ -60,18 +86,17 @@ def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.
     """(word number, bucket) of the words' features, all words at once.
 
     The word, its first 1 to 3 and last 1 to 4 characters, its 1- to 3-grams with the ends
-    marked, and its lexicon. Very long words use both ends.
+    marked, and its lexicon.
     """
-    short = [w if len(w) <= 64 else w[:32] + w[-32:] for w in words]
-    code = np.frombuffer("".join(f"^{w}$" for w in short).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    size = np.fromiter(map(len, short), np.int64, len(short))
+    code = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words))
     last = np.cumsum(size + 2) - 1  # the closing mark of each word
     first = last - size - 1
-    number = np.repeat(np.arange(len(short), dtype=np.int32), size + 2)
+    number = np.repeat(np.arange(len(words), dtype=np.int32), size + 2)
     place = np.arange(len(code)) - first[number]
     step = np.uint64(1_000_003)
-    power = step ** np.arange(66, dtype=np.uint64)
-    owners, buckets = [np.arange(len(short), dtype=np.int32)], [_bucket(1, np.add.reduceat(code * power[place], first))]
+    power = step ** np.arange(int(size.max()) + 2, dtype=np.uint64)
+    owners, buckets = [np.arange(len(words), dtype=np.int32)], [_bucket(1, np.add.reduceat(code * power[place], first))]
     gram = np.zeros(len(code), np.uint64)
     for k in (1, 2, 3, 4):
         # gram[i] becomes the hash of the k characters that end at i
@@ -220,11 +245,14 @@ class Labeller:
         """One row a text: the mean of its words' distributions; zero without words."""
         if len(self.index) > CACHE:
             self.index, self.emit = {}, self.emit[:CACHE]
-        docs = [self._indices(words_of(x)) for x in texts]
-        size = np.array([len(x) for x in docs])
+        docs, owner, rows = [], [], 0
+        for x in texts:
+            docs += [self._indices(part) for part in parts_of(x)]
+            owner += [rows] * (len(docs) - len(owner))
+            rows += 1
+        size, owner = np.array([len(x) for x in docs], np.int64), np.array(owner, np.int64)
         order = np.argsort(-size, kind="stable")
-        order = order[size[order] > 0]
-        out, s = np.zeros((len(docs), len(self.field.langs))), 0
+        out, s = np.zeros((rows, len(self.field.langs))), 0
         while s < len(order):
             longest = size[order[s]]
             part = order[s : s + max(1, PADDED // longest)]
@@ -235,17 +263,17 @@ class Labeller:
             alive = np.searchsorted(-n, -np.arange(longest), side="left")
             post, _ = posteriors(self.emit[word.T], alive, self.field.step, self.field.start)
             there = np.arange(longest)[:, None] < n[None, :]
-            out[part] = (post * there[:, :, None]).sum(axis=0) / n[:, None]
+            np.add.at(out, owner[part], (post * there[:, :, None]).sum(axis=0))
             s += len(part)
-        return out
+        return out / np.maximum(np.bincount(owner, size, rows), 1)[:, None]
 
 
 def excerpt(text: str, most_chars: int, run: int = 32) -> str:
     """A text of up to ``most_chars`` as it is, of a longer one about so much: runs of words,
-    evenly spaced from its start to its end. Long words are as short as ``features`` sees them."""
+    evenly spaced from its start to its end."""
     if len(text) <= most_chars:
         return text
-    words = [w if len(w) <= 64 else w[:32] + w[-32:] for w in words_of(text)]
+    words = words_of(text)
     runs = int(most_chars / (sum(map(len, words)) + len(words) + 1) * len(words) / run)
     if runs * run >= len(words):
         return " ".join(words)
@@ -253,12 +281,15 @@ def excerpt(text: str, most_chars: int, run: int = 32) -> str:
     return " ".join(w for s in starts for w in words[s : s + run])
 
 
-def sample(docs: DataFrame, rows_per_lang: int, most_chars: int) -> DataFrame:
-    """text, lang of at most so many learnable documents a language; long texts by an excerpt."""
+def sample(docs: DataFrame, rows_per_lang: int, most_chars: int, most_langs: int) -> DataFrame:
+    """text, lang of at most so many learnable documents a language, for the most frequent
+    languages; long texts by an excerpt."""
     known = docs.where(~held_out(F.col("doc_id"))).where("lang IS NOT NULL AND text IS NOT NULL")
+    langs = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).select("lang")
+    known = known.join(F.broadcast(langs), "lang", "left_semi")  # at most most_langs rows
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     picked = known.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows_per_lang)
-    # at most rows_per_lang rows a language, which bounds what is broadcast
+    # at most rows_per_lang rows a language and most_langs languages, which bounds what is broadcast
     chosen = known.select("doc_id", "lang", "text").join(F.broadcast(picked.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi").select("text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,8 +300,8 @@ def sample(docs: DataFrame, rows_per_lang: int, most_chars: int) -> DataFrame:
     return in_arrow(chosen, run, chosen.schema)
 
 
-def train(docs: DataFrame, rows_per_lang: int = 150, most_chars: int = 20_000) -> Field | None:
-    rows = [(words_of(x["text"]), x["lang"]) for x in sample(docs, rows_per_lang, most_chars).collect()]
+def train(docs: DataFrame, rows_per_lang: int = 150, most_chars: int = 20_000, most_langs: int = 256) -> Field | None:
+    rows = [(words_of(x["text"]), x["lang"]) for x in sample(docs, rows_per_lang, most_chars, most_langs).collect()]
     rows = sorted((w, y) for w, y in rows if w)
     return fit([w for w, _ in rows], [y for _, y in rows]) if rows else None
 
