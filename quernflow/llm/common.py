@@ -20,6 +20,9 @@ _SHIPPED: set[str] = set()
 
 ROWS_PER_FILE = 1 << 19
 
+#: A key is heavy if it has over one in HOT of all rows; fewer than HOT keys can be.
+HOT = 4096
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
@@ -95,6 +98,19 @@ def in_pandas(df: DataFrame, function, schema) -> DataFrame:
     return df.mapInPandas(function, schema)
 
 
+def hot_join(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined ("inner" or "left") with ``keyed``, which has a row per key, on non-null keys.
+
+    ``count`` is the column of ``keyed`` (not kept) that says how many of the ``total`` rows have
+    the key. Heavy keys are fewer than HOT rows, whatever the data, so these are broadcast and
+    their rows stay where they are; all other keys meet by shuffle.
+    """
+    heavy = F.col(count) * HOT > total
+    hot, cold = F.broadcast(keyed.where(heavy).drop(count)), keyed.where(~heavy).drop(count)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how)
+    return rows.join(hot, on).unionByName(rest)
+
+
 def ascii_lower(column: Column) -> Column:
     """A-Z to a-z; every other character stays. Text that is all ASCII takes the faster function."""
     ascii_only = F.octet_length(column) == F.length(column)

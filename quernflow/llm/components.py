@@ -1,7 +1,9 @@
 """Connected components by alternating large-star and small-star steps.
 
 Edges and labels stay distributed; each round is cut by a written table, which replaces the
-one before. The result has a row per node that has an edge: node, component (the smallest
+one before. A node with many edges (the hub of a large component) does not gather them in one
+task: its smallest neighbour is found by partial aggregation and sent to where its edges are.
+Nodes may be of any type that can be ordered. The result has a row per node that has an edge: node, component (the smallest
 node reachable).
 """
 
@@ -10,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernflow.llm.common import remove, written
+from quernflow.llm.common import hot_join, remove, written
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -19,16 +21,16 @@ def _signature(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def large_star(edges: DataFrame) -> DataFrame:
+def large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
+    return hot_join(both.where("v > u"), least.where("n > 0"), ["u"], "n", total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame, total: int) -> DataFrame:
     """``edges`` point from the larger node u to the smaller node v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    hung = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    hung = hot_join(edges, least, ["u"], "n", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -39,7 +41,7 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", mo
     pairs, path = written(pairs.where(f"{left} IS NOT NULL AND {right} IS NOT NULL").where("u <> v").distinct(), "edges", most_rows)
     before = _signature(pairs)
     while before[0]:
-        pairs, stars = written(small_star(large_star(pairs)), "stars", 2 * before[0])
+        pairs, stars = written(small_star(large_star(pairs, before[0]), before[0]), "stars", 2 * before[0])
         remove(pairs.sparkSession, path)
         after, path = _signature(pairs), stars
         if after == before:

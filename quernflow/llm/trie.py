@@ -2,8 +2,8 @@
 
 Codes are sorted, so a trie node is a range of rows that share a prefix. Pairs of nodes
 are traversed together; each step adds the bit by which the two children differ and a
-pair is dropped as soon as its differing bits exceed the budget. Only a chunk of the
-frontier is expanded at a time, which bounds memory whatever the codes are.
+pair is dropped as soon as its differing bits exceed what is allowed at that depth. Only a
+chunk of the frontier is expanded at a time, which bounds memory whatever the codes are.
 """
 
 from __future__ import annotations
@@ -19,18 +19,18 @@ LEAF = 64
 
 
 def bit_split(code: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: int) -> np.ndarray:
-    """First row of each range whose bit ``depth`` is set."""
-    shift, lo, hi = np.uint64(63 - depth), lo.copy(), hi.copy()
+    """First row of each range whose bit ``depth`` (of all words, from the highest) is set."""
+    word, shift, lo, hi = code[:, depth >> 6], np.uint64(63 - (depth & 63)), lo.copy(), hi.copy()
     while (open_ := lo < hi).any():
         mid = (lo + hi) >> 1
-        one = (code[np.where(open_, mid, 0)] >> shift) & np.uint64(1) == 1
+        one = (word[np.where(open_, mid, 0)] >> shift) & np.uint64(1) == 1
         hi = np.where(open_ & one, mid, hi)
         lo = np.where(open_ & ~one, mid + 1, lo)
     return lo
 
 
-def _compare(codes: np.ndarray, nodes: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Code pairs of the node pairs (alo, ahi, blo, bhi) within the budget."""
+def _compare(codes: np.ndarray, nodes: np.ndarray, allowed: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Code pairs of the node pairs (alo, ahi, blo, bhi) within what is allowed at each word's end."""
     alo, ahi, blo, bhi = nodes
     width = bhi - blo
     count = (ahi - alo) * width
@@ -43,35 +43,42 @@ def _compare(codes: np.ndarray, nodes: np.ndarray, budget: int) -> Iterator[tupl
         j = np.repeat(blo[start:end], c) + k % np.repeat(w, c)
         once = i < j
         i, j = i[once], j[once]
-        near = np.bitwise_count(codes[i] ^ codes[j]).sum(axis=1, dtype=np.int64) <= budget
-        yield i[near], j[near]
+        differ = np.zeros(len(i), np.int64)
+        for word in range(codes.shape[1]):
+            differ = differ + np.bitwise_count(codes[i, word] ^ codes[j, word])
+            near = differ <= allowed[64 * (word + 1)]
+            i, j, differ = i[near], j[near], differ[near]
+        yield i, j
         start = end
 
 
-def close_pairs(codes: np.ndarray, nodes: np.ndarray, depth: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def close_pairs(codes: np.ndarray, nodes: np.ndarray, depth: int, budget: int, allowed: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row pairs i < j of ``codes`` (rows x 64-bit words) at most ``budget`` bits apart.
 
     ``nodes`` holds the starting node pairs as rows alo, ahi, blo, bhi; inside a node rows
-    are sorted by the first word and share its first ``depth`` bits. A pair of a node with
-    itself has equal ranges; otherwise the a range ends before the b range begins.
+    are sorted and share their first ``depth`` bits. A pair of a node with itself has equal
+    ranges; otherwise the a range ends before the b range begins. ``allowed[d]``: bits that may
+    differ among the first ``d`` (the whole budget, if not given); a tighter row of limits
+    prunes earlier and finds only pairs that stay within it.
     """
-    first = codes[:, 0]
+    bits = 64 * codes.shape[1]
+    allowed = np.full(bits + 1, budget) if allowed is None else np.minimum(allowed, budget)
     stack = [(nodes[:, s : s + CHUNK], np.zeros(min(CHUNK, nodes.shape[1] - s), np.int64), depth) for s in range(0, nodes.shape[1], CHUNK)]
     while stack:
         node, err, d = stack.pop()
         alo, ahi, blo, bhi = node
         small = (ahi - alo) * (bhi - blo) <= LEAF
         if small.any():
-            yield from _compare(codes, node[:, small], budget)
+            yield from _compare(codes, node[:, small], allowed)
             node, err = node[:, ~small], err[~small]
             alo, ahi, blo, bhi = node
         if not node.shape[1]:
             continue
         same = alo == blo
-        if d < 64:
-            amid, bmid = bit_split(first, alo, ahi, d), bit_split(first, blo, bhi, d)
+        if d < bits:
+            amid, bmid = bit_split(codes, alo, ahi, d), bit_split(codes, blo, bhi, d)
             cross, deeper = 1, d + 1
-        else:  # equal first words: halve the ranges
+        else:  # equal codes: halve the ranges
             amid, bmid, cross, deeper = (alo + ahi) >> 1, (blo + bhi) >> 1, 0, d
         kids = [
             (np.stack([alo, amid, blo, bmid]), err, np.ones(len(err), bool)),
@@ -81,7 +88,7 @@ def close_pairs(codes: np.ndarray, nodes: np.ndarray, depth: int, budget: int) -
         ]
         node = np.concatenate([k for k, _, _ in kids], axis=1)
         err = np.concatenate([e for _, e, _ in kids])
-        keep = np.concatenate([ok for _, _, ok in kids]) & (node[0] < node[1]) & (node[2] < node[3]) & (err <= budget)
+        keep = np.concatenate([ok for _, _, ok in kids]) & (node[0] < node[1]) & (node[2] < node[3]) & (err <= allowed[deeper])
         keep &= ~((node[0] == node[2]) & (node[1] == node[3]) & (node[1] - node[0] < 2))  # a single row with itself
         node, err = node[:, keep], err[keep]
         stack += [(node[:, s : s + CHUNK], err[s : s + CHUNK], deeper) for s in range(0, node.shape[1], CHUNK)]
