@@ -8,7 +8,9 @@ that ended, so files of lost tasks are never read.
 
 Defined results for odd input: null html is an empty payload; a null URL has no target
 header; a page without ``page_id`` is always a response; rows that repeat the smallest
-``page_id`` of a payload are all responses; an empty table gives an empty index.
+``page_id`` of a payload are all responses, a page that repeats a larger one with its payload
+is a revisit each time; an empty table gives an empty index. A URL is read back as it is
+written, percent-encoded where it holds blanks, controls or letters beyond ASCII.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernflow.llm.common import in_pandas, materialise, new_path
+from quernflow.llm.common import hot_join, in_pandas, materialise, new_path, remove, written
 
 INDEX = "page_id long, url string, file string, offset long, length long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -66,17 +68,23 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 def mark_revisits(pages: DataFrame, min_bytes: int) -> DataFrame:
     """page_id, url, payload, payload_bytes, payload_digest, refers_to.
 
-    The table of repeated payloads is joined as Spark's size checks decide; a revisit
-    leaves its payload behind before anything is written.
+    Repeats are found on (digest, page_id) alone; payloads meet the table of revisits, which is
+    broadcast if Spark's size check allows it and otherwise joined by page, so that neither a
+    common payload nor the many small ones gather in a task. A revisit leaves its payload behind
+    before anything is written.
     """
-    base = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
+    base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("payload"))
     base = base.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
-    repeated = base.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    repeated = repeated.where("n > 1 AND first IS NOT NULL").select("payload_digest", "first")
-    joined = base.join(repeated, "payload_digest", "left")
-    refers_to = F.when(F.col("page_id") > F.col("first"), F.col("first"))
+    narrow = base.where((F.col("payload_bytes") >= min_bytes) & F.col("page_id").isNotNull()).select("page_id", F.unhex("payload_digest").alias("digest"))
+    narrow, path = written(narrow, "payloads")
+    total = narrow.count()
+    repeated = narrow.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    revisits = hot_join(narrow, repeated, ["digest"], "n", total).where("page_id > refers_to").distinct()
+    revisits = materialise(revisits.select(F.col("page_id").alias("_page"), F.lower(F.hex("digest")).alias("_digest"), "refers_to"), "revisits", total)
+    remove(pages.sparkSession, path)
+    joined = base.join(revisits, (F.col("page_id") == F.col("_page")) & (F.col("payload_digest") == F.col("_digest")), "left")
     return joined.select(
-        "page_id", "url", F.when(refers_to.isNull(), F.col("payload")).otherwise("").alias("payload"), "payload_bytes", "payload_digest", refers_to.alias("refers_to")
+        "page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise("").alias("payload"), "payload_bytes", "payload_digest", "refers_to"
     )
 
 
@@ -134,7 +142,7 @@ def read_records(index: DataFrame, target: str, payload: bool = True, gap: int =
                     at = starts[k] - starts[i]
                     headers, body = parse(zlib.decompress(block[at : at + sizes[k]], 31))
                     digest, kind = headers["warc-payload-digest"].removeprefix("sha256:"), headers["warc-type"]
-                    if kind == "response" and hashlib.sha256(body).hexdigest() != digest:
+                    if kind == "response" and (hashlib.sha256(body).hexdigest() != digest or len(body) != int(headers["x-payload-length"])):
                         raise ValueError(f"{name} at {starts[k]}: the payload does not match its digest")
                     page, refers = (int(headers[x]) if x in headers else None for x in ("x-page-id", "x-refers-to-page-id"))
                     row = (page, headers.get("warc-target-uri"), int(headers["x-payload-length"]), digest, kind, refers)
