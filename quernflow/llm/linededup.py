@@ -1,19 +1,24 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 The index of lines seen so far is a set of *runs*: tables of (128-bit line hash, first
-document), bucketed and sorted by hash. A batch of documents is merge-anti-joined with
+document), bucketed and sorted by hash; a bucket is one file, so that merge joins read the runs
+in their order and sort only the batch. A batch of documents is merge-anti-joined with
 the runs; what it alone holds becomes a run of its own, and once a level has ``fanout``
 runs they are compacted into one run of the next level. Batches come in ascending ranges
-of ``doc_id``, so the first holder of a line is the smallest ``doc_id`` that has it.
+of ``doc_id``, so the first holder of a line is the smallest ``doc_id`` that has it. There are
+``batches`` of them at least, and more so that none has over ``batch_rows`` documents.
 
 Defined results for odd input: a null text is one empty line; rows that repeat a
 ``doc_id`` are the same document; a row without ``doc_id`` neither holds nor loses lines;
-an empty table gives an empty result; other columns pass through ``deduplicate``.
+an empty table gives an empty result; other columns pass through ``deduplicate``, also those
+named like its counts if it is called without counts (with them, the counts take their place).
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import or_
@@ -21,9 +26,21 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernflow.llm.common import ASCII_SPACE, ascii_lower, materialise, new_path, remove, written
+from quernflow.llm.common import ASCII_SPACE, ascii_lower, hot_join, materialise, new_path, remove, written
 
 HASH = ["_h1", "_h2"]
+#: Lets a scan of a table with one sorted file a bucket say that it is sorted.
+ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
+@contextmanager
+def ordered_scans(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(ORDERED)
+    spark.conf.set(ORDERED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(ORDERED, before)
 
 
 def stripped(line: Column) -> Column:
@@ -117,53 +134,58 @@ class LineRuns:
         self.levels = []
 
 
-def dropped_lines(docs: DataFrame, min_chars: int = 10, batches: int = 3, fanout: int = 2) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_chars: int = 10, batches: int = 3, fanout: int = 2, batch_rows: int = 1 << 26) -> DataFrame:
     """doc_id, _text, _drop: positions of the lines that an earlier document holds."""
     spark = docs.sparkSession
-    hashes = line_hashes(docs, min_chars)
+    batches = max(batches, -(-docs.count() // batch_rows))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000)).first()[0] if batches > 1 else None
     cuts = sorted(set(cuts or []))
     batch = sum(((F.col("doc_id") > c).cast("int") for c in cuts), F.lit(0))
-    hashes, path = written(hashes.withColumn("_batch", batch), "lines")
-    used = [path]
+    used, losses = [], []
     runs = LineRuns(spark, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), fanout)
-    losses: list[DataFrame] = []
-    for number in range(len(cuts) + 1):
-        part = hashes.where(F.col("_batch") == number)
-        own = part.groupBy(*HASH).agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last"))
-        own, path = written(runs.seen(own), "seen")
-        used.append(path)
-        if number < len(cuts):
-            runs.add(own.where("_known IS NULL"))
-        shared = own.where("_known IS NOT NULL OR _first < _last").select(*HASH, F.coalesce("_known", "_first").alias("_first"))
-        lost = part.join(shared, HASH).where(F.col("doc_id") > F.col("_first"))
-        losses.append(lost.select("doc_id", "_text", "_pos"))
-    lost = losses[0]
-    for more in losses[1:]:
-        lost = lost.unionByName(more)
-    lost = materialise(lost.groupBy("doc_id", "_text").agg(F.collect_set("_pos").alias("_drop")), "lost")
-    runs.close()
-    for path in used:
-        remove(spark, path)
-    return lost
-
-
-def deduplicate(docs: DataFrame, min_chars: int = 10, batches: int = 3, fanout: int = 2) -> DataFrame:
-    """Every row of ``docs`` with its text after dropping, ``n_lines`` and ``n_dropped``."""
-    lost = dropped_lines(docs.select("doc_id", "text"), min_chars, batches, fanout)
-    own = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    # the other columns travel in a struct, where no name of theirs can clash
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).alias("d")
-    rows = rows.withColumn("hash", _text_hash(F.col("text"))).alias("d")
-    joined = rows.join(lost.alias("l"), (F.col("d.doc_id") == F.col("l.doc_id")) & (F.col("d.hash") == F.col("l._text")), "left")
-    lines, drop = split_lines(F.col("d.text")), F.col("l._drop")
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(drop, i)), "\n")
-    return joined.select(
-        *[F.col("d.row")[c].alias(c) for c in own],
-        F.when(drop.isNull(), F.col("d.text")).otherwise(kept).alias("text"),
-        F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size(drop), F.lit(0)).cast("long").alias("n_dropped"),
+    try:
+        with ordered_scans(spark):
+            path = new_path(spark, "lines")
+            used.append(path)
+            hashes = line_hashes(docs, min_chars).withColumn("_batch", batch)
+            hashes.write.partitionBy("_batch").parquet(path)
+            hashes = spark.read.schema(hashes.schema).parquet(path)
+            for number in range(len(cuts) + 1):
+                part = hashes.where(F.col("_batch") == number).drop("_batch")
+                own = part.groupBy(*HASH).agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last"), F.count(F.lit(1)).alias("_n"))
+                own, path = written(runs.seen(own), "seen")
+                used.append(path)
+                if number < len(cuts):
+                    runs.add(own.where("_known IS NULL"))
+                total = own.agg(F.sum("_n")).first()[0] or 0
+                shared = own.where("_known IS NOT NULL OR _first < _last").select(*HASH, F.coalesce("_known", "_first").alias("_first"), "_n")
+                lost = hot_join(part, shared, HASH, "_n", total).where(F.col("doc_id") > F.col("_first"))
+                losses.append(lost.select("doc_id", "_text", "_pos"))
+            lost = reduce(DataFrame.unionByName, losses)
+            return materialise(lost.groupBy("doc_id", "_text").agg(F.collect_set("_pos").alias("_drop")), "lost")
+    finally:
+        runs.close()
+        for path in used:
+            remove(spark, path)
+
+
+def deduplicate(docs: DataFrame, counts: bool = True, **options) -> DataFrame:
+    """Every row of ``docs`` with its text after dropping and, with ``counts``, ``n_lines`` and
+    ``n_dropped``. ``options``: those of ``dropped_lines``."""
+    lost = dropped_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), **options)
+    lost = lost.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash"), "_drop")
+    own = [c for c in docs.columns if c != "text" and not (counts and c in ("n_lines", "n_dropped"))]
+    # the other columns travel in a struct, where no name of theirs can clash; the lines are split
+    # below the join, so that the row that comes out of it holds them ready
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), _text_hash(F.col("text")).alias("_own"), split_lines(F.col("text")).alias("_lines")
     )
+    joined = rows.join(lost, (F.col("_doc") == F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
+    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_drop")
+    kept = F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(F.transform(left, lambda i: F.get("_lines", i)))
+    out = joined.select("_row", F.array_join(kept, "\n").alias("text"), F.size("_lines").cast("long").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"))
+    extra = ["n_lines", "n_dropped"] if counts else []
+    return out.select(*[F.col("_row")[c].alias(c) for c in own], "text", *extra)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
