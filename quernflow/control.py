@@ -217,7 +217,8 @@ def latest_status(run_log: DataFrame) -> DataFrame:
     return run_log.groupBy("layer", "entity").agg(newest.alias("r")).select("r.*")
 
 
-# How each kind of table is kept in shape.
+# How each kind of table is kept in shape: what is done, the columns it is laid out by
+# and, for tables partitioned by day, how many of the latest days.
 MAINTENANCE = {
     "telemetry_raw": ("cluster_recent", ("partition_id",), 2),
     "sensor_reading": ("cluster_recent", ("machine_id", "sensor_type"), 3),
@@ -230,17 +231,20 @@ MAINTENANCE = {
 }
 
 
-def maintain(tables: dict[str, object], rows_per_file: int = 1_000_000) -> dict[str, Exception | None]:
-    """Compact and vacuum versioned tables by their kind; one failure does not stop the rest."""
-    from quernflow.session import files_for
+def maintain(tables: dict[str, object], target_bytes: int = 128 << 20) -> dict[str, Exception | None]:
+    """Lay out, analyse and vacuum versioned tables by their kind; one failure does not stop the
+    rest. Consumers of a change feed see nothing of it."""
 
     def one(name: str) -> None:
         kind, table = tables[name]
-        how, columns, _ = MAINTENANCE[kind]
+        how, columns, days = MAINTENANCE[kind]
         if how != "vacuum_only":
-            df = table.read()
-            sort = tuple(table.keys if columns == ("keys",) else columns)
-            table.optimise(files_for(df.count(), rows_per_file), tuple(c for c in sort if c in df.columns))
+            there = table.read().columns
+            sort = tuple(c for c in (table.keys if columns == ("keys",) else columns) if c in there)
+            recent = sorted(table.last()["segments"])[-days:] if days and table.partition_by else None
+            table.optimise(sort, segments=recent, target_bytes=target_bytes)
+            if how == "cluster_and_analyse":
+                table.statistics([*dict.fromkeys([*sort, *table.keys, *table.partition_by])])
         table.vacuum()
 
     return run_isolated(tables, one, 1)

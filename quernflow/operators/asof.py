@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from quernflow.operators.history import UNKNOWN_KEY
 
-#: Versions above which the dimension is not broadcast.
-BROADCAST_ROWS = 2_000_000
-
 
 def version_in_force(fact: DataFrame, dimension: DataFrame, fact_key: str, instant: str, dim_key: str, sk: str, carry: tuple[str, ...] = (), broadcast: bool = True) -> DataFrame:
     """Adds ``sk`` (and ``carry``) of the version with from <= instant < to; -1 on a miss.
@@ -26,19 +23,27 @@ def version_in_force(fact: DataFrame, dimension: DataFrame, fact_key: str, insta
 
 
 def is_small(dimension: DataFrame, limit_bytes: int = 64 << 20) -> bool:
-    """Whether Spark's own size estimate lets the dimension be broadcast."""
-    size = dimension._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= limit_bytes
+    """Whether Spark's own size estimate lets the dimension be broadcast. A session that does not
+    show its plans (Spark Connect) leaves the choice to Spark's threshold."""
+    plan = getattr(dimension, "_jdf", None)
+    return plan is not None and int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit_bytes
 
 
-def asof_sorted(fact: DataFrame, versions: DataFrame, key: str, instant: str, since: str, value: str) -> DataFrame:
-    """The same lookup for a large history: union, one sort per key, last value carried forward.
+def asof_sorted(fact: DataFrame, versions: DataFrame, key: str, instant: str, since: str, value: str, slice: str = "month") -> DataFrame:
+    """The same lookup for a large history: union, one sort per key and time slice, last value
+    carried forward; what a slice begins with comes from a table of a row per key and slice.
 
-    No version matches before the first one. Needs no interval end and no broadcast.
+    So a hot key is as many tasks as it has slices. No version matches before the first one.
+    Needs no interval end and no broadcast.
     """
-    names = fact.columns
-    left = fact.select(key, F.col(instant).alias("_at"), F.lit(1).alias("_kind"), F.struct(*names).alias("_row"), F.lit(None).cast(versions.schema[value].dataType).alias("_value"))
-    right = versions.select(key, F.col(since).alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), F.col(value).alias("_value"))
-    order = Window.partitionBy(key).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    out = left.unionByName(right).withColumn("_found", F.last("_value", ignorenulls=True).over(order)).where("_kind = 1")
-    return out.select("_row.*", F.col("_found").alias(value))
+    names, at = fact.columns, F.col("_at")
+    left = fact.select(F.col(key).alias("_key"), F.col(instant).alias("_at"), F.lit(1).alias("_kind"), F.struct(*names).alias("_row"), F.lit(None).cast(versions.schema[value].dataType).alias("_value"))
+    right = versions.select(F.col(key).alias("_key"), F.col(since).alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), F.col(value).alias("_value"))
+    rows = left.unionByName(right).withColumn("_slice", F.date_trunc(slice, at))
+    order = Window.partitionBy("_key", "_slice").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("_found", F.last("_value", ignorenulls=True).over(order)).where("_kind = 1")
+    last = rows.groupBy("_key", "_slice").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), at)).alias("_last"))
+    earlier = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    begun = last.select(F.col("_key").alias("_k"), F.col("_slice").alias("_s"), F.last("_last", ignorenulls=True).over(earlier).alias("_begun"))
+    joined = found.join(begun, F.col("_key").eqNullSafe(F.col("_k")) & F.col("_slice").eqNullSafe(F.col("_s")), "left")
+    return joined.select("_row.*", F.coalesce("_found", "_begun").alias(value))

@@ -15,11 +15,13 @@ INSERT, DELETE, BEFORE, AFTER = "insert", "delete", "update_preimage", "update_p
 def changes(before: DataFrame, after: DataFrame, keys: Sequence[str], row_hash: str = "_row_hash", version: int | None = None) -> DataFrame:
     """Rows that differ, with _change_type: both images of an update count.
 
-    One full-outer join on the keys; unchanged rows are dropped by their hash before any
-    column is touched.
+    One full-outer join on the keys; unchanged rows are dropped by their hash (and delete
+    flag, which the hash leaves out) before any column is touched.
     """
     b, a = before.withColumn("_there", F.lit(True)).alias("b"), after.withColumn("_there", F.lit(True)).alias("a")
-    joined = b.join(a, all_equal("b", "a", keys), "full_outer").where(~F.col(f"b.{row_hash}").eqNullSafe(F.col(f"a.{row_hash}")))
+    marks = [c for c in (row_hash, "_is_deleted") if c in after.columns] if row_hash in after.columns else [c for c in after.columns if c not in keys]
+    same = all_equal("b", "a", ["_there", *marks])
+    joined = b.join(a, all_equal("b", "a", keys), "full_outer").where(~same)
     image = lambda side: F.struct(*[F.col(f"{side}.{c}").alias(c) for c in after.columns])
     old, new = F.col("b._there").isNotNull(), F.col("a._there").isNotNull()
     rows = F.array(

@@ -44,10 +44,20 @@ def split(df: DataFrame, rules: Sequence[Rule], as_of: str | None = None) -> Spl
 
 def rule_counts(checked: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """rule_name, severity, failed_count of every rule, in one pass over the rows."""
-    spark = checked.sparkSession
+    if not rules:
+        return checked.sparkSession.createDataFrame([], "rule_name string, severity string, failed_count long")
     failed = F.concat("_dq_errors", "_dq_warnings")
     counts = checked.agg(*[F.count_if(F.array_contains(failed, r.name)).alias(r.name) for r in rules])
     pairs = F.array(*[F.struct(F.lit(r.name).alias("rule_name"), F.lit(r.severity).alias("severity"), F.col(r.name).alias("failed_count")) for r in rules])
-    if not rules:
-        return spark.createDataFrame([], "rule_name string, severity string, failed_count long")
     return counts.select(F.inline(pairs))
+
+
+def failing_rules(checked: DataFrame, rules: Sequence[Rule], by: Sequence[str] = (), least: int = 1) -> DataFrame:
+    """Only the rules that at least ``least`` rows fail, by the given columns: a row per failure
+    is counted and the groups are filtered by their count."""
+    failed = checked.select(*by, F.explode(F.concat("_dq_errors", "_dq_warnings")).alias("rule_name"))
+    counts = failed.groupBy(*by, "rule_name").agg(F.count(F.lit(1)).alias("failed_count")).where(F.col("failed_count") >= least)
+    severity = F.lit(None).cast("string")
+    for r in rules:
+        severity = F.when(F.col("rule_name") == r.name, r.severity).otherwise(severity)
+    return counts.withColumn("severity", severity)

@@ -79,8 +79,17 @@ def missing_or_older(batch: DataFrame, target: DataFrame, keys: Sequence[str], s
     return joined.where(bad).select(*[F.col(f"b.{k}") for k in keys])
 
 
-def latest_results(results: DataFrame) -> DataFrame:
-    """The last result of each (check_type, entity, run): an older failure that was repaired does not count."""
+def with_run_id(results: DataFrame) -> DataFrame:
+    """run_id taken from a detail text that names it (``run_id=...``); without one it is empty."""
+    return results.withColumn("run_id", F.regexp_extract("detail", r"run_id=([^\s;,]+)", 1))
+
+
+def latest_results(results: DataFrame, as_of: str | None = None) -> DataFrame:
+    """The last result of each (check_type, entity, run): an older failure that was repaired does not
+    count. ``as_of``: only results of the day before that moment and it."""
+    if as_of is not None:
+        until = F.lit(as_of).cast("timestamp")
+        results = results.where((F.col("checked_at") > until - F.expr("INTERVAL 1 DAY")) & (F.col("checked_at") <= until))
     newest = F.max_by(F.struct(*[F.col(c) for c in results.columns]), "checked_at")
     return results.groupBy("check_type", "entity", "run_id").agg(newest.alias("r")).select("r.*")
 

@@ -6,7 +6,8 @@ tables' own columns. Measures are summed as decimals, so sums do not hang on the
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -93,7 +94,7 @@ def cleanse_customer(spark, sf_dir):
 
 @query(f"""
 SELECT coalesce(CAST(cust_id AS VARCHAR), '') AS _sequence, false AS _is_deleted,
-       sha256(concat_ws('||', coalesce(CAST(cust_id AS VARCHAR), '~'), coalesce(cust_name, '~'), coalesce(segment, '~'), coalesce(printf('%.2f', balance), '~'), '~')) AS _row_hash
+       sha256(concat({', '.join(f"coalesce(length({c}) || ':' || {c}, '~')" for c in ("CAST(cust_id AS VARCHAR)", "cust_name", "segment", "printf('%.2f', balance)"))}, '~')) AS _row_hash
 FROM ({SQL_CUSTOMERS})
 """)
 def row_metadata(spark, sf_dir):
@@ -133,6 +134,13 @@ def dq_counts(spark, sf_dir):
     return quality.rule_counts(quality.check(table(spark, sf_dir, "lineitem"), LINE_RULES), LINE_RULES)
 
 
+@query("SELECT l_shipmonth, rule_name, failed_count, severity FROM (" + " UNION ALL ".join(f"SELECT date_trunc('month', l_shipdate)::DATE AS l_shipmonth, '{r.name}' AS rule_name, '{r.severity}' AS severity, count(*) FILTER (WHERE NOT coalesce({r.check}, false)) AS failed_count FROM lineitem GROUP BY 1 HAVING count(*) FILTER (WHERE NOT coalesce({r.check}, false)) >= 30" for r in LINE_RULES) + ")")
+def dq_failing(spark, sf_dir):
+    """Rules that enough rows of a month fail: a count per group, groups filtered by it."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("l_shipmonth", F.to_date(F.date_trunc("month", "l_shipdate")))
+    return quality.failing_rules(quality.check(rows, LINE_RULES), LINE_RULES, ["l_shipmonth"], 30)
+
+
 LINE_KEYS = ("l_orderkey", "l_linenumber")
 LINE_TIE = ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
 SQL_LATEST_LINES = f"""
@@ -257,12 +265,17 @@ def affected_dates(spark, sf_dir):
 
 @query(f"{SQL_VERSIONS} SELECT order_date, count(*) AS orders, {sql_round('sum(CAST(price AS DECIMAL(18,2)))', 2)} AS revenue FROM a GROUP BY order_date")
 def merge_replace(spark, sf_dir):
-    """A daily fact brought up to date by replacing only the touched days."""
+    """A daily fact brought up to date in a table partitioned by year: only touched years are
+    written, and in these the touched days come from the changed orders."""
     before, after = order_versions(spark, sf_dir)
-    daily = lambda df: df.groupBy("order_date").agg(F.count(F.lit(1)).alias("orders"), F.sum("price").alias("revenue"))
-    days = feed.union_dates([r["day"] for r in feed.affected_dates(feed.changes(before, after, ["o_orderkey"]), "order_date").collect()])
-    fresh = daily(after.where(facts.in_dates("order_date", days)))
-    return upsert.replace_dates(daily(before), fresh, "order_date", days).withColumn("revenue", plain(F.col("revenue"), 2))
+    daily = lambda df: df.groupBy("order_date").agg(F.count(F.lit(1)).alias("orders"), F.sum("price").alias("revenue")).withColumn("order_year", F.year("order_date"))
+    store = VersionedTable(spark, workspace(spark), ("order_date",), ("order_year",))
+    store.replace(daily(before), None)
+    days = feed.affected_dates(feed.changes(before, after, ["o_orderkey"]), "order_date")
+    years = [r[0] for r in days.select(F.year("day")).distinct().collect()]
+    fresh = daily(after.join(days.withColumnRenamed("day", "order_date"), "order_date", "left_semi"))
+    store.replace(upsert.replace_dates(store.read(segments=[str(y) for y in years]), fresh, "order_date", days), years)
+    return store.read().select("order_date", "orders", plain(F.col("revenue"), 2).alias("revenue"))
 
 
 @query(f"{SQL_VERSIONS} SELECT o_orderkey, order_date, {sql_round('price', 2)} AS price FROM a")
@@ -410,34 +423,79 @@ fact AS (SELECT base.*, units_produced - units_scrapped AS units_good, coalesce(
 """
 
 
+@dataclass(frozen=True)
+class Floor:
+    """The benchmark tables as the engine's silver tables and dimensions: a line is a run of its
+    supplier's machine, lines of urgent orders are inspected, failed inspections stop the machine."""
+
+    runs: DataFrame
+    inspections: DataFrame
+    work_orders: DataFrame
+    machines: DataFrame
+    products: DataFrame
+    plants: DataFrame
+
+
+def known(df: DataFrame, key: str = "production_log_id") -> DataFrame:
+    """With the row metadata of silver."""
+    return df.withColumns({"_is_deleted": F.lit(False), "_sequence": F.lit("1"), "_row_hash": digest([F.col(c) for c in df.columns])})
+
+
+def floor(spark, sf_dir) -> Floor:
+    lines = table(spark, sf_dir, "lineitem")
+    start, quantity = F.to_date("l_shipdate").cast("timestamp"), F.col("l_quantity").cast("int")
+    lines = lines.withColumn("production_log_id", F.xxhash64(*lines.columns)).withColumns({"machine_id": F.col("l_suppkey").cast("string"), "product_id": F.col("l_partkey").cast("string")})
+    runs = lines.select(
+        "production_log_id", "machine_id", "product_id", start.alias("start_ts"), F.timestamp_seconds(F.unix_seconds(start) + quantity * 180).alias("end_ts"), quantity.alias("units_produced"),
+        F.when(F.col("l_returnflag") == "R", quantity).otherwise(0).alias("units_scrapped"), "l_orderkey",
+    )
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority IN ('1-URGENT', '2-HIGH')").select("o_orderkey", "o_orderstatus")
+    checked = runs.join(urgent, F.col("l_orderkey") == F.col("o_orderkey"))
+    failed = F.col("o_orderstatus") == "F"
+    inspections = checked.select(
+        F.col("production_log_id").alias("inspection_id"), "production_log_id", "machine_id", "product_id", F.col("end_ts").alias("inspection_ts"), F.lit(20).alias("sample_size"), F.when(failed, 3).otherwise(0).alias("defect_count"),
+        F.when(failed, "FAIL").otherwise("PASS").alias("inspection_result"), F.lit("NONE").alias("defect_code"), F.lit("i").alias("inspector_id"),
+    )
+    stops = checked.where(failed).select(
+        F.col("production_log_id").cast("string").alias("work_order_id"), "machine_id", F.lit("BREAKDOWN").alias("work_type"), F.lit("P1").alias("priority"), F.lit("COMPLETED").alias("status"), F.col("start_ts").alias("reported_at"),
+        F.col("start_ts").alias("started_at"), F.col("end_ts").alias("completed_at"), F.lit(200).alias("downtime_minutes"), F.lit("t").alias("technician"),
+    )
+    long_ago, later = F.lit("1995-01-01").cast("timestamp"), F.lit("1998-01-01").cast("timestamp")
+    p = table(spark, sf_dir, "part")
+    base = p.select(
+        F.col("p_partkey").cast("string").alias("product_id"), "p_type", F.col("p_name").alias("product_name"), F.concat(F.lit("SKU"), "p_partkey").alias("sku"), F.col("p_brand").alias("product_family"),
+        F.col("p_retailprice").cast("decimal(12,2)").alias("unit_cost"), (F.col("p_size") + 10).alias("std_cycle_time_sec"), long_ago.alias("last_update_date"),
+    )
+    slower = base.where("p_type = 'ECONOMY'").withColumns({"std_cycle_time_sec": F.col("std_cycle_time_sec") + 15, "last_update_date": later})
+    products = facts.dim_product(history.empty_scd2(base, ["product_id"], facts.PRODUCT, "product_sk"), base)
+    products = facts.dim_product(products, slower)
+    s = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").cast("string").alias("machine_id"), F.col("s_name").alias("machine_name"), F.concat(F.lit("N"), "s_nationkey").alias("plant_id"), F.lit("L1").alias("line_id"), F.lit("PRESS").alias("machine_type"), F.lit("m").alias("manufacturer"),
+        F.lit("1990-01-01").cast("date").alias("install_date"), F.lit("ACTIVE").alias("status"), F.lit(100).alias("rated_units_per_hour"), F.lit(False).alias("_is_deleted"), long_ago.alias("source_modified_at"),
+    )
+    machines = facts.dim_machine(history.empty_scd2(s.withColumn("is_source_deleted", F.lit(False)), ["machine_id"], facts.MACHINE, "machine_sk"), s)
+    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("plant_id"), F.col("n_name").alias("plant_name"), F.lit("c").alias("city"), F.lit("at").alias("country_code"), F.lit("UTC").alias("timezone"))
+    none = n.limit(0).select(F.lit(0).cast("long").alias("plant_sk"), "plant_id", *facts.PLANT, F.lit("").alias("attr_hash"))
+    return Floor(known(runs.drop("l_orderkey")), known(inspections), known(stops), machines, products, facts.dim_plant(none, n))
+
+
+def production(f: Floor) -> DataFrame:
+    return facts.production_daily(f.runs, f.inspections, f.machines, f.products, f.plants)
+
+
 def daily(spark, sf_dir) -> DataFrame:
-    """Day x supplier x part, with the checked lines of urgent orders."""
-    grain = ["production_date", "l_suppkey", "l_partkey"]
-    l = table(spark, sf_dir, "lineitem").withColumn("production_date", F.to_date("l_shipdate"))  # noqa: E741
-    base = l.groupBy(*grain).agg(
-        F.count(F.lit(1)).alias("production_runs"), F.sum("l_quantity").cast("long").alias("units_produced"), F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(0)).cast("long").alias("units_scrapped"),
-        F.sum(F.col("l_quantity").cast("decimal(12,2)") * 3).alias("run_minutes"),
+    """Day x supplier x part by the production fact."""
+    out = production(floor(spark, sf_dir))
+    return out.select(
+        "production_date", F.col("machine_id").cast("long").alias("l_suppkey"), F.col("product_id").cast("long").alias("l_partkey"), "production_runs", "units_produced", "units_scrapped", "units_good", "run_minutes", "ideal_units",
+        "inspections", "sampled_units", "defect_units", "failed_inspections",
     )
-    checked = table(spark, sf_dir, "orders").where("o_orderpriority IN ('1-URGENT', '2-HIGH')").select("o_orderkey", "o_orderstatus")
-    q = l.select("l_orderkey", *grain).join(checked, F.col("l_orderkey") == F.col("o_orderkey"))
-    q = q.groupBy(*grain).agg(F.count(F.lit(1)).alias("inspections"), F.count_if(F.col("o_orderstatus") == "F").alias("failed_inspections"))
-    out = base.join(q, grain, "left").na.fill(0, ["inspections", "failed_inspections"])
-    return out.withColumn("units_good", F.col("units_produced") - F.col("units_scrapped"))
 
 
 @query(f"{SQL_FACT} SELECT * REPLACE ({sql_round('run_minutes', 2)} AS run_minutes) FROM fact")
 def fact_daily(spark, sf_dir):
     """Production by day, supplier and part with its inspections."""
-    return daily(spark, sf_dir).withColumn("run_minutes", plain(F.col("run_minutes"), 2))
-
-
-def cycle_times(spark, sf_dir) -> DataFrame:
-    """Part versions: the size is the cycle time, larger from 1998 on for economy parts."""
-    p = table(spark, sf_dir, "part")
-    log = p.select("p_partkey", F.lit("1995-01-01").cast("date").alias("at"), (F.col("p_size") + 10).alias("cycle")).unionByName(
-        p.select("p_partkey", F.lit("1998-01-01").cast("date").alias("at"), (F.col("p_size") + F.when(F.col("p_type") == "ECONOMY", 25).otherwise(10)).alias("cycle"))
-    )
-    return history.scd2_from_log(log, ["p_partkey"], ["cycle"], "at", "part_sk")
+    return daily(spark, sf_dir).drop("ideal_units", "sampled_units", "defect_units").withColumn("run_minutes", plain(F.col("run_minutes"), 2))
 
 
 SQL_OEE = f"""{SQL_FACT},
@@ -450,20 +508,17 @@ oee AS (SELECT *, {sql_round('availability * performance * quality', 4)} AS oee
 
 
 def machine_days(spark, sf_dir) -> DataFrame:
-    d = daily(spark, sf_dir).withColumn("at", F.col("production_date").cast("timestamp"))
-    d = asof.version_in_force(d, cycle_times(spark, sf_dir), "l_partkey", "at", "p_partkey", "part_sk", ("cycle",))
-    ideal = F.floor((F.col("run_minutes") * 60) / F.col("cycle")).cast("long")
-    m = d.withColumn("ideal_units", ideal).groupBy("production_date", "l_suppkey").agg(
-        F.sum("units_produced").alias("units_produced"), F.sum("units_good").alias("units_good"), F.sum("ideal_units").alias("ideal_units"), (F.sum("failed_inspections") * 200).alias("downtime_minutes")
-    )
-    m = m.withColumn("planned_minutes", F.lit(facts.PLANNED_MINUTES)).withColumn("available_minutes", F.greatest(F.lit(0).cast("long"), F.col("planned_minutes") - F.col("downtime_minutes")))
-    return facts.effectiveness(m)
+    """Day x supplier by the machine fact."""
+    f = floor(spark, sf_dir)
+    out = facts.machine_daily(production(f), f.work_orders, f.machines, f.plants)
+    return out.withColumn("l_suppkey", F.col("machine_id").cast("long"))
 
 
 @query(f"{SQL_OEE} SELECT production_date, l_suppkey, units_produced, units_good, ideal_units, downtime_minutes, planned_minutes, available_minutes, availability, performance, quality, oee FROM oee")
 def fact_effectiveness(spark, sf_dir):
     """Availability, performance, quality and OEE by day and supplier, with as-of cycle times."""
-    return machine_days(spark, sf_dir)
+    names = ("production_date", "l_suppkey", "units_produced", "units_good", "ideal_units", "downtime_minutes", "planned_minutes", "available_minutes", "availability", "performance", "quality", "oee")
+    return machine_days(spark, sf_dir).select(*names)
 
 
 def intervals(spark, sf_dir) -> DataFrame:
@@ -488,28 +543,24 @@ SELECT o_orderkey, event_type, count(*) AS reading_count, CAST(CAST(avg(value) A
 """
 
 
-def run_statistics(joined: DataFrame) -> DataFrame:
-    exact = lambda c: c.cast("decimal(12,3)").cast("double")
-    v = F.col("value")
-    return joined.groupBy("o_orderkey", "event_type").agg(
-        F.count(F.lit(1)).alias("reading_count"), exact(F.avg(v)).alias("avg_value"), exact(F.min(v)).alias("min_value"), exact(F.max(v)).alias("max_value"), exact(F.stddev_samp(v)).alias("stddev_value")
-    )
+def run_statistics(spark, sf_dir, salts: int = 0) -> DataFrame:
+    """The run fact over users as machines and orders as runs."""
+    r = intervals(spark, sf_dir).select(F.col("o_orderkey").alias("production_log_id"), F.col("user_id").cast("string").alias("machine_id"), F.lit("p").alias("product_id"), "start_ts", "end_ts", F.lit(False).alias("_is_deleted"))
+    e = exact_readings(spark, sf_dir).select(F.col("user_id").cast("string").alias("machine_id"), F.col("event_type").alias("sensor_type"), F.col("value").alias("reading_value"), "event_ts", F.to_date("event_ts").alias("event_date"))
+    out = facts.process_run_sensor(r, e, salts=salts)
+    return out.select(F.col("production_log_id").alias("o_orderkey"), F.col("sensor_type").alias("event_type"), "reading_count", *[F.col(c).cast("double").alias(c) for c in ("avg_value", "min_value", "max_value", "stddev_value")])
 
 
 @query(SQL_RUNS)
 def run_stats(spark, sf_dir):
-    """Reading statistics inside closed intervals: equi key and range."""
-    r = intervals(spark, sf_dir).withColumnRenamed("user_id", "_u")
-    e = exact_readings(spark, sf_dir)
-    joined = e.join(r, (F.col("user_id") == F.col("_u")) & (F.col("event_ts") >= F.col("start_ts")) & (F.col("event_ts") <= F.col("end_ts")))
-    return run_statistics(joined)
+    """Reading statistics inside closed intervals: machine and time slice, then the exact range."""
+    return run_statistics(spark, sf_dir)
 
 
 @query(SQL_RUNS)
 def run_stats_salted(spark, sf_dir):
-    """The same with the few, heavy keys salted."""
-    inside = (F.col("l.event_ts") >= F.col("s.start_ts")) & (F.col("l.event_ts") <= F.col("s.end_ts"))
-    return run_statistics(skew.salted_join(exact_readings(spark, sf_dir), intervals(spark, sf_dir), ["user_id"], 4, extra=inside))
+    """The same with the keys salted."""
+    return run_statistics(spark, sf_dir, 4)
 
 
 @query("SELECT n_name, count(*) AS orders, count(*) FILTER (WHERE o_orderstatus = 'F') AS finished FROM (SELECT CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 0 ELSE c_nationkey END AS k, o_orderstatus FROM orders JOIN customer ON o_custkey = c_custkey) JOIN nation ON k = n_nationkey GROUP BY 1")
@@ -521,10 +572,13 @@ def salted_join(spark, sf_dir):
     return joined.groupBy("n_name").agg(F.count(F.lit(1)).alias("orders"), F.count_if(F.col("o_orderstatus") == "F").alias("finished"))
 
 
-@query()
+@query("""
+WITH c AS (SELECT l_suppkey, count(*) AS row_count FROM lineitem GROUP BY 1), m AS (SELECT quantile_disc(row_count, 0.5) AS middle FROM c)
+SELECT l_suppkey, row_count, row_count / middle AS times_median FROM c, m ORDER BY row_count DESC, l_suppkey LIMIT 20
+""")
 def skew_report(spark, sf_dir):
-    """The heaviest keys against the approximate median (approximate: rows only)."""
-    return skew.skew_report(table(spark, sf_dir, "lineitem"), ["l_suppkey"])
+    """The heaviest keys against the median key; the error is small enough to be none here."""
+    return skew.skew_report(table(spark, sf_dir, "lineitem"), ["l_suppkey"], error=0.0001)
 
 
 # ---------------------------------------------------------------- reconciliation and control
@@ -570,6 +624,17 @@ def latest_results(spark, sf_dir):
     return reconcile.latest_results(rows).drop("checked_at")
 
 
+@query("""
+SELECT event_type AS check_type, CAST(user_id AS VARCHAR) AS entity, 'r' || (event_id % 3) AS run_id, arg_max(value < 100, ts) AS passed FROM events WHERE ts > TIMESTAMP '2024-01-19' AND ts <= TIMESTAMP '2024-01-20' GROUP BY 1, 2, 3
+""")
+def latest_day_results(spark, sf_dir):
+    """The last result of each check and run on one day; the run is read from the detail text."""
+    e = table(spark, sf_dir, "events")
+    detail = F.concat(F.lit("rows=5; run_id=r"), (F.col("event_id") % 3).cast("string"), F.lit("; ok"))
+    rows = e.select(F.col("event_type").alias("check_type"), F.col("user_id").cast("string").alias("entity"), (F.col("value") < 100).alias("passed"), detail.alias("detail"), F.col("ts").cast("timestamp").alias("checked_at"))
+    return reconcile.latest_results(reconcile.with_run_id(rows), "2024-01-20 00:00:00").select("check_type", "entity", "run_id", "passed")
+
+
 @query("SELECT event_type AS layer, user_id AS entity, max(ts) = max(ts) AS there, arg_max(event_id, (ts, event_id)) AS run_id FROM events GROUP BY 1, 2")
 def latest_status(spark, sf_dir):
     """The last log entry of each layer and entity."""
@@ -623,27 +688,29 @@ def extract_windows(spark, sf_dir):
 FROM oee JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2""")
 def oee_rollup(spark, sf_dir):
     """Plant OEE: ratios re-derived from summed components."""
-    plants = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
-    m = machine_days(spark, sf_dir).join(plants, F.col("l_suppkey") == F.col("s_suppkey"))
-    sums = m.groupBy("production_date", "n_name").agg(F.count_distinct("l_suppkey").alias("machines"), *[F.sum(c).alias(c) for c in ("units_produced", "units_good", "ideal_units", "planned_minutes", "available_minutes")])
-    out = views.with_oee(sums)
-    return out.select("production_date", "n_name", "machines", "units_produced", *[plain(F.col(c)).alias(c) for c in ("availability", "performance", "quality", "oee")])
+    f = floor(spark, sf_dir)
+    out = views.plant_oee_daily(facts.machine_daily(production(f), f.work_orders, f.machines, f.plants), f.plants)
+    return out.select("production_date", F.col("plant_name").alias("n_name"), "machines", "units_produced", *[plain(F.col(c)).alias(c) for c in ("availability", "performance", "quality", "oee")])
 
 
-@query(f"""{SQL_OEE}, last AS (SELECT max(production_date) AS d FROM oee), w AS (SELECT l_suppkey AS k, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'F' AND o_orderpriority = '1-URGENT' AND l_linestatus = 'O' AND l_tax = 0.08 GROUP BY 1)
-SELECT s_suppkey, coalesce(n, 0) AS open_orders, CASE WHEN coalesce(n, 0) > 5 THEN 'RED' WHEN o.oee < 0.60 OR o.downtime_minutes > 30 THEN 'AMBER' ELSE 'GREEN' END AS status
-FROM supplier LEFT JOIN (SELECT oee.* FROM oee, last WHERE production_date = d) o ON s_suppkey = l_suppkey LEFT JOIN w ON k = s_suppkey""")
+@query(f"""{SQL_OEE}, last AS (SELECT max(production_date) AS d FROM oee),
+a AS (SELECT user_id AS k, count(*) FILTER (WHERE value > 250) AS anomaly_minutes FROM events GROUP BY 1),
+w AS (SELECT l_suppkey AS k, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'F' AND o_orderpriority = '1-URGENT' AND l_linestatus = 'O' AND l_tax = 0.08 AND l_linenumber > 6 GROUP BY 1)
+SELECT s_suppkey, s_name, coalesce(n, 0) AS open_orders, CASE WHEN coalesce(n, 0) > 0 THEN 'RED' WHEN CASE WHEN o.l_suppkey IS NOT NULL THEN coalesce(a.anomaly_minutes, 0) END > 30 OR o.oee < 0.60 THEN 'AMBER' ELSE 'GREEN' END AS status
+FROM supplier LEFT JOIN (SELECT oee.* FROM oee, last WHERE production_date = d) o ON s_suppkey = l_suppkey LEFT JOIN w ON w.k = s_suppkey LEFT JOIN a ON a.k = s_suppkey""")
 def status_rag(spark, sf_dir):
-    """Traffic light per supplier on the last day: open urgent orders, then OEE or downtime."""
-    m = machine_days(spark, sf_dir)
-    last = m.agg(F.max("production_date").alias("d"))
-    today = m.join(F.broadcast(last), F.col("production_date") == F.col("d")).select("l_suppkey", "oee", "downtime_minutes")
-    open_ = table(spark, sf_dir, "orders").where("o_orderstatus <> 'F' AND o_orderpriority = '1-URGENT'").select("o_orderkey")
-    lines = table(spark, sf_dir, "lineitem").where("l_linestatus = 'O' AND l_tax = 0.08").join(open_, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("l_suppkey").alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    rows = table(spark, sf_dir, "supplier").join(today, F.col("s_suppkey") == F.col("l_suppkey"), "left").join(lines, F.col("k") == F.col("s_suppkey"), "left")
-    n = F.coalesce("n", F.lit(0))
-    light = F.when(n > 5, "RED").when((F.col("oee") < 0.60) | (F.col("downtime_minutes") > 30), "AMBER").otherwise("GREEN")
-    return rows.select("s_suppkey", n.alias("open_orders"), light.alias("status"))
+    """The shop floor on the last day: open urgent orders, then sensor alarms or a low OEE."""
+    f = floor(spark, sf_dir)
+    made = production(f)
+    last = made.agg(F.max("production_date")).first()[0]
+    e = table(spark, sf_dir, "events")
+    minutes = e.select(F.lit(last).alias("event_date"), F.col("user_id").cast("string").alias("machine_id"), F.col("ts").alias("window_start"), F.lit("temperature").alias("sensor_type"), F.col("value").alias("avg_value"), F.col("value").alias("max_value"), (F.col("value") > 250).alias("is_anomaly"))
+    days = facts.machine_daily(made, f.work_orders, f.machines, f.plants, minutes, [last])
+    urgent = table(spark, sf_dir, "orders").where("o_orderstatus <> 'F' AND o_orderpriority = '1-URGENT'").select("o_orderkey")
+    late = table(spark, sf_dir, "lineitem").where("l_linestatus = 'O' AND l_tax = 0.08 AND l_linenumber > 6").join(urgent, F.col("l_orderkey") == F.col("o_orderkey"))
+    open_ = late.select(F.col("l_suppkey").cast("string").alias("machine_id"), F.lit("OPEN").alias("status"))
+    out = views.shop_floor_status(f.machines, days, open_, str(last))
+    return out.select(F.col("machine_id").cast("long").alias("s_suppkey"), F.col("machine_name").alias("s_name"), F.col("open_work_orders").alias("open_orders"), "status")
 
 
 @query(f"{SQL_FACT} SELECT production_date, p_brand, sum(units_scrapped)::BIGINT AS units_scrapped, CAST(sum(units_scrapped * CAST(p_retailprice AS DECIMAL(12,2))) AS DOUBLE) AS scrap_cost FROM fact JOIN part ON l_partkey = p_partkey GROUP BY 1, 2")
@@ -661,7 +728,7 @@ SELECT made.month, units_produced, units_good, units_scrapped, {sql_round('units
 FROM made LEFT JOIN t USING (month) LEFT JOIN b USING (month)""")
 def exec_monthly(spark, sf_dir):
     """Monthly figures of production, machine time and deliveries."""
-    d = daily(spark, sf_dir).withColumn("sampled_units", F.col("inspections")).withColumn("defect_units", F.col("failed_inspections"))
+    d = daily(spark, sf_dir).withColumns({"sampled_units": F.col("inspections"), "defect_units": F.col("failed_inspections")})
     bought = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("production_date"), F.lit(1).alias("delivered_qty"), (F.col("o_orderstatus") == "F").cast("int").alias("rejected_qty"))
     out = views.exec_monthly(d, machine_days(spark, sf_dir), bought)
     return out.select("month", "units_produced", "units_good", "units_scrapped", *[plain(F.col(c)).alias(c) for c in ("scrap_rate", "first_pass_yield", "availability", "supplier_reject_rate")])
@@ -721,18 +788,159 @@ def rolling_7d(spark, sf_dir):
     return views.oee_7d(machine_days(spark, sf_dir)).select("production_date", F.col("units_produced_7d").alias("units_7d"), plain(F.col("oee_7d")).alias("oee_7d"))
 
 
-_M = {"Scrap Rate %": "units_scrapped / nullif(units_produced, 0)", "Run Hours": "CAST(run_minutes AS DOUBLE) / 60", "Inspection Fail Rate %": "failed_inspections / nullif(inspections, 0)"}
+_M = {
+    "Scrap Rate %": "units_scrapped / nullif(units_produced, 0)", "Run Hours": "CAST(run_minutes AS DOUBLE) / 60", "Inspection Fail Rate %": "failed_inspections / nullif(inspections, 0)", "Units Produced": "units_produced", "Good Units": "units_good",
+    "Scrapped Units": "units_scrapped", "Production Runs": "production_runs", "Ideal Units": "ideal_units", "Sampled Units": "inspections * 20", "Defect Units": "failed_inspections * 3", "First Pass Yield %": "1 - failed_inspections * 3 / nullif(inspections * 20, 0)",
+    "Defects PPM": "failed_inspections * 3 / nullif(inspections * 20, 0) * 1000000", "Scrap Cost": "scrap_cost",
+}
+_MACHINE = {
+    "Planned Minutes": "planned", "Downtime Minutes": "down", "Availability %": "avail / planned", "Performance %": "CASE WHEN ideal > 0 THEN least(1.0, made / ideal) END", "Quality %": "good / nullif(made, 0)",
+    "OEE %": "avail / planned * CASE WHEN ideal > 0 THEN least(1.0, made / ideal) END * (good / nullif(made, 0))", "OEE Target": "0.85", "OEE vs Target": "avail / planned * CASE WHEN ideal > 0 THEN least(1.0, made / ideal) END * (good / nullif(made, 0)) - 0.85", "Sensor Anomaly Minutes": "alarms",
+}
+
+
+def measured(out: DataFrame, by: Sequence[str], names: Sequence[str]) -> DataFrame:
+    return out.select(*by, *[plain(F.col(f"`{n}`")).alias(n) for n in names])
+
+
+def listed(formulas: dict[str, str]) -> str:
+    return ", ".join(f'{sql_round(x)} AS "{n}"' for n, x in formulas.items())
 
 
-@query(f"""{SQL_FACT}, s AS (SELECT date_trunc('year', production_date)::DATE AS year, p_brand, sum(units_produced)::BIGINT AS units_produced, sum(units_good)::BIGINT AS units_good, sum(units_scrapped)::BIGINT AS units_scrapped, sum(production_runs)::BIGINT AS production_runs,
-sum(run_minutes) AS run_minutes, sum(inspections) AS inspections, sum(failed_inspections) AS failed_inspections FROM fact JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)
-SELECT year, p_brand, units_produced, units_good, units_scrapped, production_runs, {', '.join(f'{sql_round(x)} AS "{n}"' for n, x in _M.items())} FROM s""")
+@query(f"""{SQL_OEE}, s AS (SELECT date_trunc('year', production_date)::DATE AS year, p_brand, sum(units_produced)::BIGINT AS units_produced, sum(units_good)::BIGINT AS units_good, sum(units_scrapped)::BIGINT AS units_scrapped, sum(production_runs)::BIGINT AS production_runs,
+sum(run_minutes) AS run_minutes, sum(inspections) AS inspections, sum(failed_inspections) AS failed_inspections, sum(ideal_units) AS ideal_units, sum(units_scrapped * CAST(p_retailprice AS DECIMAL(12,2))) AS scrap_cost, max(production_date) AS data_as_of FROM ideal JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)
+SELECT year, p_brand, data_as_of, {listed(_M)} FROM s""")
 def measures(spark, sf_dir):
     """BI measures of the production fact at brand and year level."""
-    d = daily(spark, sf_dir).join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).withColumn("year", F.to_date(F.date_trunc("year", "production_date")))
-    names = ["Units Produced", "Good Units", "Scrapped Units", "Production Runs", *_M]
-    out = views.evaluate(d, names, ["year", "p_brand"])
-    return out.select("year", "p_brand", F.col("Units Produced").alias("units_produced"), F.col("Good Units").alias("units_good"), F.col("Scrapped Units").alias("units_scrapped"), F.col("Production Runs").alias("production_runs"), *[plain(F.col(n)).alias(n) for n in _M])
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.col("p_retailprice").cast("decimal(12,2)").alias("unit_cost"))
+    d = daily(spark, sf_dir).join(p, F.col("l_partkey") == F.col("p_partkey")).withColumns({"year": F.to_date(F.date_trunc("year", "production_date")), "_gold_updated_ts": F.col("production_date")})
+    out = views.evaluate(d, [*_M, "Data As Of"], ["year", "p_brand"])
+    return measured(out, ["year", "p_brand", F.col("Data As Of").alias("data_as_of")], list(_M))
+
+
+@query(f"""{SQL_OEE}, a AS (SELECT DATE '1998-01-01' + CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INT) AS production_date, user_id AS l_suppkey, count(*) FILTER (WHERE value > 100) AS alarms FROM events GROUP BY 1, 2),
+s AS (SELECT date_trunc('month', production_date)::DATE AS month, sum(planned_minutes) AS planned, sum(downtime_minutes) AS down, sum(available_minutes) AS avail, sum(ideal_units) AS ideal, sum(units_produced) AS made, sum(units_good) AS good, sum(coalesce(alarms, 0)) AS alarms FROM oee LEFT JOIN a USING (production_date, l_suppkey) GROUP BY 1)
+SELECT month, {listed(_MACHINE)} FROM s""")
+def measures_machine(spark, sf_dir):
+    """BI measures of the machine fact by month, with sensor alarms."""
+    f = floor(spark, sf_dir)
+    e = table(spark, sf_dir, "events")
+    day = F.date_add(F.lit("1998-01-01").cast("date"), F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")))
+    minutes = e.select(day.alias("event_date"), F.col("user_id").cast("string").alias("machine_id"), F.col("ts").alias("window_start"), F.lit("vibration").alias("sensor_type"), F.col("value").alias("avg_value"), F.col("value").alias("max_value"), (F.col("value") > 100).alias("is_anomaly"))
+    days = facts.machine_daily(production(f), f.work_orders, f.machines, f.plants, minutes).withColumn("month", F.to_date(F.date_trunc("month", "production_date")))
+    return measured(views.evaluate(days, list(_MACHINE), ["month"]), ["month"], list(_MACHINE))
+
+
+@query(f"""
+WITH o AS (SELECT CAST(o_custkey % 50 AS VARCHAR) AS machine_id, CASE WHEN o_orderpriority = '1-URGENT' THEN 'BREAKDOWN' ELSE 'PREVENTIVE' END AS kind, CASE WHEN o_orderstatus = 'F' THEN 'COMPLETED' ELSE 'OPEN' END AS status, 30 + o_orderkey % 90 AS repair FROM orders),
+m AS (SELECT machine_id, count(*) FILTER (WHERE kind = 'BREAKDOWN' AND status = 'COMPLETED') AS broke, sum(repair) FILTER (WHERE kind = 'BREAKDOWN' AND status = 'COMPLETED') AS repair, count(*) FILTER (WHERE status <> 'COMPLETED') AS open FROM o GROUP BY 1),
+r AS (SELECT CAST(l_suppkey % 50 AS VARCHAR) AS machine_id, sum(CAST(l_quantity AS DOUBLE) * 3) / 60 AS hours FROM lineitem GROUP BY 1)
+SELECT machine_id, {listed({"Breakdowns": "broke", "MTTR (min)": "repair / nullif(broke, 0)", "Open Work Orders": "open", "Run Hours": "hours", "MTBF (hrs)": "hours / nullif(broke, 0)"})} FROM r JOIN m USING (machine_id)""")
+def measures_maintenance(spark, sf_dir):
+    """BI measures of the maintenance fact by machine, with the one that needs two facts."""
+    o = table(spark, sf_dir, "orders")
+    at = F.col("o_orderdate").cast("timestamp")
+    orders = o.select(
+        F.col("o_orderkey").cast("string").alias("work_order_id"), F.pmod("o_custkey", F.lit(50)).cast("string").alias("machine_id"), F.when(F.col("o_orderpriority") == "1-URGENT", "BREAKDOWN").otherwise("PREVENTIVE").alias("work_type"), F.lit("P1").alias("priority"),
+        F.when(F.col("o_orderstatus") == "F", "COMPLETED").otherwise("OPEN").alias("status"), at.alias("reported_at"), at.alias("started_at"), F.timestamp_seconds(F.unix_seconds(at) + (F.col("o_orderkey") % 90 + 30) * 60).alias("completed_at"),
+        F.lit(0).alias("downtime_minutes"), F.lit("t").alias("technician"), F.lit(False).alias("_is_deleted"),
+    )
+    machines = history.empty_scd2(orders.withColumn("a", F.lit("")), ["machine_id"], ["a"], "machine_sk")
+    events = facts.maintenance_event(orders, machines)
+    ran = daily(spark, sf_dir).withColumn("machine_id", F.pmod("l_suppkey", F.lit(50)).cast("string"))
+    both = views.mtbf_hours(ran, events, ["machine_id"]).drop("Breakdowns").join(views.evaluate(events, ["Breakdowns", "MTTR (min)", "Open Work Orders"], ["machine_id"]), "machine_id")
+    return measured(both, ["machine_id"], ["Breakdowns", "MTTR (min)", "Open Work Orders", "Run Hours", "MTBF (hrs)"])
+
+
+SQL_DELIVERIES = """
+WITH d AS (SELECT CAST(o_orderkey AS VARCHAR) AS delivery_id, 'C' || o_custkey AS supplier_id, 'Name ' || o_orderpriority AS supplier_name, 'N' || (o_custkey % 30) AS plant_id, CAST(o_orderdate AS DATE) AS delivery_date, 100 + o_orderkey % 7 AS delivered_qty, o_orderkey % 5 AS rejected_qty, o_orderstatus = 'P' AS gone, strftime(o_orderdate, '%Y%m%d') AS seq FROM orders),
+s AS (SELECT supplier_id, arg_max(supplier_name, (seq, delivery_id)) AS supplier_name FROM d WHERE NOT gone GROUP BY 1)
+"""
+
+
+def delivered(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Orders as delivery lines, and the supplier dimension that they give."""
+    o = table(spark, sf_dir, "orders")
+    d = o.select(
+        F.col("o_orderkey").cast("string").alias("delivery_id"), F.concat(F.lit("C"), "o_custkey").alias("supplier_id"), F.concat(F.lit("Name "), "o_orderpriority").alias("supplier_name"), F.lit("m").alias("material_code"),
+        F.concat(F.lit("N"), F.pmod("o_custkey", F.lit(30))).alias("plant_id"), F.to_date("o_orderdate").alias("delivery_date"), (F.col("o_orderkey") % 7 + 100).cast("int").alias("delivered_qty"), (F.col("o_orderkey") % 5).cast("int").alias("rejected_qty"), F.lit("l").alias("lot_number"),
+        (F.col("o_orderstatus") == "P").alias("_is_deleted"), F.date_format("o_orderdate", "yyyyMMdd").alias("_sequence"),
+    )
+    empty = d.limit(0).select(F.lit(0).cast("long").alias("supplier_sk"), "supplier_id", "supplier_name", F.lit("").alias("attr_hash"))
+    return d, facts.dim_supplier(empty, d)
+
+
+@query(f"{SQL_DELIVERIES} SELECT supplier_id, supplier_name FROM s")
+def dim_supplier(spark, sf_dir):
+    """Type 1 suppliers with the name of their latest delivery that is not deleted."""
+    return delivered(spark, sf_dir)[1].select("supplier_id", "supplier_name")
+
+
+@query(f"{SQL_DELIVERIES} SELECT delivery_id, CAST(strftime(delivery_date, '%Y%m%d') AS INT) AS date_key, s.supplier_name, coalesce(n_name, 'miss') AS plant, delivered_qty, rejected_qty, delivered_qty - rejected_qty AS accepted_qty FROM d JOIN s USING (supplier_id) LEFT JOIN nation ON plant_id = 'N' || n_nationkey WHERE NOT gone")
+def fact_supplier(spark, sf_dir):
+    """The delivery fact with its suppliers and plants; an unknown plant has key -1."""
+    d, suppliers = delivered(spark, sf_dir)
+    plants = floor(spark, sf_dir).plants
+    out = facts.supplier_delivery(d, suppliers, plants).join(suppliers.select("supplier_sk", "supplier_name"), "supplier_sk").join(plants.select("plant_sk", "plant_name"), "plant_sk", "left")
+    plant = F.when(F.col("plant_sk") == -1, "miss").otherwise(F.col("plant_name"))
+    return out.select("delivery_id", "date_key", "supplier_name", plant.alias("plant"), F.col("delivered_qty").cast("long").alias("delivered_qty"), F.col("rejected_qty").cast("long").alias("rejected_qty"), F.col("accepted_qty").cast("long").alias("accepted_qty"))
+
+
+@query(f"{SQL_DELIVERIES} SELECT supplier_id, {sql_round('sum(rejected_qty) / nullif(sum(delivered_qty), 0)')} AS reject_rate FROM d WHERE NOT gone GROUP BY 1")
+def measures_delivery(spark, sf_dir):
+    """The BI measure of the delivery fact by supplier."""
+    d, suppliers = delivered(spark, sf_dir)
+    out = facts.supplier_delivery(d, suppliers, floor(spark, sf_dir).plants).join(suppliers.select("supplier_sk", "supplier_id"), "supplier_sk")
+    return views.evaluate(out, ["Supplier Reject Rate %"], ["supplier_id"]).select("supplier_id", plain(F.col("Supplier Reject Rate %")).alias("reject_rate"))
+
+
+@query(f"""
+WITH s AS (SELECT CAST(s_suppkey AS VARCHAR) AS machine_id, s_nationkey AS n, s_acctbal < 0 AS gone FROM supplier)
+SELECT machine_id, 'N' || n AS plant_id, false AS deleted, DATE '1900-01-01' AS effective_from, CASE WHEN gone OR n % 3 = 0 THEN DATE '1998-01-01' ELSE DATE '9999-12-31' END AS effective_to FROM s
+UNION ALL SELECT machine_id, CASE WHEN n % 3 = 0 THEN 'X' ELSE 'N' || n END, gone, DATE '1998-01-01', DATE '9999-12-31' FROM s WHERE gone OR n % 3 = 0
+""")
+def dim_machine(spark, sf_dir):
+    """Type 2 machines over two snapshots: some move plant, some are deleted at the source and flagged."""
+    f = floor(spark, sf_dir)
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("machine_id"), F.col("s_nationkey").alias("n"), (F.col("s_acctbal") < 0).alias("gone"))
+    second = f.machines.drop("machine_sk", "attr_hash", "effective_from", "effective_to", "is_current", "is_source_deleted").join(s, "machine_id")
+    second = second.withColumns({"plant_id": F.when(F.col("n") % 3 == 0, "X").otherwise(F.col("plant_id")), "_is_deleted": F.col("gone"), "source_modified_at": F.lit("1998-01-01").cast("timestamp")})
+    out = facts.dim_machine(f.machines, second)
+    return out.select("machine_id", "plant_id", F.col("is_source_deleted").alias("deleted"), F.to_date("effective_from").alias("effective_from"), F.to_date("effective_to").alias("effective_to"))
+
+
+@query("""
+SELECT CAST(p_partkey AS VARCHAR) AS product_id, p_size + 10 AS cycle, DATE '1900-01-01' AS effective_from, p_type <> 'ECONOMY' AS is_current FROM part UNION ALL SELECT CAST(p_partkey AS VARCHAR), p_size + 25, DATE '1998-01-01', true FROM part WHERE p_type = 'ECONOMY'
+""")
+def dim_product(spark, sf_dir):
+    """Type 2 products: a changed cycle time opens a version, an unchanged product keeps its own."""
+    return floor(spark, sf_dir).products.select("product_id", F.col("std_cycle_time_sec").alias("cycle"), F.to_date("effective_from").alias("effective_from"), "is_current")
+
+
+@query("SELECT 'N' || n_nationkey AS plant_id, n_name AS plant_name FROM nation")
+def dim_plant(spark, sf_dir):
+    """Type 1 plants."""
+    return floor(spark, sf_dir).plants.select("plant_id", "plant_name")
+
+
+@query(f"{SQL_FACT} SELECT production_date, l_suppkey, l_partkey, production_runs, units_produced, units_scrapped, inspections, failed_inspections FROM fact")
+def gold_build(spark, sf_dir):
+    """All facts built twice from silver tables: everything, then the days that later runs and
+    inspections touch; each step is reconciled before the watermarks move."""
+    from quernflow.plans import gold
+
+    root, f = workspace(spark), floor(spark, sf_dir)
+    silver = {n: VersionedTable(spark, f"{root}/silver/{n}", (k,)) for n, k in (("mes_production_log", "production_log_id"), ("mes_quality_inspection", "inspection_id"), ("cmms_work_order", "work_order_id"))}
+    builder = gold.Gold(spark, silver, {n: VersionedTable(spark, f"{root}/gold/{n}") for n in gold.PUBLISHED}, control.Watermarks(VersionedTable(spark, f"{root}/marks")))
+    for name, rows in (("dim_machine", f.machines), ("dim_product", f.products), ("dim_plant", f.plants)):
+        builder.gold[name].commit(rows, "LOAD")
+    late = lambda c: F.col(c) >= F.lit("2001-06-01").cast("timestamp")
+    for second in (False, True):
+        for name, rows, at in (("mes_production_log", f.runs, "start_ts"), ("mes_quality_inspection", f.inspections, "inspection_ts"), ("cmms_work_order", f.work_orders, "reported_at")):
+            silver[name].upsert(rows.where(late(at) if second else ~late(at)))
+        builder.build()
+    out = builder.gold["fact_production_daily"].read()
+    return out.select("production_date", F.col("machine_id").cast("long").alias("l_suppkey"), F.col("product_id").cast("long").alias("l_partkey"), "production_runs", "units_produced", "units_scrapped", "inspections", "failed_inspections")
 
 
 @query("""
@@ -762,6 +970,20 @@ def events_as_readings(df: DataFrame) -> DataFrame:
     )
 
 
+def bodies(df: DataFrame) -> DataFrame:
+    """Events as raw messages: padded and upper-case codes, time as text."""
+    at = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    message = F.struct(
+        F.concat(F.lit("d"), "event_id").alias("device_id"), F.concat(F.lit(" "), F.col("user_id").cast("string")).alias("machine_id"), F.upper("event_type").alias("sensor_type"), F.col("value").alias("reading_value"), F.lit("u").alias("unit"), at.alias("event_ts")
+    )
+    text = F.to_json(message)
+    broken = F.when(F.col("event_id") % 11 == 0, F.left(text, F.lit(12))).when(F.col("event_id") % 13 == 0, F.replace(text, at, F.lit("soon"))).otherwise(text)
+    now = F.lit("2024-02-01").cast("timestamp")
+    return df.select(
+        text.alias("body"), broken.alias("broken"), F.col("user_id").cast("string").alias("partition_key"), F.lit(0).alias("partition_id"), F.col("event_id").alias("stream_offset"), now.alias("enqueued_ts"), now.alias("_ingest_ts"), F.to_date(now).alias("_ingest_date")
+    )
+
+
 def _minutes(df: DataFrame) -> DataFrame:
     return df.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "machine_id", "sensor_type", "reading_count", plain(F.col("avg_value")).alias("avg_value"), "min_value", "max_value", "is_anomaly")
 
@@ -778,25 +1000,25 @@ def stream_minute_agg(spark, sf_dir):
     """The same as a stream of minutes over a feed in which every event comes twice: watermark,
     bounded dedup, append; windows still open at the watermark are withheld."""
     place = workspace(spark)
-    source = table(spark, sf_dir, "events")
+    source = bodies(table(spark, sf_dir, "events")).drop("broken")
     source.unionByName(source).write.parquet(f"{place}/in")
-    stream = events_as_readings(spark.readStream.schema(source.schema).parquet(f"{place}/in"))
-    once = stream.withWatermark("event_ts", "10 minutes").dropDuplicatesWithinWatermark(telemetry.DEDUP)
-    out = telemetry.minute_aggregates(once, "1 minute", LIMITS)
+    stream = spark.readStream.schema(source.schema).parquet(f"{place}/in")
+    out = telemetry.minute_aggregates(telemetry.readings(telemetry.parse(stream)), "1 minute", LIMITS)
     writer = out.writeStream.format("parquet").outputMode("append").option("path", f"{place}/out").option("checkpointLocation", f"{place}/check")
     writer.trigger(availableNow=True).start().awaitTermination()
     return _minutes(spark.read.schema(out.schema).parquet(f"{place}/out"))
 
 
 @query("""
-SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE CAST(json_extract(props, '$.k') AS INT) END AS k, event_type <> 'error' AS valid, CASE WHEN event_type = 'error' THEN left(props, 4) END AS quarantined_body FROM events
+SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN CAST(user_id AS VARCHAR) END AS machine_id, CASE WHEN event_id % 11 <> 0 THEN 'D' || event_id END AS device_id, CASE WHEN event_id % 11 <> 0 THEN event_type END AS sensor_type, CASE WHEN event_id % 11 <> 0 THEN value END AS reading_value,
+       CASE WHEN event_id % 11 <> 0 AND event_id % 13 <> 0 THEN CAST(ts AS DATE) END AS event_date, event_id % 11 <> 0 AND event_id % 13 <> 0 AS valid, CASE WHEN event_id % 11 = 0 THEN left('{"device_id":"d' || event_id, 12) END AS broken_body FROM events
 """)
 def json_parse(spark, sf_dir):
-    """JSON bodies parsed with a schema; what does not parse is quarantined with its text."""
-    e = table(spark, sf_dir, "events").withColumn("body", F.when(F.col("event_type") == "error", F.left("props", F.lit(4))).otherwise(F.col("props")))
-    parsed = e.withColumn("j", F.from_json("body", "k int"))
-    valid = F.col("j.k").isNotNull()
-    return parsed.select("event_id", F.col("j.k").alias("k"), valid.alias("valid"), F.when(~valid, F.col("body")).alias("quarantined_body"))
+    """Message bodies parsed by the declared fields; what does not parse is marked and keeps its text."""
+    raw = bodies(table(spark, sf_dir, "events"))
+    parsed = telemetry.parse(raw.withColumn("body", F.col("broken")))
+    cut = F.when(F.col("machine_id").isNull(), F.col("body"))
+    return parsed.select(F.col("stream_offset").alias("event_id"), "machine_id", "device_id", "sensor_type", "reading_value", "event_date", F.col("_valid").alias("valid"), cut.alias("broken_body"))
 
 
 @query("SELECT conv_id, turn, role, CAST(length(text) AS INT) AS n_chars FROM conversations")
@@ -805,8 +1027,9 @@ def api_pages(spark, sf_dir):
     place = workspace(spark)
     c = table(spark, sf_dir, "conversations")
     pages = c.groupBy(F.floor(F.col("conv_id") / 25).alias("page")).agg(F.collect_list(F.struct("conv_id", "turn", "role", "text")).alias("data"))
-    pages.select(F.to_json(F.struct(F.struct(F.col("page").cast("int").alias("page"), F.size("data").alias("page_size"), F.lit(0).alias("total_count")).alias("meta"), "data")).alias("value")).write.text(f"{place}/pages")
-    rows = spark.read.schema("meta struct<page:int,page_size:int,total_count:int>, data array<struct<conv_id:bigint,turn:bigint,role:string,text:string>>").json(f"{place}/pages").select(F.inline("data"))
+    body = F.to_json(F.struct(F.struct(F.col("page").cast("int").alias("page"), F.size("data").alias("page_size"), F.lit(0).alias("total_count")).alias("meta"), "data"))
+    pages.select("page", body.alias("value")).write.partitionBy("page").text(f"{place}/pages")  # a file a page
+    rows = extract.explode_pages(spark, f"{place}/pages/*", "conv_id: bigint, turn: bigint, role: string, text: string")
     return rows.select("conv_id", "turn", "role", F.length("text").alias("n_chars"))
 
 
@@ -864,16 +1087,6 @@ def medallion_stream(spark, sf_dir):
     return silver.read().select("o_orderkey", "status", F.col("_is_deleted").alias("is_deleted"), F.col("_ingestion_run_id").alias("run_id"))
 
 
-@query("""
-SELECT 'D' || l_orderkey AS delivery_id, 'S' || arg_max(l_suppkey, (l_suppkey, -l_linenumber)) AS supplier_id, CAST(count(*) AS INT) AS lines FROM lineitem GROUP BY l_orderkey
-""")
-def supplier_of_order(spark, sf_dir):
-    """The highest supplier of each order: the largest value per key by ``max_by``."""
-    l = table(spark, sf_dir, "lineitem")  # noqa: E741
-    top = F.max_by("l_suppkey", F.struct("l_suppkey", (-F.col("l_linenumber")).alias("n")))
-    return l.groupBy("l_orderkey").agg(top.alias("s"), F.count(F.lit(1)).cast("int").alias("lines")).select(F.concat(F.lit("D"), "l_orderkey").alias("delivery_id"), F.concat(F.lit("S"), "s").alias("supplier_id"), "lines")
-
-
 @query("""
 WITH r AS (SELECT 'D' || o_orderkey AS delivery_id, 'Supplier' AS supplier_name, 'C' || o_custkey AS supplier_id, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE CAST(floor(o_totalprice / 1000) AS INT) END AS delivered_qty,
              CASE WHEN o_orderpriority = '1-URGENT' THEN 400 WHEN o_orderpriority = '5-LOW' THEN 0 ELSE 3 END AS rejected_qty, CAST(o_orderdate AS DATE) AS delivery_date FROM orders)
@@ -981,9 +1194,9 @@ def reconciliation_report(spark, sf_dir):
     return reconcile.report(rows).select("check_type", "position", "entity", "passed")
 
 
-@query("SELECT o_orderstatus AS status, count(*) AS n, CAST(least(64, greatest(1, ceil(count(*) / 1000.0))) AS INT) AS files FROM orders GROUP BY 1")
+@query("SELECT o_orderstatus AS status, count(*) AS n, CAST(greatest(1, ceil(count(*) * 100 / 65536.0)) AS INT) AS files FROM orders GROUP BY 1")
 def output_files(spark, sf_dir):
     """Output sizing per status."""
     counts = table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n")).collect()
-    return spark.createDataFrame([(r["status"], r["n"], files_for(r["n"], 1000)) for r in counts], "status string, n long, files int")
+    return spark.createDataFrame([(r["status"], r["n"], files_for(r["n"] * 100, 1 << 16)) for r in counts], "status string, n long, files int")
 

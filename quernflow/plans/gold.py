@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernflow import control
 from quernflow.control import Watermarks
 from quernflow.operators import feed, reconcile, upsert
 from quernflow.plans import facts
-from quernflow.session import files_for
 from quernflow.sources.versioned import VersionedTable
 
 CONSUMER = "gold"
@@ -31,6 +32,7 @@ class Gold:
     gold: dict[str, VersionedTable]
     watermarks: Watermarks
     run_id: str = "local"
+    run_log: str | None = None
 
     def dimension(self, name: str) -> DataFrame:
         return self.gold[name].read()
@@ -39,12 +41,31 @@ class Gold:
         return self.silver[name].changes(self.watermarks.get(CONSUMER, name))
 
     def _store(self, name: str, fresh: DataFrame, dates: list | None) -> None:
+        """A fact that is partitioned by day writes the touched days only; others are written whole."""
         table = self.gold[name]
+        if table.partition_by:
+            table.replace(fresh, dates if table.exists() else None, "REPLACE_DATES" if dates is not None else "REBUILD", self.run_id)
+            return
         if table.exists() and dates is not None:
             fresh = upsert.replace_dates(table.read(), fresh, "production_date", dates)
         table.commit(fresh, "REPLACE_DATES" if dates is not None else "REBUILD", self.run_id, record_changes=bool(table.keys))
 
     def build(self, minutes: DataFrame | None = None, readings: DataFrame | None = None, fail_after: str | None = None) -> list | None:
+        """All facts for the touched days, with an entry in the run log whatever comes of it."""
+        began = datetime.now(UTC)
+        try:
+            dates = self._build(minutes, readings, fail_after)
+        except Exception as error:
+            self._log(control.FAILED, began, str(error)[:500])
+            raise
+        self._log(control.SUCCESS, began, "all days" if dates is None else f"{len(dates)} days")
+        return dates
+
+    def _log(self, status: str, began: datetime, message: str) -> None:
+        if self.run_log:
+            control.log_rows(self.spark, self.run_log, [("gold", self.run_id, "GOLD", "facts", status, None, None, message, began, datetime.now(UTC))])
+
+    def _build(self, minutes: DataFrame | None, readings: DataFrame | None, fail_after: str | None) -> list | None:
         """All facts for the touched days. The watermarks of the three watched tables move
         last, together; a failure before that leaves them and the next call repeats the days."""
         runs = self.silver["mes_production_log"].read()
@@ -78,8 +99,9 @@ def publish_table(source: VersionedTable, target: VersionedTable, name: str, wat
     if done != latest or not target.exists():
         changes = source.changes(done) if source.keys and target.exists() else None
         if changes is None:
-            fresh = source.read()
-            target.commit(fresh.coalesce(files_for(fresh.count())), "FULL")
+            target.commit(source.read(), "FULL")
+        elif target.keys:
+            target.apply(feed.collapse(changes, source.keys))
         else:
             target.commit(feed.apply_feed(target.read(), feed.collapse(changes, source.keys), source.keys), "MERGE")
     measure = PUBLISHED.get(name)

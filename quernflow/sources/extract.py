@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,7 @@ def lsn_window(log: DataFrame, low: str, high: str, column: str = "cdc_start_lsn
     Raises if the log's oldest change is newer than the start: cleaned-up changes are lost.
     """
     oldest = log.agg(F.min(column)).first()[0]
-    if low and oldest is not None and oldest > low and log.sparkSession is not None and low != "0x" + "0" * 20 and not log.where(F.col(column) <= low).take(1):
+    if low and low != "0x" + "0" * 20 and oldest is not None and oldest > low:
         raise LsnGapError(f"oldest change {oldest} is after {low}")
     return log.where((F.col(column) > low) & (F.col(column) <= high))
 
@@ -54,25 +55,33 @@ def kafka_options(servers: str, topic: str, max_offsets: int = 50_000, starting:
 class PagedReader(DataSourceReader):
     """Reads pages until one is empty: page 1, 2, ... each a partition of its own if the count is known."""
 
-    def __init__(self, schema: StructType, fetch: Callable[[int], str], most: int, stride: int) -> None:
-        self.schema, self.fetch, self.most, self.stride = schema, fetch, most, stride
+    def __init__(self, schema: StructType, fetch: Callable[..., str], most: int, stride: int, token: Callable[[], str] | None, spacing: float) -> None:
+        self.schema, self.fetch, self.most, self.stride, self.token, self.spacing = schema, fetch, most, stride, token, spacing
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(i) for i in range(self.stride)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for page in range(partition.value + 1, self.most + 1, self.stride):
-            rows = json.loads(self.fetch(page)).get("data") or []
-            if not rows:
-                return
+        page = partition.value + 1
+        while rows := self._rows(page):
+            if page > self.most:
+                raise RuntimeError(f"page {page} still has rows: raise the limit of {self.most} pages")
             for row in rows:
                 yield tuple(row.get(f.name) for f in self.schema)
+            page += self.stride
+            if self.spacing:
+                time.sleep(self.spacing * self.stride)
 
+    def _rows(self, page: int) -> list[dict]:
+        return json.loads(self.fetch(page, self.token()) if self.token else self.fetch(page)).get("data") or []
 
-def paged_source(name: str, schema: str, fetch: Callable[[int], str], most: int = 5000, stride: int = 4) -> type[DataSource]:
+
+def paged_source(name: str, schema: str, fetch: Callable[..., str], most: int = 5000, stride: int = 4, token: Callable[[], str] | None = None, spacing: float = 0.0) -> type[DataSource]:
     """A data source class over ``fetch(page) -> JSON text``; register it with the session.
 
-    ``stride`` readers take every ``stride``-th page. Values arrive as text.
+    ``stride`` readers take every ``stride``-th page, all of them together at most one page in
+    ``spacing`` seconds. With ``token`` each call is ``fetch(page, token())``, so that a token that
+    runs out is fetched anew. A source of over ``most`` pages is an error, not a shorter table.
     """
 
     class Paged(DataSource):
@@ -84,7 +93,7 @@ def paged_source(name: str, schema: str, fetch: Callable[[int], str], most: int
             return schema
 
         def reader(self, schema: StructType) -> PagedReader:
-            return PagedReader(schema, fetch, most, stride)
+            return PagedReader(schema, fetch, most, stride, token, spacing)
 
     return Paged
 

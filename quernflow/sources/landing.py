@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from fnmatch import fnmatch
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,3 +122,34 @@ def split_rejects(drop: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good rows, reject log). The log has the first field too: Spark does not read the corrupt column alone."""
     good = drop.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
     return good, drop.where(F.col(CORRUPT).isNotNull()).select("_landing_file_name", F.col(drop.columns[0]).alias("first_field"), F.col(CORRUPT).alias("rejected_line"))
+
+
+def archive_drop(spark: SparkSession, root: str, folder: str, archive: str, names: list[str]) -> list[str]:
+    """Move landed files out of the drop folder once their rows are published; a file that an
+    earlier attempt has moved already is no error. The moved ones are returned."""
+    store, moved = FileStore(spark, root), []
+    store.fs.mkdirs(store.path(archive))
+    there = set(store.names(folder))
+    for name in names:
+        if name in there:
+            store.delete(f"{archive}/{name}")
+            store.rename(f"{folder}/{name}", f"{archive}/{name}")
+            moved.append(name)
+    return moved
+
+
+def land_csv(spark: SparkSession, root: str, folder: str, archive: str, target: str, columns: list[str], pattern: str = "*.csv") -> tuple[int, int]:
+    """Publish the good lines of a drop folder, keep the rejects beside them, then archive the files.
+
+    The files are listed once, so a file that arrives meanwhile waits for the next run.
+    Gives the counts of good and rejected lines.
+    """
+    names = [n for n in FileStore(spark, root).names(folder) if fnmatch(n, pattern)]
+    if not names:
+        return 0, 0
+    good, rejected = split_rejects(read_csv_drop(spark, [f"{folder}/{n}" for n in names], columns, pattern=pattern))
+    publish(good, root, target)
+    rejected.write.mode("overwrite").parquet(f"{root}/_rejects/{target.rstrip('/').rsplit('/', 1)[-1]}")
+    counts = good.count(), rejected.count()
+    archive_drop(spark, root, folder, archive, names)
+    return counts
