@@ -1,11 +1,10 @@
 """Deterministic two-day source extracts with planted dirt, for tests and demonstrations.
 
-``extracts(day)`` gives rows as text, as sources land them. Planted on purpose: padded and
-lower-case codes, a missing shift, scrap above output (repaired on day two), negative
-units, a change landed twice, two updates of one key in a batch, two deletes, defects above
-the sample, a repeated inspection, a missing product name, changes of cost and cycle time, a machine
-that moves line, a new machine, a renamed plant, a closed order, a re-sent supplier line,
-rejects above deliveries, and values that cannot be cast.
+``extracts(day)`` gives rows as text, as sources land them. RUN_CASES and INSPECTION_CASES say
+what is planted in these two sources, by the operator that has to cope with it; the small
+sources have a renamed plant, a machine that moves line, a new machine, a changed cycle time and
+cost, a closed order, a re-sent supplier line, rejects above deliveries, and values that
+cannot be cast.
 """
 
 from __future__ import annotations
@@ -26,6 +25,30 @@ MACHINES = tuple(f"M-{p}-{i:02d}" for p in PLANTS for i in range(1, 5))
 PRODUCTS = tuple(f"PRD-{1001 + i}" for i in range(8))
 SHIFT_START = {"A": 6, "B": 14, "C": 22}
 
+#: What is planted in the first day's runs, by their number of the day.
+RUN_CASES = {
+    14: {"product_id": " prd-1007  "},  # string steps: padded and lower-case code
+    27: {"shift_code": "c "},  # string steps, then the domain
+    30: {"shift_code": "N"},  # a warning only: outside the domain
+    31: {"shift_code": None},  # NULL default
+    33: {"end_ts": None},  # a run that is still going on
+    17: {"end_ts": "2024-03-01 00:00:00"},  # an error: ends before it starts; repaired on day two
+    22: {"units_produced": "many"},  # an error: cannot be cast
+}
+#: Runs of the first day that are landed twice, changed in the same batch (the later sequence counts),
+#: and on day two deleted, deleted and inserted again, and changed by a message that comes too late.
+LANDED_TWICE, CHANGED_AT_ONCE, DELETED, BROUGHT_BACK, LATE = 8, 3, 11, 6, 3
+
+#: The same for inspections, by the number of the inspected run.
+INSPECTION_CASES = {
+    2: {"inspection_result": " pass ", "defect_count": "0", "defect_code": ""},  # string steps and empty text
+    19: {"defect_count": None, "defect_code": None, "inspection_result": "PASS"},  # NULL defaults
+    25: {"sample_size": "0", "defect_count": "0"},  # an error
+}
+#: On day two: inspected again with another result (its run's day is to be built anew), deleted, and
+#: one of a run that never was.
+INSPECTED_AGAIN, INSPECTION_DELETED, NO_SUCH_RUN = 5, 12, 999_999
+
 Row = dict[str, str | None]
 
 
@@ -74,44 +97,44 @@ class Extracts:
             self._change(4, at, self._machine("M-P01-03", at, line_id="L2")), self._change(4, at, self._machine("M-P02-01", at, status="MAINTENANCE")), self._change(2, at, self._machine("M-P03-05", at)),
         ]
 
+    def _run(self, key: int, i: int, day: str) -> Row:
+        machine, shift = MACHINES[i % len(MACHINES)], "ABC"[i // len(MACHINES)]
+        start = datetime.fromisoformat(day) + timedelta(hours=SHIFT_START[shift], minutes=self.draw.randrange(20))
+        return _text(
+            production_log_id=key, order_id=f"ORD-{key}", machine_id=machine, product_id=PRODUCTS[i % len(PRODUCTS)], shift_code=shift, start_ts=start, end_ts=start + timedelta(minutes=self.draw.randrange(300, 460)),
+            units_produced=self.draw.randrange(280, 420), units_scrapped=self.draw.randrange(15), operator_id=f"OP{i % 9}", modified_at=start + timedelta(hours=8),
+        )
+
     def _production(self, number: int, day: str) -> list[Row]:
-        out, first = [], 100_000 + 1000 * (number - 1)
-        for i in range(36):
-            machine, shift = MACHINES[i % len(MACHINES)], "ABC"[i // len(MACHINES)]
-            start = datetime.fromisoformat(day) + timedelta(hours=SHIFT_START[shift], minutes=self.draw.randrange(20))
-            made = self.draw.randrange(280, 420)
-            row = _text(
-                production_log_id=first + i, order_id=f"ORD-{first + i}", machine_id=machine, product_id=PRODUCTS[i % len(PRODUCTS)], shift_code=shift, start_ts=start, end_ts=start + timedelta(minutes=self.draw.randrange(300, 460)),
-                units_produced=made, units_scrapped=self.draw.randrange(15), operator_id=f"OP{i % 9}", modified_at=start + timedelta(hours=8),
-            )
-            self.runs[first + i] = row
-            if number == 1:
-                row |= {4: {"machine_id": f"  {machine.lower()} "}, 5: {"shift_code": None}, 9: {"units_produced": "410", "units_scrapped": "415"}, 12: {"units_produced": "-3"}}.get(i, {})
-            out.append(self._change(2, f"{day} 23:30:00", row))
+        first, at = 100_000 + 1000 * (number - 1), f"{day} 23:30:00"
+        good = [self._run(first + i, i, day) for i in range(36)]
+        self.runs |= {first + i: row for i, row in enumerate(good)}
         if number == 1:
-            return [*out, dict(out[20])]
-        fixed = self.runs[100_009] | {"units_scrapped": "4"}
-        once, twice = self.runs[100_001] | {"units_produced": "320", "units_scrapped": "10"}, self.runs[100_001] | {"units_produced": "330", "units_scrapped": "12"}
-        at = f"{day} 01:00:00"
-        return [*out, self._change(4, at, once), self._change(4, at, twice), self._change(4, at, fixed), self._change(1, at, self.runs[100_002]), self._change(1, at, self.runs[100_003])]
+            out = [self._change(2, at, row | RUN_CASES.get(i, {})) for i, row in enumerate(good)]
+            changed = self._change(4, at, good[CHANGED_AT_ONCE] | {"units_produced": "333", "units_scrapped": "7"})
+            return [*out, changed, dict(out[LANDED_TWICE])]
+        old = lambda i: self.runs[100_000 + i]
+        late = self._change(4, at, old(LATE) | {"units_produced": "1"}) | {"cdc_start_lsn": lsn(0)}
+        changes = [self._change(4, at, old(17)), self._change(1, at, old(DELETED)), self._change(1, at, old(BROUGHT_BACK)), self._change(2, at, old(BROUGHT_BACK) | {"operator_id": "OP99"})]
+        return [late, *changes, *(self._change(2, at, row) for row in good)]
+
+    def _inspection(self, key: int, run: Row, i: int) -> Row:
+        defects = self.draw.choice([0, 0, 0, 1, 3])
+        return _text(
+            inspection_id=key, production_log_id=run["production_log_id"], machine_id=run["machine_id"], product_id=run["product_id"], inspection_ts=run["end_ts"], sample_size=20, defect_count=defects,
+            defect_code="SCRATCH" if defects else None, inspection_result="FAIL" if defects > 2 else "PASS", inspector_id=f"Q{i % 4}", modified_at=run["end_ts"],
+        )
 
     def _inspections(self, number: int, day: str) -> list[Row]:
-        out, first = [], 500_000 + 1000 * (number - 1)
-        runs = 100_000 + 1000 * (number - 1)
-        for i in range(36):
-            run = self.runs[runs + i]
-            defects = self.draw.choice([0, 0, 0, 1, 3])
-            row = _text(
-                inspection_id=first + i, production_log_id=runs + i, machine_id=run["machine_id"], product_id=run["product_id"], inspection_ts=run["end_ts"], sample_size=20, defect_count=defects,
-                defect_code="SCRATCH" if defects else None, inspection_result="FAIL" if defects > 2 else "PASS", inspector_id=f"Q{i % 4}", modified_at=run["end_ts"],
-            )
-            if number == 1 and i == 7:
-                row["defect_count"] = "25"
-            out.append(self._change(2, f"{day} 23:40:00", row))
-        if number == 2:
-            again = {k: v for k, v in self[DAYS[0]]["mes_quality_inspection"][0].items() if not k.startswith("cdc_")}
-            out.append(self._change(4, f"{day} 01:00:00", again | {"defect_count": "4", "inspection_result": "FAIL", "defect_code": "BURR"}))
-        return out
+        first, at, runs = 500_000 + 1000 * (number - 1), f"{day} 23:40:00", 100_000 + 1000 * (number - 1)
+        rows = [self._inspection(first + i, self.runs[runs + i], i) for i in range(36)]
+        if number == 1:
+            self.inspected = rows
+            return [self._change(2, at, row | INSPECTION_CASES.get(i, {})) for i, row in enumerate(rows)]
+        again = self.inspected[INSPECTED_AGAIN] | {"defect_count": "4", "inspection_result": "FAIL", "defect_code": "BURR"}
+        nowhere = self._inspection(first + 99, self.runs[runs] | {"production_log_id": str(NO_SUCH_RUN)}, 0)
+        changes = [(4, again), (1, self.inspected[INSPECTION_DELETED]), (2, nowhere)]
+        return [self._change(operation, at, row) for operation, row in [*changes, *((2, row) for row in rows)]]
 
     def _products(self, number: int, day: str) -> list[Row]:
         at = f"{day} 03:00:00"

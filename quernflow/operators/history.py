@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quernflow.functions.columns import digest, surrogate_key
 
+# The bounds of a version without a start or an end.
 BEGINNING, END = "1900-01-01 00:00:00", "9999-12-31 00:00:00"
 UNKNOWN_KEY = -1
 

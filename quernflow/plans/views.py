@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernflow.functions.columns import at_most_one, ratio
+from quernflow.operators.asof import is_small
 
 OEE_TARGET = 0.85
 
@@ -76,7 +77,7 @@ def pareto(rows: DataFrame, code: str, measure: str) -> DataFrame:
 
 
 def defect_pareto(inspections: DataFrame, defects: DataFrame) -> DataFrame:
-    named = inspections.where("defect_code <> 'NONE'").join(F.broadcast(defects), "defect_code", "left")
+    named = inspections.where("defect_code <> 'NONE'").join(F.broadcast(defects) if is_small(defects) else defects, "defect_code", "left")
     return pareto(named, "defect_code", "defect_count")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quernflow import control, datagen, registry
 from quernflow.operators import calendar, history, reconcile
-from quernflow.plans import facts, gold, views
+from quernflow.plans import catalog, facts, gold, views
 from quernflow.session import files_for
 from quernflow.sources import extract, landing
 from quernflow.sources.versioned import RetentionError, VersionedTable
@@ -87,16 +87,21 @@ def house(spark, tmp_path_factory):
 class TestSilver:
     def test_day_one_counts(self, house):
         m = house.first["mes_production_log"]
-        assert (m["read"], m["valid"], m["quarantined"], m["duplicates"]) == (37, 35, 2, 1)
-        assert m["rules"]["non_negative_units"] == 1 and m["rules"]["scrap_not_above_produced"] == 2 and m["rules"]["shift_in_domain"] == 0
+        assert (m["read"], m["valid"], m["quarantined"], m["duplicates"]) == (38, 36, 2, 2)
+        assert m["rules"]["non_negative_units"] == 1 and m["rules"]["end_after_start"] == 1 and m["rules"]["shift_in_domain"] == 1
         assert house.first["mes_quality_inspection"]["quarantined"] == 1 and house.first["erp_product"]["rules"]["name_present"] == 1
         assert house.first["supplier_delivery"]["duplicates"] == 1 and house.first["supplier_delivery"]["quarantined"] == 1
 
     def test_day_two_repairs_updates_and_deletes(self, house):
         rows = {r["production_log_id"]: r for r in house.silver["mes_production_log"].read().collect()}
-        assert (rows[100001]["units_produced"], rows[100001]["units_scrapped"]) == (330, 12)
-        assert rows[100002]["_is_deleted"] and rows[100003]["_is_deleted"] and rows[100009]["units_scrapped"] == 4
-        assert rows[100004]["machine_id"] == datagen.MACHINES[4] and rows[100005]["shift_code"] == "UNKNOWN"
+        run = lambda i: rows.get(100_000 + i)
+        assert (run(datagen.CHANGED_AT_ONCE)["units_produced"], run(datagen.CHANGED_AT_ONCE)["units_scrapped"]) == (333, 7)  # not the late one's 1
+        assert run(datagen.DELETED)["_is_deleted"] and not run(datagen.BROUGHT_BACK)["_is_deleted"] and run(datagen.BROUGHT_BACK)["operator_id"] == "OP99"
+        assert run(14)["product_id"] == "PRD-1007" and run(27)["shift_code"] == "C" and run(31)["shift_code"] == "UNKNOWN" and run(30)["shift_code"] == "N"
+        assert run(17)["end_ts"] > run(17)["start_ts"] and run(22) is None and run(33)["end_ts"] is None
+        seen = {r["inspection_id"]: r for r in house.silver["mes_quality_inspection"].read().collect()}
+        assert seen[500_002]["inspection_result"] == "PASS" and seen[500_002]["defect_code"] == "NONE" and seen[500_019]["defect_count"] == 0
+        assert 500_025 not in seen and seen[500_000 + datagen.INSPECTION_DELETED]["_is_deleted"] and seen[500_000 + datagen.INSPECTED_AGAIN]["inspection_result"] == "FAIL"
 
     def test_lineage(self, house):
         got = house.spark.read.parquet(f"{house.root}/bronze/erp_plant").select("_ingestion_run_id", "_load_date", "_source_system").distinct().orderBy("_load_date").first()
@@ -147,7 +152,7 @@ class TestGold:
 
     def test_production_follows_corrections(self, house):
         rows = house.gold["fact_production_daily"].read()
-        assert rows.where(f"production_date = DATE'{datagen.DAYS[0]}'").agg(F.sum("production_runs")).first()[0] == 33
+        assert rows.where(f"production_date = DATE'{datagen.DAYS[0]}'").agg(F.sum("production_runs")).first()[0] == 34
         assert rows.where("machine_sk = -1 OR plant_sk = -1").count() == 0
         assert rows.where("ideal_units IS NULL").count() == 0
         assert rows.groupBy("production_date", "machine_id", "product_id").count().where("count > 1").count() == 0
@@ -360,6 +365,11 @@ class TestSources:
 
 
 def test_filters_and_columns_reach_the_scan(spark, sf):
-    lines = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_quantity > 40").select("l_orderkey", "l_quantity")
-    plan = lines._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,40.0)]" in plan and "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
+    """The production fact reads the columns it needs, filtered where it can be, and shuffles its rows once for each join or grouping."""
+    plan = catalog.queries()["fact_supplier"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    orders = [line for line in plan.splitlines() if "FileScan" in line and "o_orderkey" in line]
+    assert orders and all("o_totalprice" not in line for line in orders)
+    assert any("PushedFilters: [" in line and "o_orderstatus" in line.split("PushedFilters")[1] for line in orders) or "NOT (o_orderstatus" in plan
+    days = catalog.queries()["fact_effectiveness"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in days and "BroadcastNestedLoopJoin" not in days and "PythonUDF" not in days
+    assert all("l_extendedprice" in line for line in days.splitlines() if "FileScan" in line and "l_orderkey" in line)  # a run's number is a hash of its line
