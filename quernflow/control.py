@@ -6,12 +6,14 @@ caller commits the outcome in one step and a failed step changes nothing.
 
 from __future__ import annotations
 
+import json
 import logging
 from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from datetime import UTC, datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -185,20 +187,50 @@ class Watermarks:
         self.table.commit(fresh, "ADVANCE")
 
 
+#: The append-only control tables.
+JOURNAL = {
+    "run_log": "pipeline string, run_id string, layer string, entity string, batch_id long, status string, rows_in long, rows_valid long, rows_quarantined long, rows_duplicate long, message string, started_at timestamp, ended_at timestamp",
+    "audit": "pipeline string, run_id string, entity string, event string, detail string, at timestamp",
+    "quality": "run_id string, entity string, batch_id long, rule_name string, failed_count long, at timestamp",
+    "results": "check_type string, entity string, run_id string, passed boolean, source_value double, target_value double, detail string, checked_at timestamp",
+}
+
+
 @dataclass(frozen=True)
-class RunContext:
-    pipeline: str
-    run_id: str
-    started_at: datetime
-    job_id: str = ""
+class Journal:
+    """Run log, audit trail, rule failures and reconciliation results, each a folder that only grows."""
+
+    spark: SparkSession
+    root: str
+    pipeline: str = "quernflow"
+    run_id: str = "local"
+
+    def _append(self, name: str, rows: list[tuple]) -> None:
+        if rows:
+            self.spark.createDataFrame(rows, JOURNAL[name]).coalesce(1).write.mode("append").parquet(f"{self.root}/{name}")
+
+    def table(self, name: str) -> DataFrame:
+        """The rows so far; none yet gives an empty table."""
+        try:
+            return self.spark.read.schema(JOURNAL[name]).parquet(f"{self.root}/{name}")
+        except AnalysisException:
+            return self.spark.createDataFrame([], JOURNAL[name])
 
+    def run(self, layer: str, entity: str, status: str, began: datetime, counts: dict | None = None, batch_id: int | None = None, message: str = "") -> None:
+        c = counts or {}
+        self._append("run_log", [(self.pipeline, self.run_id, layer, entity, batch_id, status, c.get("read"), c.get("valid"), c.get("quarantined"), c.get("duplicates"), message[:4000], began, datetime.now(UTC))])
 
-RUN_LOG = "pipeline string, run_id string, layer string, entity string, status string, rows_in long, rows_out long, message string, started_at timestamp, ended_at timestamp"
+    def audit(self, entity: str, event: str, **detail) -> None:
+        self._append("audit", [(self.pipeline, self.run_id, entity, event, json.dumps(detail, default=str, sort_keys=True), datetime.now(UTC))])
 
+    def quality(self, entity: str, batch_id: int, failures: dict[str, int]) -> None:
+        at = datetime.now(UTC)
+        self._append("quality", [(self.run_id, entity, batch_id, rule, n, at) for rule, n in failures.items()])
 
-def log_rows(spark: SparkSession, path: str, rows: list[tuple], schema: str = RUN_LOG) -> None:
-    """Append rows to a control table."""
-    spark.createDataFrame(rows, schema).write.mode("append").parquet(path)
+    def results(self, found: Iterable) -> None:
+        """Reconciliation results, passed or not: written before anything raises."""
+        at = datetime.now(UTC)
+        self._append("results", [(r.check_type, r.entity, self.run_id, r.passed, r.source_value, r.target_value, r.detail, at) for r in found])
 
 
 def alert(message: str, send: Callable[[str], None] | None = None) -> None:

@@ -38,9 +38,9 @@ def compare_amounts(entity: str, source: float, target: float, rel_tol: float =
     return Result(check_type, entity, abs(source - target) <= allowed, source, target, f"source={source} target={target} allowed={allowed}")
 
 
-def compare_counts_and_amounts(entity: str, source: tuple[int, float], target: tuple[int, float], tolerance: int = 0, rel_tol: float = 0.0) -> Result:
+def compare_counts_and_amounts(entity: str, source: tuple[int, float], target: tuple[int, float], tolerance: int = 0, rel_tol: float = 0.0, check_type: str = "COUNT_AND_AMOUNT") -> Result:
     n, amount = compare_counts(entity, source[0], target[0], tolerance), compare_amounts(entity, source[1], target[1], rel_tol)
-    return Result("COUNT_AND_AMOUNT", entity, n.passed and amount.passed, amount.source_value, amount.target_value, f"{n.detail}; {amount.detail}")
+    return Result(check_type, entity, n.passed and amount.passed, amount.source_value, amount.target_value, f"{n.detail}; {amount.detail}")
 
 
 def silver_balance(entity: str, read: int, valid: int, quarantined: int, duplicates: int) -> Result:

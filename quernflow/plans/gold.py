@@ -32,7 +32,7 @@ class Gold:
     gold: dict[str, VersionedTable]
     watermarks: Watermarks
     run_id: str = "local"
-    run_log: str | None = None
+    journal: control.Journal | None = None
 
     def dimension(self, name: str) -> DataFrame:
         return self.gold[name].read()
@@ -56,15 +56,14 @@ class Gold:
         try:
             dates = self._build(minutes, readings, fail_after)
         except Exception as error:
-            self._log(control.FAILED, began, str(error)[:500])
+            if self.journal:
+                self.journal.run("GOLD", "facts", control.FAILED, began, message=str(error))
             raise
-        self._log(control.SUCCESS, began, "all days" if dates is None else f"{len(dates)} days")
+        if self.journal:
+            self.journal.run("GOLD", "facts", control.SUCCESS, began, message="all days" if dates is None else f"{len(dates)} days")
+            self.journal.audit("facts", "BUILD", versions={n: self.silver[n].latest() for n in WATCHED})
         return dates
 
-    def _log(self, status: str, began: datetime, message: str) -> None:
-        if self.run_log:
-            control.log_rows(self.spark, self.run_log, [("gold", self.run_id, "GOLD", "facts", status, None, None, message, began, datetime.now(UTC))])
-
     def _build(self, minutes: DataFrame | None, readings: DataFrame | None, fail_after: str | None) -> list | None:
         """All facts for the touched days. The watermarks of the three watched tables move
         last, together; a failure before that leaves them and the next call repeats the days."""
@@ -79,7 +78,10 @@ class Gold:
         built = production.where(facts.in_dates("production_date", dates)).where("production_date IS NOT NULL")
         total = reconcile.control_totals(source, "units_produced")
         sums = built.agg(F.coalesce(F.sum("production_runs"), F.lit(0)).alias("n"), F.coalesce(F.sum("units_produced").cast("double"), F.lit(0.0)).alias("a")).first()
-        reconcile.assert_all_passed([reconcile.compare_counts_and_amounts("fact_production_daily", total, (sums["n"], sums["a"]))])
+        result = reconcile.compare_counts_and_amounts("fact_production_daily", total, (sums["n"], sums["a"]), check_type="GOLD_COUNT_AND_AMOUNT")
+        if self.journal:
+            self.journal.results([result])
+        reconcile.assert_all_passed([result])
         if fail_after == "fact_production_daily":
             raise reconcile.ReconciliationError("injected")
         self._store("fact_machine_daily", facts.machine_daily(production, orders, machines, plants, minutes, dates), dates)

@@ -149,7 +149,8 @@ def land_csv(spark: SparkSession, root: str, folder: str, archive: str, target:
         return 0, 0
     good, rejected = split_rejects(read_csv_drop(spark, [f"{folder}/{n}" for n in names], columns, pattern=pattern))
     publish(good, root, target)
-    rejected.write.mode("overwrite").parquet(f"{root}/_rejects/{target.rstrip('/').rsplit('/', 1)[-1]}")
-    counts = good.count(), rejected.count()
+    log = f"{root}/_rejects/{target.rstrip('/').rsplit('/', 1)[-1]}"
+    rejected.write.mode("overwrite").parquet(log)
+    counts = tuple(spark.read.parquet(p).count() for p in (target, log))  # of what was written, before the files go
     archive_drop(spark, root, folder, archive, names)
     return counts

@@ -153,14 +153,17 @@ class VersionedTable:
 
     def _publish(self, before: dict | None, segments: dict[str, str], schema: str, operation: str, run_id: str, metrics: dict | None, buckets: int, changes: Callable[[int], DataFrame | None] | None, stream: tuple[str, int] | None, data_change: bool = True) -> int:
         version = 0 if before is None else before["version"] + 1
-        rows = changes(version) if changes else None
+        rows, metrics = changes(version) if changes else None, dict(metrics or {})
         if rows is not None:
-            rows.write.mode("overwrite").parquet(f"{self.root}/_changes/{version}")
+            place = f"{self.root}/_changes/{version}"
+            rows.write.mode("overwrite").parquet(place)
+            counts = self.spark.read.schema(rows.schema).parquet(place).groupBy("_change_type").count().collect()
+            metrics["changes"] = {r[0]: r[1] for r in counts}
         streams = dict(before["streams"]) if before else {}
         if stream:
             streams[stream[0]] = stream[1]
         entry = {
-            "version": version, "segments": segments, "buckets": buckets, "operation": operation, "run_id": run_id, "metrics": metrics or {}, "schema": schema,
+            "version": version, "segments": segments, "buckets": buckets, "operation": operation, "run_id": run_id, "metrics": metrics, "schema": schema,
             "streams": streams, "data_change": data_change, "recorded": rows is not None, "committed_at": time.time(),
         }
         self.store.create(f"{self.root}/_commits/{version}.json", json.dumps(entry))

@@ -33,7 +33,7 @@ class SilverProcessor:
     run_id: str = "local"
     as_of: str | None = None
     delete_mode: str = "soft"
-    run_log: str | None = None
+    journal: control.Journal | None = None
     metrics: list[dict] = field(default_factory=list)
 
     def process(self, batch: DataFrame, batch_id: int, stream: str = DIRECT) -> dict:
@@ -44,9 +44,13 @@ class SilverProcessor:
         try:
             found = self._merge(batch, batch_id, stream)
         except Exception as error:
-            self._log(control.FAILED, began, message=str(error)[:500])
+            if self.journal:
+                self.journal.run("SILVER", self.entity.name, control.FAILED, began, batch_id=batch_id, message=str(error))
             raise
-        self._log(control.SUCCESS, began, found["read"], found["valid"] - found["duplicates"])
+        if self.journal:
+            self.journal.run("SILVER", self.entity.name, control.SUCCESS, began, found, batch_id)
+            self.journal.quality(self.entity.name, batch_id, found["rules"])
+            self.journal.audit(self.entity.name, "MERGE", batch_id=batch_id, stream=stream, version=self.table.latest())
         self.metrics.append(found)
         return found
 
@@ -61,7 +65,7 @@ class SilverProcessor:
             n_bad, n_valid, *failures = checked.agg(F.count_if(bad), F.count_if(~bad), *[F.count_if(F.array_contains(failed, r.name)) for r in self.entity.rules]).first()
             latest = dedup.deduplicate(checked.where(~bad).drop("_dq_errors"), self.entity.keys).persist()
             n_latest = latest.count()
-            reconcile.assert_all_passed([reconcile.silver_balance(self.entity.name, read, n_latest, n_bad, n_valid - n_latest)])
+            self._check(reconcile.silver_balance(self.entity.name, read, n_latest, n_bad, n_valid - n_latest))
             place = f"{self.quarantine}/stream={stream}/batch_id={batch_id}"
             if n_bad:
                 checked.where(bad).withColumns({"_quarantined_ts": F.current_timestamp(), "_batch_id": F.lit(batch_id).cast("long")}).write.mode("overwrite").parquet(place)
@@ -83,11 +87,12 @@ class SilverProcessor:
         else:
             missing = 0
         missing += reconcile.missing_or_older(batch, written, self.entity.keys).count()
-        reconcile.assert_all_passed([reconcile.compare_counts(self.entity.name, 0, missing, check_type="TARGET_VERIFY")])
+        self._check(reconcile.compare_counts(self.entity.name, 0, missing, check_type="SILVER_TARGET_VERIFY"))
 
-    def _log(self, status: str, began: datetime, rows_in: int | None = None, rows_out: int | None = None, message: str = "") -> None:
-        if self.run_log:
-            control.log_rows(self.spark, self.run_log, [("silver", self.run_id, "SILVER", self.entity.name, status, rows_in, rows_out, message, began, datetime.now(UTC))])
+    def _check(self, result: reconcile.Result) -> None:
+        if self.journal:
+            self.journal.results([result])
+        reconcile.assert_all_passed([result])
 
     def run(self, bronze: str, checkpoint: str, max_files: int = 200) -> None:
         """Everything that bronze has and silver has not. The stream is known by its checkpoint's id."""

@@ -217,9 +217,10 @@ class TestGold:
 @pytest.fixture(scope="module")
 def places(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("iot")
-    (root / "in").mkdir()
-    (root / "in/a.jsonl").write_text("\n".join(datagen.telemetry()))
     places = telemetry.Places(f"file://{root}")
+    telemetry.send_events(spark.createDataFrame([("k", x) for x in datagen.telemetry()], "key string, value string").coalesce(1), f"file://{root}/in")
+    with pytest.raises(ValueError):
+        telemetry.send_events(spark.createDataFrame([("k", "v")], "key string, value string"))
     telemetry.land_events(telemetry.raw_events(spark, f"file://{root}/in"), places).awaitTermination()
     for q in telemetry.start_queries(spark, places):
         q.awaitTermination()

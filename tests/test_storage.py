@@ -63,6 +63,8 @@ class TestSegments:
         with pytest.raises(reconcile.ReconciliationError, match="1 rows"):
             t.upsert(rows(spark, (1, "a", "1", False)), audit=refuse)
         assert not t.exists() and t.store.names(f"{t.root}/data") == []
+        t.upsert(rows(spark, (1, "a", "1", False)), audit=lambda written: None)
+        assert t.last()["metrics"]["changes"] == {"insert": 1}
 
     def test_partitions_are_replaced_alone(self, spark, tmp_path):
         t = VersionedTable(spark, f"file://{tmp_path}/t", ("k",), ("day",))
@@ -139,23 +141,30 @@ class TestSilver:
         return spark.createDataFrame([(str(k), v, a) for k, v, a in values], "id string, v string, at string")
 
     def test_a_new_stream_is_not_a_replay(self, spark, tmp_path):
-        make = lambda: SilverProcessor(spark, self.ENTITY, VersionedTable(spark, f"file://{tmp_path}/t", ("id",)), f"file://{tmp_path}/q", run_log=f"file://{tmp_path}/log")
+        make = lambda: SilverProcessor(spark, self.ENTITY, VersionedTable(spark, f"file://{tmp_path}/t", ("id",)), f"file://{tmp_path}/q", journal=control.Journal(spark, f"file://{tmp_path}/log"))
         assert make().process(self.batch(spark, (1, "a", "1")), 0, "one")["read"] == 1
         assert make().process(self.batch(spark, (1, "a", "1")), 0, "one")["replayed"]
         assert "replayed" not in make().process(self.batch(spark, (2, "b", "1")), 0, "two")
         assert sorted(r["id"] for r in make().table.read().collect()) == [1, 2]
         assert make().table.last()["streams"] == {"one": 0, "two": 0}
-        log = spark.read.parquet(f"file://{tmp_path}/log")
-        assert log.where("status = 'SUCCESS' AND layer = 'SILVER'").count() == 2 and control.latest_status(log).first()["entity"] == "e"
+        journal = control.Journal(spark, f"file://{tmp_path}/log")
+        log = journal.table("run_log")
+        assert log.where("status = 'SUCCESS' AND layer = 'SILVER' AND rows_in = 1").count() == 2 and control.latest_status(log).first()["entity"] == "e"
+        assert [json.loads(r["detail"])["version"] for r in journal.table("audit").orderBy("at").collect()] == [0, 1]
+        assert journal.table("quality").count() == 2 and journal.table("results").where("passed").count() == 4
+        reconcile.gate(journal.table("results"))
 
     def test_verification_reads_what_was_written(self, spark, tmp_path, monkeypatch):
         table = VersionedTable(spark, f"file://{tmp_path}/t", ("id",))
-        processor = SilverProcessor(spark, self.ENTITY, table, f"file://{tmp_path}/q", run_log=f"file://{tmp_path}/log")
+        journal = control.Journal(spark, f"file://{tmp_path}/log")
+        processor = SilverProcessor(spark, self.ENTITY, table, f"file://{tmp_path}/q", journal=journal)
         real = upsert.upsert
         monkeypatch.setattr(upsert, "upsert", lambda *a, **k: real(*a, **k).where("id <> 2"))  # a write that loses a row
         with pytest.raises(reconcile.ReconciliationError, match="TARGET_VERIFY"):
             processor.process(self.batch(spark, (1, "a", "1"), (2, "b", "1")), 0)
-        assert not table.exists() and spark.read.parquet(f"file://{tmp_path}/log").first()["status"] == control.FAILED
+        assert not table.exists() and journal.table("run_log").first()["status"] == control.FAILED and journal.table("audit").count() == 0
+        with pytest.raises(reconcile.ReconciliationError, match="SILVER_TARGET_VERIFY"):
+            reconcile.gate(journal.table("results"))
         monkeypatch.undo()
         assert processor.process(self.batch(spark, (1, "a", "1"), (2, "b", "1"), (3, "bad", "1")), 0)["quarantined"] == 1 and table.read().count() == 2
 
