@@ -3,7 +3,8 @@
 Statistics of every whole text are standardised, mapped through ``features`` random
 cosines (a Gaussian kernel in expectation) and fitted to the labels by normal equations
 that each partition sums for itself. Isotonic regression over fine bins of the training
-scores turns the ridge score into a probability.
+scores turns the ridge score into a probability. Statistics beyond six deviations count as six
+deviations, and ridge scores below -0.5 or above 1.5 as these, in fitting and scoring alike.
 
 Defined results for odd input: a null or empty text has all statistics zero and is scored
 like any other; labels that are null are not learned from; a document with several labels
@@ -49,7 +50,7 @@ def statistics(text: str | None) -> list[float]:
     entropy = -sum(c * math.log(c / n) for c in counts.values()) / n
     sizes = [len(w) for w in words]
     mean = sum(sizes) / n
-    lead = Counter(x.strip()[:24] for x in filled)
+    lead = Counter(x.split(None, 1)[0] for x in filled)
     return [
         math.log1p(len(data)),
         math.log1p(n),
