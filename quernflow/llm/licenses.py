@@ -14,8 +14,8 @@ words of the template also stand right beside an edited copy, patience may align
 than the longest common subsequence would.
 
 Defined results for odd input: a null or empty text has no hits; copies of a notice in one
-text are hits of their own; of overlapping hits the one with more aligned words stays, ties
-to the template named first; repeated rows are scanned each for itself.
+text are hits of their own; of overlapping hits the one with more aligned words stays, ties to
+the higher coverage and then the template named first; repeated rows are scanned each for itself.
 """
 
 from __future__ import annotations
@@ -186,11 +186,11 @@ class Scanner:
                     continue
                 hit = self._around(words, template, *starts[start])
                 if hit:
-                    hits.append((-hit[2], rank, hit[0], hit[1]))
+                    hits.append((-hit[2], len(template.words), rank, hit[0], hit[1]))
                     if hit[2] == len(template.words):
                         done.update(range(hit[0], hit[1]))
         out, taken = [], set()
-        for aligned, rank, start, end in sorted(hits):
+        for aligned, _, rank, start, end in sorted(hits):
             if taken.isdisjoint(range(start, end)):
                 taken.update(range(start, end))
                 template = self.templates[rank]
