@@ -3,7 +3,8 @@
 A table is a set of *segments*: the values of ``partition_by``, or ``buckets`` hash buckets of
 the keys, or one for all. ``<root>/data/<id>/_segment=<s>/`` holds a segment's Parquet,
 ``<root>/_commits/<n>.json`` names the directory of each segment of version n, and
-``<root>/_changes/<n>/`` keeps the change rows of the commit, if it recorded them. A commit
+``<root>/_changes/<n>/`` keeps the change rows of the commit, if it recorded them (those of the
+first version are its data). A commit
 that touches a few segments writes those and names the older directories of all others, so
 its cost follows what changed and not the table.
 
@@ -20,6 +21,7 @@ import time
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -153,8 +155,12 @@ class VersionedTable:
 
     def _publish(self, before: dict | None, segments: dict[str, str], schema: str, operation: str, run_id: str, metrics: dict | None, buckets: int, changes: Callable[[int], DataFrame | None] | None, stream: tuple[str, int] | None, data_change: bool = True) -> int:
         version = 0 if before is None else before["version"] + 1
-        rows, metrics = changes(version) if changes else None, dict(metrics or {})
-        if rows is not None:
+        metrics, recorded = dict(metrics or {}), None
+        if changes and before is None:
+            recorded = "segments"  # all rows of the first version are inserts: the data itself tells
+            metrics["changes"] = {feed.INSERT: self._load(segments, schema).count()}
+        elif changes:
+            rows, recorded = changes(version), "rows"
             place = f"{self.root}/_changes/{version}"
             rows.write.mode("overwrite").parquet(place)
             counts = self.spark.read.schema(rows.schema).parquet(place).groupBy("_change_type").count().collect()
@@ -164,7 +170,7 @@ class VersionedTable:
             streams[stream[0]] = stream[1]
         entry = {
             "version": version, "segments": segments, "buckets": buckets, "operation": operation, "run_id": run_id, "metrics": metrics, "schema": schema,
-            "streams": streams, "data_change": data_change, "recorded": rows is not None, "committed_at": time.time(),
+            "streams": streams, "data_change": data_change, "recorded": recorded, "committed_at": time.time(),
         }
         self.store.create(f"{self.root}/_commits/{version}.json", json.dumps(entry))
         return version
@@ -260,12 +266,17 @@ class VersionedTable:
             if entry is None or (entry["data_change"] and not entry["recorded"]):
                 gone.append(v)
             elif entry["data_change"]:
-                wanted.append(v)
+                wanted.append(entry)
         if gone:
             raise RetentionError(f"{self.root}: changes of versions {gone} are not retained")
         if not wanted:
             return self.read(to).limit(0).withColumns({"_change_type": F.lit(""), "_commit_version": F.lit(0).cast("long")})
-        return self.spark.read.parquet(*[f"{self.root}/_changes/{v}" for v in wanted])
+        written = [f"{self.root}/_changes/{e['version']}" for e in wanted if e["recorded"] == "rows"]
+        parts = [self.spark.read.parquet(*written)] if written else []
+        for e in wanted:
+            if e["recorded"] == "segments":
+                parts.append(self._load(e["segments"], e["schema"]).withColumns({"_change_type": F.lit(feed.INSERT), "_commit_version": F.lit(e["version"]).cast("long")}))
+        return reduce(DataFrame.unionByName, parts)
 
     def _discard(self, segments: dict[str, str]) -> None:
         for folder in {d.rpartition("/")[0] for d in segments.values()}:
