@@ -106,9 +106,12 @@ def hot_join(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, total
     their rows stay where they are; all other keys meet by shuffle.
     """
     heavy = F.col(count) * HOT > total
-    hot, cold = F.broadcast(keyed.where(heavy).drop(count)), keyed.where(~heavy).drop(count)
-    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how)
-    return rows.join(hot, on).unionByName(rest)
+    values = [c for c in keyed.columns if c not in (*on, count)]
+    hot = F.broadcast(keyed.where(heavy).select(*on, F.struct(*values).alias("_hot")))
+    met = rows.join(hot, on, "left")  # both uses of this share one broadcast
+    rest = met.where("_hot IS NULL").drop("_hot").join(keyed.where(~heavy).drop(count), on, how)
+    found = met.where("_hot IS NOT NULL")
+    return found.select(*rows.columns, *[F.col("_hot")[c].alias(c) for c in values]).unionByName(rest)
 
 
 def ascii_lower(column: Column) -> Column:

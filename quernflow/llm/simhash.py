@@ -46,7 +46,9 @@ from quernflow.llm.trie import Forest, close_pairs
 SEED = 42
 SLICE = 1 << 15
 #: Codes a group of the trees has on average; share of differing bits and of lost pairs that the trees are laid out for.
-GROUP, ERROR, MISS = 512, 0.17, 1e-3
+GROUP, ERROR, MISS = 256, 0.17, 1e-3
+#: Nodes that one task compares with the smallest of their component.
+STAR = 256
 
 
 def shingles(text: str | None, size: int) -> list[bytes]:
@@ -142,7 +144,7 @@ def trees(codes: DataFrame, words: int, rows: int) -> tuple[DataFrame, int]:
                     key = key << 1 | bits[:, b]
                 yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0), pa.array(np.ascontiguousarray(code[:, one])), pa.array(np.ascontiguousarray(code[:, two]))], ["key", "node", "c0", "c1"])
 
-    dealt = in_arrow(codes.select("node", *[f"w{i}" for i in range(words)]), run, f"key long, node {dict(codes.dtypes)['node']}, c0 long, c1 long")
+    dealt = in_arrow(codes.select("node", *[f"w{i}" for i in range(words)]), run, "key long, node long, c0 long, c1 long")
     return dealt, len(layout)
 
 
@@ -160,10 +162,10 @@ def _join_task(words: int, depth: int, budget: int, allowed: np.ndarray | None):
         table = pa.Table.from_batches(batches).combine_chunks() if batches else None
         if table is None or not table.num_rows:
             return
-        col = {n: table.column(n).to_numpy() for n in table.column_names if n != "node"}
+        col = {n: table.column(n).to_numpy() for n in table.column_names}
         code = np.stack([col[f"c{i}"] for i in range(words)], axis=1).view(np.uint64)
         order = np.lexsort((*[code[:, i] for i in reversed(range(words))], col["side"], col["two"], col["one"], col["key"]))
-        code, key, side, one, two = code[order], col["key"][order], col["side"][order], col["one"][order], col["two"][order]
+        code, key, node, side, one, two = code[order], *(col[n][order] for n in ("key", "node", "side", "one", "two"))
         new = np.flatnonzero(np.concatenate([[True], (np.diff(key) != 0) | (np.diff(one) != 0) | (np.diff(two) != 0) | (np.diff(side) != 0)]))
         end = np.append(new[1:], len(key))
         alone = one[new] == two[new]
@@ -173,9 +175,12 @@ def _join_task(words: int, depth: int, budget: int, allowed: np.ndarray | None):
         forest = Forest(len(key))
         for i, j in close_pairs(code, nodes, depth, budget, allowed):
             forest.link(i, j)
-        away = np.flatnonzero(forest.parent != np.arange(len(key)))
-        node = table.column("node")
-        yield from pa.table([node.take(pa.array(order[away])), node.take(pa.array(order[forest.parent[away]]))], names=["a", "b"]).combine_chunks().to_batches()
+        # every tree points to its smallest node, so that the groups of a task agree on it
+        least = node.copy()
+        np.minimum.at(least, forest.parent, node)
+        root = least[forest.parent]
+        away = node != root
+        yield pa.RecordBatch.from_arrays([pa.array(node[away]), pa.array(root[away])], ["a", "b"])
 
     return run
 
@@ -191,9 +196,8 @@ def links(dealt: DataFrame, words: int, depth: int, budget: int, allowed: np.nda
     dealt = dealt.withColumn("chunks", chunks).withColumn("side", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.withColumn("one", F.least("side", "other")).withColumn("two", F.greatest("side", "other"))
-    kind = dict(dealt.dtypes)["node"]
     parts = dealt.select("key", "node", *[f"c{i}" for i in range(words)], "side", "one", "two").repartition("key", "one", "two")
-    return in_arrow(parts, _join_task(words, depth, budget, allowed), f"a {kind}, b {kind}")
+    return in_arrow(parts, _join_task(words, depth, budget, allowed), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, count: int = 3, budget: int = 2) -> DataFrame:
@@ -220,48 +224,112 @@ def similar_edges(codes: np.ndarray, sets: list[np.ndarray], least: float, budge
     Breadth first: a row is compared with those not yet reached whose codes are within the
     budget. Rows of one similar group are reached from a few of them, not pair by pair.
     """
-    size = np.array([len(x) for x in sets])
     left, edges = np.arange(len(sets)), []
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             i = queue.pop()
             near = np.bitwise_count(codes[left] ^ codes[i]).sum(axis=1, dtype=np.int64) <= budget
-            near &= np.minimum(size[left], size[i]) >= least * np.maximum(size[left], size[i])
             reached = np.zeros(len(left), bool)
             for k in np.flatnonzero(near):
-                both = size[i] + size[left[k]]
-                shared = both - len(np.union1d(sets[i], sets[left[k]]))
-                reached[k] = shared >= least * (both - shared)
+                reached[k] = _similar(sets[i], sets[left[k]], least)
             edges += [(i, j) for j in left[reached]]
             queue += left[reached].tolist()
             left = left[~reached]
     return edges
 
 
-def verified_links(texts: DataFrame, codes: DataFrame, names: list[str], size: int, budget: int, least: float, group_rows: int, group_bytes: int) -> DataFrame:
-    """a, b: links of similarity ``least`` inside the candidate components, exact by shingle sets.
+def _similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sorted arrays, as sets, have a Jaccard similarity of at least ``least``."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    shared = len(a) + len(b) - len(np.union1d(a, b))
+    return shared >= least * (len(a) + len(b) - shared)
+
 
-    ``codes``: node, component, the code's words, and doc_id, row and bytes of the text that
-    stands for it. A component of over ``group_rows`` codes or ``group_bytes`` of text is dealt
-    into chunks; each pair of chunks is a group of its own.
+def verified_links(texts: DataFrame, codes: DataFrame, names: list[str], size: int, budget: int, least: float, group_rows: int, group_bytes: int) -> DataFrame:
+    """node, component: what links of similarity ``least`` join inside the candidate components,
+    exact by shingle sets; a node that is not there is alone or the label of its own group.
+
+    ``codes``: node, component, the code's words, and doc_id, row and bytes of the text that stands
+    for it. First every node is compared with one pivot of its component, STAR nodes to a group;
+    the pivot is the node nearest to the majority of (some of) the component's codes, which of copies
+    of one text is that text or as good as it. Nodes that are left over are compared with all of
+    their component: these and those are dealt into chunks, and each chunk of nodes left over
+    meets each other chunk in a group of its own. A chunk has 2 x STAR codes, more in very large
+    components, but at most ``group_rows`` or ``group_bytes`` of text. What pivot there is changes
+    the work, never the result.
     """
-    most = F.greatest(F.count(F.lit(1)) / group_rows, F.sum("bytes") / group_bytes)
-    chunks = codes.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.ceil(most).cast("int").alias("chunks")).where("n > 1")
-    dealt = hot_join(codes, chunks, ["component"], "n", codes.count()).withColumn("side", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
-    dealt = dealt.join(texts, ["doc_id", "row"])
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.withColumn("one", F.least("side", "other")).withColumn("two", F.greatest("side", "other"))
+    total = codes.count()
+    sizes = codes.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("_bytes"))
+    salts = F.ceil(F.greatest(F.col("n") / STAR, F.col("_bytes") / group_bytes)).cast("int").alias("salts")
+    by_rows = F.least(F.lit(group_rows), F.greatest(F.lit(2 * STAR), F.floor(8 * F.sqrt("n"))))
+    by_bytes = F.floor(F.col("n") * group_bytes / F.greatest("_bytes", F.lit(1)))
+    sizes = materialise(sizes.select("component", "n", salts, F.greatest(F.lit(1), F.least(by_rows, by_bytes)).cast("int").alias("rows_each")), "sizes", total)
+    ship(texts.sparkSession)
+
+    def choose(group: pd.DataFrame) -> pd.DataFrame:
+        code = group[names].to_numpy(np.int64).view(np.uint64)
+        bits = np.unpackbits(np.ascontiguousarray(code.astype(">u8")).view(np.uint8).reshape(len(code), -1), axis=1)
+        away = (bits != (2 * bits.sum(axis=0) > len(bits))).sum(axis=1)
+        best = np.lexsort((group["node"], away))[0]
+        return pd.DataFrame({"component": group["component"].iloc[[best]], "pivot": group["node"].iloc[[best]]})
+
+    placed = hot_join(codes, sizes, ["component"], "n", total).withColumn("salt", F.pmod(F.xxhash64("node"), "salts").cast("int"))
+    # the node that names the component stands for one without any in the first group
+    some = placed.where((F.col("salt") == 0) | (F.col("node") == F.col("component"))).select("component", "node", *names)
+    pivots = materialise(some.groupBy("component").applyInPandas(choose, "component long, pivot long"), "pivots", total)
+    pivots = pivots.join(sizes.select("component", "n"), "component")
+    held = materialise(hot_join(placed, pivots, ["component"], "n", total).join(texts, ["doc_id", "row"]), "candidate-texts")
+    first = F.col("node") == F.col("pivot")
+
+    def star(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates("node").sort_values("first", ascending=False, kind="stable")
+        code = group[names].to_numpy(np.int64).view(np.uint64)
+        near = np.bitwise_count(code ^ code[0]).sum(axis=1, dtype=np.int64) <= budget
+        sets = [shingle_set(x, size) if ok else None for x, ok in zip(group["text"], near, strict=True)]
+        linked = [k for k in range(1, len(sets)) if near[k] and _similar(sets[0], sets[k], least)]
+        node = group["node"].to_numpy()
+        return pd.DataFrame({"node": node[linked], "component": np.full(len(linked), node[0])})
+
+    spread = held.withColumn("salt", F.explode(F.when(first, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array("salt"))))
+    spread = spread.select("component", "salt", "node", first.alias("first"), "text", *names)
+    linked = materialise(spread.groupBy("component", "salt").applyInPandas(star, "node long, component long"), "stars")
+    over = held.where(~first).select("node", "component").distinct().join(linked.select("node"), "node", "left_anti")
+    over = over.groupBy("component").agg(F.count(F.lit(1)).alias("left")).join(sizes.select("component", "n", "rows_each"), "component")
+    loose = F.ceil(F.col("left") / F.col("rows_each")).cast("int").alias("loose")
+    tight = F.ceil((F.col("n") - F.col("left")) / F.col("rows_each")).cast("int").alias("tight")
+    over = materialise(over.select("component", "n", loose, tight), "open", total)
+    if over.isEmpty():
+        return linked
 
     def check(group: pd.DataFrame) -> pd.DataFrame:
+        """Links of the nodes left over: to the pivot, if they are joined to any node that it holds, else to the smallest of them."""
         group = group.drop_duplicates("node").sort_values("node")
         sets = [shingle_set(x, size) for x in group["text"]]
-        edges = similar_edges(group[names].to_numpy(np.int64).view(np.uint64), sets, least, budget)
-        node = group["node"].tolist()
-        return pd.DataFrame([(node[i], node[j]) for i, j in edges], columns=["a", "b"])
-
-    ship(texts.sparkSession)
-    return dealt.select("component", "one", "two", "node", "text", *names).groupBy("component", "one", "two").applyInPandas(check, "a binary, b binary")
+        edges = np.array(similar_edges(group[names].to_numpy(np.int64).view(np.uint64), sets, least, budget), np.int64).reshape(-1, 2)
+        forest, node, inside = Forest(len(group)), group["node"].to_numpy(), group["inside"].to_numpy()
+        forest.link(edges[:, 0], edges[:, 1])
+        held = np.zeros(len(group), bool)
+        held[forest.parent[inside]] = True
+        label = np.where(held[forest.parent], group["pivot"].to_numpy(), node[forest.parent])
+        away = ~inside & (label != node)
+        return pd.DataFrame({"a": node[away], "b": label[away]})
+
+    # chunks 0 .. loose - 1 hold the nodes left over, the next ones the pivot and what it holds
+    dealt = hot_join(held, over.withColumnRenamed("n", "_n"), ["component"], "_n", total).join(linked.select("node", F.lit(True).alias("_in")), "node", "left")
+    dealt = dealt.withColumn("inside", first | F.col("_in").isNotNull())
+    hashed = F.xxhash64("node")
+    side = F.when(F.col("inside"), F.col("loose") + F.pmod(hashed, "tight")).otherwise(F.pmod(hashed, "loose")).cast("int")
+    others = F.sequence(F.lit(0), F.when(F.col("inside"), F.col("loose")).otherwise(F.col("loose") + F.col("tight")) - 1)
+    dealt = dealt.withColumn("side", side).withColumn("other", F.explode(others)).where("side <> other")
+    dealt = dealt.withColumn("one", F.least("side", "other")).withColumn("two", F.greatest("side", "other"))
+    found = dealt.select("component", "one", "two", "node", "pivot", "inside", "text", *names).groupBy("component", "one", "two").applyInPandas(check, "a long, b long")
+    joined = connected_components(found, most_rows=None)
+    # a pivot may have a smaller node in its group now: what it holds follows
+    named = joined.select(F.col("node").alias("_node"), F.col("component").alias("_label"))
+    moved = linked.join(named, F.col("component") == F.col("_node"), "left").select("node", F.coalesce("_label", "component").alias("component"))
+    return moved.unionByName(joined.select("node", "component"))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, words: int = 8, budget: int = 124, least: float = 0.8, group_rows: int = 1 << 14, group_bytes: int = 1 << 26) -> DataFrame:
@@ -278,18 +346,19 @@ def one_of_each(docs: DataFrame, size: int = 5, words: int = 8, budget: int = 12
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d")).withColumn("row", F.xxhash64("d"))
     rows = inner.where("d.doc_id IS NOT NULL").select(F.col("d.doc_id").cast("long").alias("doc_id"), F.col("d.text").alias("text"), "row")
     marks = fingerprints(rows.withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")), size, words, True, ("row", "bytes"))
-    # equal codes become one node, which the smallest (doc_id, row) stands for
-    least_row = F.min(F.struct("doc_id", "row", "bytes")).alias("first")
-    codes = marks.groupBy(*names).agg(least_row).select(*names, "first.*")
-    codes = materialise(codes.withColumn("node", F.unhex(F.substring(F.sha2(F.concat_ws(",", *names), 256), 1, 32))), "codes")
+    # equal codes become one node, which the smallest (doc_id, row) stands for; its number is
+    # given once, when the table is written
+    each = marks.groupBy(*names, "doc_id").agg(F.min("row").alias("row"), F.min("bytes").alias("bytes"))
+    codes = each.groupBy(*names).agg(F.min("doc_id").alias("least"), F.min_by("row", "doc_id").alias("row"), F.min_by("bytes", "doc_id").alias("bytes"))
+    codes = materialise(codes.withColumnRenamed("least", "doc_id").withColumn("node", F.monotonically_increasing_id()), "codes")
     total = codes.count()
     dealt, count = trees(codes, words, total)
     found = links(dealt, 2, 0, int(prefix_limits(128)[-1]), prefix_limits(128), count * total)
     groups = materialise(connected_components(found, most_rows=count * total), "candidates")
     inside = materialise(codes.join(groups, "node"), "candidate-codes")
-    linked = connected_components(verified_links(rows.select("doc_id", "row", "text"), inside, names, size, budget, least, group_rows, group_bytes))
-    kept = codes.join(linked, "node", "left").groupBy(F.coalesce("component", "node").alias("group")).agg(F.min(F.struct("doc_id", "row")).alias("first"))
-    kept = kept.select("first.doc_id", "first.row")
+    linked = verified_links(rows.select("doc_id", "row", "text"), inside, names, size, budget, least, group_rows, group_bytes)
+    kept = codes.join(linked, "node", "left").groupBy(F.coalesce("component", "node").alias("group"), "doc_id").agg(F.min("row").alias("row"))
+    kept = kept.groupBy("group").agg(F.min("doc_id").alias("least"), F.min_by("row", "doc_id").alias("row")).select(F.col("least").alias("doc_id"), "row")
     named = inner.withColumn("doc_id", F.col("d.doc_id").cast("long"))
     chosen = named.where("doc_id IS NOT NULL").join(kept, ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id", "row"])
     return chosen.unionByName(named.where("doc_id IS NULL")).select(*[F.col("d")[c].alias(c) for c in docs.columns])

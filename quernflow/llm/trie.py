@@ -14,8 +14,8 @@ import numpy as np
 
 #: Node pairs expanded at once, and code pairs compared at once.
 CHUNK, COMPARED = 1 << 16, 1 << 20
-#: A node pair of at most so many code pairs is compared directly.
-LEAF = 64
+#: Two nodes of at most so many codes each are compared directly.
+LEAF = 16
 
 
 def bit_split(code: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: int) -> np.ndarray:
@@ -30,26 +30,26 @@ def bit_split(code: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: int) -> n
 
 
 def _compare(codes: np.ndarray, nodes: np.ndarray, allowed: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Code pairs of the node pairs (alo, ahi, blo, bhi) within what is allowed at each word's end."""
-    alo, ahi, blo, bhi = nodes
-    width = bhi - blo
-    count = (ahi - alo) * width
-    edges = np.searchsorted(np.cumsum(count), np.arange(COMPARED, count.sum() + COMPARED, COMPARED), side="left") + 1
-    start = 0
-    for end in np.unique(np.minimum(edges, len(count))):
-        c, w = count[start:end], width[start:end]
-        k = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-        i = np.repeat(alo[start:end], c) + k // np.repeat(w, c)
-        j = np.repeat(blo[start:end], c) + k % np.repeat(w, c)
-        once = i < j
-        i, j = i[once], j[once]
-        differ = np.zeros(len(i), np.int64)
-        for word in range(codes.shape[1]):
+    """Code pairs of the node pairs (alo, ahi, blo, bhi) within what is allowed at each word's end.
+
+    All node pairs are compared as squares of LEAF by LEAF codes; what is beyond a node's end
+    is left out afterwards, among the few pairs that are close in the first word.
+    """
+    step, last = COMPARED // LEAF**2, len(codes) - 1
+    for s in range(0, nodes.shape[1], step):
+        alo, ahi, blo, bhi = nodes[:, s : s + step]
+        a = np.minimum(alo[:, None] + np.arange(LEAF), last)
+        b = np.minimum(blo[:, None] + np.arange(LEAF), last)
+        differ = np.bitwise_count(codes[a, 0][:, :, None] ^ codes[b, 0][:, None, :])
+        node, x, y = np.nonzero(differ <= min(allowed[64], 64))
+        i, j, differ = alo[node] + x, blo[node] + y, differ[node, x, y].astype(np.int64)
+        inside = (i < ahi[node]) & (j < bhi[node]) & (i < j)
+        i, j, differ = i[inside], j[inside], differ[inside]
+        for word in range(1, codes.shape[1]):
             differ = differ + np.bitwise_count(codes[i, word] ^ codes[j, word])
             near = differ <= allowed[64 * (word + 1)]
             i, j, differ = i[near], j[near], differ[near]
         yield i, j
-        start = end
 
 
 def close_pairs(codes: np.ndarray, nodes: np.ndarray, depth: int, budget: int, allowed: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -67,7 +67,7 @@ def close_pairs(codes: np.ndarray, nodes: np.ndarray, depth: int, budget: int, a
     while stack:
         node, err, d = stack.pop()
         alo, ahi, blo, bhi = node
-        small = (ahi - alo) * (bhi - blo) <= LEAF
+        small = (ahi - alo <= LEAF) & (bhi - blo <= LEAF)
         if small.any():
             yield from _compare(codes, node[:, small], allowed)
             node, err = node[:, ~small], err[~small]

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import dataclasses
+import functools
 import hashlib
+import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -78,6 +82,30 @@ class TestLicenses:
             assert found or not whole
             assert all(self.brute(words, licenses.words_of(licenses.TEMPLATES[x]), 0.8) for x in found)
 
+    @pytest.mark.parametrize("seed", range(4))
+    def test_gates_against_a_search_around_every_word(self, seed):
+        """The gate words choose the windows; windows around all words of a template find the same notices."""
+        draw = random.Random(seed)
+        names = ("MIT-notice", "Apache-2.0", "ISC", "GPL-3.0", "BSL-1.0", "SPDX-MIT")
+        texts = {n: licenses.TEMPLATES[n] for n in names}
+        gated, every = licenses.Scanner(texts), licenses.Scanner(texts)
+        every.templates = [dataclasses.replace(t, gates={w: tuple(i for i, x in enumerate(t.words) if x == w) for w in set(t.words)}) for t in every.templates]
+        every.gates = frozenset(w for t in every.templates for w in t.words)
+        for _ in range(6):
+            words = [draw.choice(["the", "license", "of", "under", "software", "x", "y", "z"]) for _ in range(60)]
+            for name in draw.sample(names, 2):
+                notice = [w if draw.random() > 0.06 else "edited" for w in licenses.words_of(texts[name])]
+                at = draw.randrange(len(words))
+                words[at:at] = notice
+            a, b = gated.scan(words), every.scan(words)
+            assert {h[0] for h in a} == {h[0] for h in b}
+            assert all(any(x[0] == y[0] and abs(x[1] - y[1]) < 8 and abs(x[3] - y[3]) <= 2 for y in b) for x in a)
+
+    def test_tags_and_long_licences(self, spark):
+        rows = [(1, "# SPDX-License-Identifier: Apache-2.0\ncode"), (2, licenses.TEMPLATES["BSD-3-Clause"]), (3, licenses.TEMPLATES["BSD-2-Clause"]), (4, licenses.TEMPLATES["LGPL-2.1"]), (5, licenses.TEMPLATES["GPL-2.0"]), (6, "spdx identifier")]
+        got = [(r["doc_id"], r["license"]) for r in licenses.scan_documents(docs(spark, rows)).orderBy("doc_id").collect()]
+        assert got == [(1, "SPDX-Apache-2.0"), (2, "BSD-3-Clause"), (3, "BSD-2-Clause"), (4, "LGPL-2.1"), (5, "GPL-2.0")]
+
     def test_edited_copies_in_a_long_text(self, spark):
         body = licenses.TEMPLATES["MIT"].replace("free of charge", "at no cost").replace("distribute, sublicense", "give away")
         noise = " ".join(f"w{i}" for i in range(3000))
@@ -200,7 +228,8 @@ class TestSimHash:
         codes, frame = self.planted(spark)
         frame = frame.unionByName(spark.createDataFrame([(1000 + i, 5 << 40 | i) for i in range(64)], "rep long, w0 long"))
         codes |= {1000 + i: 5 << 40 | i for i in range(64)}
-        groups = components.connected_components(simhash.links(frame, 1, 3, 2, group_rows))
+        dealt, depth = simhash.bands(frame.withColumnRenamed("rep", "node"), 3)
+        groups = components.connected_components(simhash.links(dealt, 1, depth, 2, None, 3 * len(codes), group_rows))
         got = {k: k for k in codes} | {r["node"]: r["component"] for r in groups.collect()}
         assert got == brute_groups(codes, 2)
 
@@ -213,6 +242,59 @@ class TestSimHash:
         want = {(i, j) for i in range(len(codes)) for j in range(i + 1, len(codes)) if int(codes[i, 0] ^ codes[j, 0]).bit_count() <= 2}
         assert got == want
 
+    def test_trie_over_many_words_prunes(self):
+        rng = np.random.default_rng(4)
+        base = rng.integers(0, 1 << 63, (3000, 2), dtype=np.uint64)
+        noise = np.packbits(rng.random((3000, 128)) < 0.15, axis=1).view(">u8").astype(np.uint64)
+        codes = np.concatenate([base, base ^ noise])
+        codes = codes[np.lexsort((codes[:, 1], codes[:, 0]))]
+        limits = simhash.prefix_limits(128)
+        nodes = np.array([[0], [len(codes)], [0], [len(codes)]])
+        got = {(int(i), int(j)) for a, b in trie.close_pairs(codes, nodes, 0, int(limits[-1]), limits) for i, j in zip(a, b, strict=True)}
+        want = set()
+        for i in range(len(codes)):
+            near = np.bitwise_count(codes[i + 1 :] ^ codes[i]).sum(axis=1) <= limits[-1]
+            want |= {(i, i + 1 + int(j)) for j in np.flatnonzero(near)}
+        assert got <= want and len(got) > 0.97 * len(want) > 2900
+
+    def test_trees_cover_the_threshold(self):
+        rng, misses = np.random.default_rng(8), 0
+        for width in (8, 14):
+            layout = simhash.tree_layout(8, width)
+            differ = rng.random((4000, 512)) < 0.1515  # a pair at similarity 0.8
+            met = np.zeros(4000, bool)
+            for picked, one, two in layout:
+                check = differ[:, 64 * one : 64 * one + 64].sum(axis=1) + differ[:, 64 * two : 64 * two + 64].sum(axis=1)
+                met |= ~differ[:, picked].any(axis=1) & (check <= simhash.prefix_limits(128)[-1])
+            misses += (~met).sum()
+        assert misses < 16
+
+    def test_one_id_with_other_texts(self, spark):
+        draw = random.Random(2)
+        make = lambda: " ".join(f"{draw.choice('abcdefgh')}{draw.randrange(4000)}" for _ in range(200))
+        a, b, c = make(), make(), make()
+        rows = docs(spark, [(1, a), (1, b), (2, b + " end"), (3, c), (3, c), (4, a)])
+        got = sorted((r["doc_id"], r["text"]) for r in simhash.one_of_each(rows).collect())
+        assert got == sorted([(1, a), (1, b), (3, c)])
+
+    @pytest.mark.parametrize("star", [256, 2])
+    def test_copies_around_a_text_that_is_not_the_smallest(self, spark, monkeypatch, star):
+        """Edits of one text, alike to it but not to each other, and the smallest id among the edits."""
+        monkeypatch.setattr(simhash, "STAR", star)
+        draw = random.Random(14)
+        base = [f"b{draw.randrange(10**6)}" for _ in range(300)]
+        rows = [(50, " ".join(base))]
+        for k in range(12):
+            words = list(base)
+            words[25 * k : 25 * k + 25] = [f"e{draw.randrange(10**6)}" for _ in range(25)]  # 0.82 to the base, 0.67 to the others
+            rows.append((k, " ".join(words)))
+        rows += [(100 + k, " ".join(f"o{draw.randrange(10**6)}" for _ in range(100))) for k in range(5)]
+        assert {r[0] for r in simhash.one_of_each(docs(spark, rows)).select("doc_id").collect()} == {0, *range(100, 105)}
+
+    def test_hub_of_a_component(self, spark):
+        edges = spark.range(1, 5000).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+        assert components.connected_components(edges).where("component = 0").count() == 5000
+
     def test_awkward(self, spark):
         got = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(awkward(spark).select("doc_id", "text")).collect()}
         assert {(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (None, None)} <= got and simhash.near_duplicates(awkward(spark).limit(0)).count() == 0
@@ -275,6 +357,12 @@ class TestWarc:
             assert r["payload_digest"] == hashlib.sha256(html[r["page_id"]].encode()).hexdigest() and r["payload_bytes"] == len(html[r["page_id"]].encode())
             assert r["record_type"] == "revisit" or r["html"] == html[r["page_id"]]
 
+    def test_payloads_are_not_shuffled_by_digest(self, spark):
+        rows = [(k, "u", "x" * 500 if k % 3 == 0 else f"{k} " * 60) for k in range(600)]
+        marked = warc.mark_revisits(spark.createDataFrame(rows, "page_id long, url string, html string"), 100)
+        assert "Exchange hashpartitioning" not in marked._jdf.queryExecution().executedPlan().toString()
+        assert {r["refers_to"] for r in marked.where("page_id % 3 = 0 AND page_id > 0").collect()} == {0}
+
     def test_selected_records_only(self, spark, tmp_path):
         target = f"file://{tmp_path}/w"
         index = warc.write_archive(self.pages(spark), target).where("page_id IN (2, 9)")
@@ -340,6 +428,39 @@ class TestLineDedup:
         assert got.count() == 9 and "clash" not in {str(r["n_lines"]) for r in got.collect()}
         assert linededup.deduplicate(awkward(spark).limit(0)).count() == 0
 
+    def test_other_columns_pass_through(self, spark):
+        got = linededup.deduplicate(awkward(spark), counts=False)
+        assert {(r["n_lines"], r["_drop"]) for r in got.collect()} == {("clash", "clash")} and set(got.columns) == set(awkward(spark).columns)
+
+    def test_a_long_repeated_document(self, spark):
+        text = "\n".join(f"line number {k} of a long document" for k in range(100_000))
+        began = time.monotonic()
+        got = {r["doc_id"]: r for r in linededup.deduplicate(docs(spark, [(1, text), (2, text + "\nand one more"), (3, text)])).collect()}
+        assert got[1]["text"] == text and got[2]["text"] == "and one more" and got[3]["text"] == "" and got[3]["n_dropped"] == 100_000
+        assert time.monotonic() - began < 60
+
+    def test_batches_follow_the_size_and_nothing_is_left_over(self, spark):
+        rows = [(k, f"a line of document {k // 2}\nthe same line in all of them") for k in range(40)]
+        got = linededup.deduplicate(docs(spark, rows), batches=1, batch_rows=5)
+        assert sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in got.collect()), key=str) == brute_lines(rows)
+        assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("quern_run_")]
+        assert spark.conf.get(linededup.ORDERED) == "false"
+
+    def test_a_failure_leaves_no_tables(self, spark, monkeypatch):
+        monkeypatch.setattr(linededup, "hot_join", lambda *a, **k: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            linededup.deduplicate(docs(spark, [(k, f"a line of document {k // 2}") for k in range(40)]))
+        assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("quern_run_")]
+
+    def test_runs_are_read_in_their_order(self, spark):
+        with linededup.ordered_scans(spark):
+            runs = linededup.LineRuns(spark, 2)
+            runs.add(spark.range(1000).select(F.xxhash64("id").alias("_h1"), F.xxhash64("id", "id").alias("_h2"), F.col("id").alias("_first")))
+            plan = runs.runs()[0].hint("merge").join(runs.runs()[0].hint("merge").withColumnRenamed("_first", "x"), linededup.HASH)
+            text = plan._jdf.queryExecution().executedPlan().toString()
+            assert "Sort [" not in text and "Exchange" not in text
+            runs.close()
+
     def test_runs_are_compacted(self, spark):
         runs = linededup.LineRuns(spark, 2, fanout=2)
         make = lambda k: spark.createDataFrame([(k, k, k)], "_h1 long, _h2 long, _first long")
@@ -374,9 +495,12 @@ class TestTokenCounts:
     def test_query(self, spark, sf):
         vocabulary = set(tokencount.vocabulary(PIECES))
         got = {r["doc_id"]: r for r in QUERIES["op6_token_counts"](spark, sf).collect()}
-        for r in spark.read.parquet(f"{sf}/documents.parquet").limit(12).collect():
-            words = r["text"].split()
-            assert got[r["doc_id"]]["n_words"] == len(words) and got[r["doc_id"]]["n_tokens"] == sum(self.greedy(w, vocabulary) for w in words)
+        pieces = functools.cache(lambda w: self.greedy(w, vocabulary))
+        rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+        assert len(rows) == len(got)
+        for r in rows:
+            words = (r["text"] or "").split()
+            assert got[r["doc_id"]]["n_words"] == len(words) and got[r["doc_id"]]["n_tokens"] == sum(map(pieces, words))
 
     def test_awkward(self, spark):
         got = {r["doc_id"]: (r["n_words"], r["n_tokens"]) for r in tokencount.token_counts(awkward(spark), PIECES).collect()}
@@ -573,7 +697,7 @@ class TestNeighbours:
         rng = np.random.default_rng(2)
         frame = spark.createDataFrame([(i, rng.standard_normal(8).tolist()) for i in range(120)], "vec_id long, embedding array<double>")
         key = lambda df: sorted(tuple(r) for r in df.collect())
-        assert key(ann.nearest(frame, every=3, block=7)) == key(ann.nearest(frame, every=3))
+        assert key(ann.nearest(frame, every=3, query_rows=7, chunk=16)) == key(ann.nearest(frame, every=3))
         assert ann.nearest(frame.limit(0)).count() == 0 and ann.nearest(frame.where("vec_id = 1")).count() == 0
 
 
@@ -605,6 +729,35 @@ class TestQuality:
         assert quality.score_documents(awkward(spark).limit(0), labels).count() == 0
 
 
+    def test_fit_against_brute_force(self, spark):
+        """Normal equations, calibration and scores by plain least squares over all rows at once."""
+        rng = np.random.default_rng(9)
+        x = rng.standard_normal((400, quality.STATS)) * 3 + 1
+        y = (x[:, 0] + 0.7 * x[:, 1] > 2).astype(float)
+        frame = spark.createDataFrame([(a.tolist(), float(b)) for a, b in zip(x, y, strict=True)], "stats array<double>, label double").repartition(5)
+        model = quality.fit(frame, features=64)
+        z = np.clip((x - x.mean(axis=0)) / x.std(axis=0), -6, 6)
+        lifted = np.hstack([np.ones((400, 1)), z / math.sqrt(quality.STATS), np.cos(z @ model.turn + model.shift) * math.sqrt(2 / 64)])
+        assert np.allclose(model.lift(x), lifted)
+        want, *_ = np.linalg.lstsq(np.vstack([lifted, math.sqrt(1e-4 * 400) * np.eye(lifted.shape[1])]), np.append(y, np.zeros(lifted.shape[1])), rcond=None)
+        assert np.allclose(model.weight, want, atol=1e-8)
+        raw, order = lifted @ want, np.argsort(lifted @ want)
+        assert (np.diff(model.score(x)[order]) >= -1e-12).all() and np.mean((model.score(x) > 0.5) == y) > 0.9
+        means = [y[(raw >= lo) & (raw < lo + 0.25)].mean() for lo in np.arange(0, 1, 0.25)]
+        got = [model.score(x)[(raw >= lo) & (raw < lo + 0.25)].mean() for lo in np.arange(0, 1, 0.25)]
+        assert np.allclose(got, means, atol=0.12)
+
+    def test_query_against_brute_force(self, spark, sf):
+        texts = {r[0]: r[1] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+        labels = [(r[0], r[1]) for r in spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality").collect()]
+        learned = [(quality.statistics(texts[d]), float(y)) for d, y in labels if y is not None and d in texts and zlib.crc32(str(d).encode()) % 5]
+        model = quality.fit(spark.createDataFrame(learned, "stats array<double>, label double").coalesce(1))
+        want = model.score(np.array([quality.statistics(t) for t in texts.values()]))
+        got = {r["doc_id"]: r for r in QUERIES["op9_quality"](spark, sf).collect()}
+        assert [got[d]["score"] for d in texts] == pytest.approx(want.tolist(), abs=1e-6)
+        assert all(r["predicted"] == int(r["score"] >= 0.3) and r["held_out"] == (zlib.crc32(str(d).encode()) % 5 == 0) for d, r in got.items())
+
+
 class TestContamination:
     @settings(max_examples=150, deadline=None)
     @given(st.lists(st.sampled_from("abcde"), max_size=10), st.lists(st.sampled_from("abcde"), max_size=14))
@@ -656,6 +809,72 @@ class TestContamination:
         got = {(r["doc_id"], r["item_id"]) for r in contamination.find_leaks(docs(spark, rows), bench).collect()}
         assert {(i, i) for i in range(len(items))} <= got
 
+    def test_candidates_against_brute_force(self):
+        """Every passage whose full cosine reaches the threshold is a candidate, whatever the rank."""
+        draw = random.Random(21)
+        make = lambda n: [int(3000 * draw.random() ** 3) + 1 for _ in range(n)]
+        items = [(i, make(draw.randrange(15, 32))) for i in range(500)]
+        texts = [np.array(make(draw.randrange(40, 400)), np.uint16) for _ in range(60)]
+        texts += [np.concatenate([texts[i][:50], np.array(items[i][1], np.uint16), texts[i][50:]]) for i in range(60)]
+        weight = np.log(3002 / (1 + np.arange(3002))) + 1
+        weight[0] = 0
+        total = np.zeros((3002, 32))
+        omega = np.random.default_rng(1).standard_normal((3002, 32))
+        contamination.add_sketch(total, contamination.blocks_of(texts)[0], weight, (weight[:, None] * omega).astype(np.float32))
+        basis = np.linalg.qr(total * weight[:, None])[0]
+        index = contamination.Index(weight, basis, items, 0.3, 0.9, 0.8, 0.5, 0.6, 0.4)
+        got = {(d, s, i) for d, s, i, _ in index.candidates(texts)}
+        vectors = np.zeros((500, 3002))
+        for i, words in items:
+            np.add.at(vectors[i], words, weight[words])
+        vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+        want = set()
+        for d, text in enumerate(texts):
+            padded = np.concatenate([text.astype(int), np.zeros(32, int)])
+            for s in range(0, len(text), 16):
+                passage = padded[s : s + 32]
+                inside = np.zeros(3002)
+                np.add.at(inside, passage, weight[passage])
+                near = vectors @ inside / math.sqrt((weight[passage] ** 2).sum())
+                want |= {(d, s, int(i)) for i in np.flatnonzero(near >= 0.3001)}
+        assert len(want) > 200 and want <= got
+
+    def test_latent_basis_spans_the_leading_directions(self, spark):
+        rng = np.random.default_rng(5)
+        topics = [rng.choice(np.arange(1, 201), 20, replace=False) for _ in range(6)]
+        texts = [np.concatenate([rng.choice(topics[rng.integers(6)], 32) for _ in range(4)]).astype(np.uint16) for _ in range(300)]
+        frame = spark.createDataFrame([(bytearray(t.tobytes()),) for t in texts], "w binary").repartition(3)
+        weight = np.ones(201)
+        weight[0] = 0
+        basis = contamination.latent_basis(frame, [], weight, 24)
+        ids, _ = contamination.blocks_of(texts)
+        full = np.zeros((len(ids), 201))
+        np.add.at(full, (np.repeat(np.arange(len(ids)), 16), ids.ravel()), weight[ids.ravel()])
+        full = full[:-1] + full[1:]
+        norm = contamination.passage_norms((weight**2)[ids].sum(axis=1))
+        full = full[norm > 0] / norm[norm > 0, None]
+        _, _, right = np.linalg.svd(full, full_matrices=False)
+        assert np.linalg.norm(right[:6] @ basis, axis=1).min() > 0.97 and np.allclose(basis.T @ basis, np.eye(basis.shape[1]), atol=1e-8)
+
+    def test_passages_alike_in_the_latent_space_are_candidates(self):
+        """A paraphrase in other words of the same topic shares no word with the item."""
+        rng = np.random.default_rng(7)
+        topics = [np.arange(1 + 40 * t, 41 + 40 * t) for t in range(5)]
+        texts = [rng.choice(topics[k % 5], 64).astype(np.uint16) for k in range(400)]
+        weight = np.ones(202)
+        weight[0] = 0
+        total, omega = np.zeros((202, 8)), rng.standard_normal((202, 8))
+        omega[0] = 0
+        contamination.add_sketch(total, contamination.blocks_of(texts)[0], weight, omega.astype(np.float32))
+        index = contamination.Index(weight, np.linalg.qr(total)[0], [(0, list(range(1, 17)))], 0.3, 0.8, 0.8, 0.5, 0.6, 0.4)
+        got = {d for d, _, _, _ in index.candidates([np.arange(17, 41, dtype=np.uint16), np.arange(50, 80, dtype=np.uint16)])}
+        assert got == {0}
+
+    def test_one_word_items(self, spark):
+        bench = spark.createDataFrame([(1, "zebra")], "item_id long, text string")
+        rows = [(1, "a " * 300 + "zebra " + "b " * 300), (2, "no such word")]
+        assert [r["doc_id"] for r in contamination.find_leaks(docs(spark, rows), bench).collect()] == [1]
+
     def test_words_of_a_short_item_far_apart(self, spark):
         rows = [(1, "alpha " + "x " * 12 + "beta"), (2, "x x alpha beta x"), (3, "y " * 30)]
         bench = spark.createDataFrame([(1, "alpha beta")], "item_id long, text string")
