@@ -47,8 +47,6 @@ SEED = 42
 SLICE = 1 << 15
 #: Codes a group of the trees has on average; share of differing bits and of lost pairs that the trees are laid out for.
 GROUP, ERROR, MISS = 256, 0.17, 1e-3
-#: Nodes that one task compares with the smallest of their component.
-STAR = 256
 
 
 def shingles(text: str | None, size: int) -> list[bytes]:
@@ -249,87 +247,36 @@ def _similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
 
 def verified_links(texts: DataFrame, codes: DataFrame, names: list[str], size: int, budget: int, least: float, group_rows: int, group_bytes: int) -> DataFrame:
     """node, component: what links of similarity ``least`` join inside the candidate components,
-    exact by shingle sets; a node that is not there is alone or the label of its own group.
+    exact by shingle sets; nodes without links and smallest nodes may be left out.
 
     ``codes``: node, component, the code's words, and doc_id, row and bytes of the text that stands
-    for it. First every node is compared with one pivot of its component, STAR nodes to a group;
-    the pivot is the node nearest to the majority of (some of) the component's codes, which of copies
-    of one text is that text or as good as it. Nodes that are left over are compared with all of
-    their component: these and those are dealt into chunks, and each chunk of nodes left over
-    meets each other chunk in a group of its own. A chunk has 2 x STAR codes, more in very large
-    components, but at most ``group_rows`` or ``group_bytes`` of text. What pivot there is changes
-    the work, never the result.
+    for it. A component of over ``group_rows`` codes or ``group_bytes`` of text is dealt into
+    chunks; each pair of chunks is a group of its own, which bounds a task's share of a component.
     """
     total = codes.count()
-    sizes = codes.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("_bytes"))
-    salts = F.ceil(F.greatest(F.col("n") / STAR, F.col("_bytes") / group_bytes)).cast("int").alias("salts")
-    by_rows = F.least(F.lit(group_rows), F.greatest(F.lit(2 * STAR), F.floor(8 * F.sqrt("n"))))
-    by_bytes = F.floor(F.col("n") * group_bytes / F.greatest("_bytes", F.lit(1)))
-    sizes = materialise(sizes.select("component", "n", salts, F.greatest(F.lit(1), F.least(by_rows, by_bytes)).cast("int").alias("rows_each")), "sizes", total)
-    ship(texts.sparkSession)
-
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        code = group[names].to_numpy(np.int64).view(np.uint64)
-        bits = np.unpackbits(np.ascontiguousarray(code.astype(">u8")).view(np.uint8).reshape(len(code), -1), axis=1)
-        away = (bits != (2 * bits.sum(axis=0) > len(bits))).sum(axis=1)
-        best = np.lexsort((group["node"], away))[0]
-        return pd.DataFrame({"component": group["component"].iloc[[best]], "pivot": group["node"].iloc[[best]]})
-
-    placed = hot_join(codes, sizes, ["component"], "n", total).withColumn("salt", F.pmod(F.xxhash64("node"), "salts").cast("int"))
-    # the node that names the component stands for one without any in the first group
-    some = placed.where((F.col("salt") == 0) | (F.col("node") == F.col("component"))).select("component", "node", *names)
-    pivots = materialise(some.groupBy("component").applyInPandas(choose, "component long, pivot long"), "pivots", total)
-    pivots = pivots.join(sizes.select("component", "n"), "component")
-    held = materialise(hot_join(placed, pivots, ["component"], "n", total).join(texts, ["doc_id", "row"]), "candidate-texts")
-    first = F.col("node") == F.col("pivot")
-
-    def star(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("node").sort_values("first", ascending=False, kind="stable")
-        code = group[names].to_numpy(np.int64).view(np.uint64)
-        near = np.bitwise_count(code ^ code[0]).sum(axis=1, dtype=np.int64) <= budget
-        sets = [shingle_set(x, size) if ok else None for x, ok in zip(group["text"], near, strict=True)]
-        linked = [k for k in range(1, len(sets)) if near[k] and _similar(sets[0], sets[k], least)]
-        node = group["node"].to_numpy()
-        return pd.DataFrame({"node": node[linked], "component": np.full(len(linked), node[0])})
-
-    spread = held.withColumn("salt", F.explode(F.when(first, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array("salt"))))
-    spread = spread.select("component", "salt", "node", first.alias("first"), "text", *names)
-    linked = materialise(spread.groupBy("component", "salt").applyInPandas(star, "node long, component long"), "stars")
-    over = held.where(~first).select("node", "component").distinct().join(linked.select("node"), "node", "left_anti")
-    over = over.groupBy("component").agg(F.count(F.lit(1)).alias("left")).join(sizes.select("component", "n", "rows_each"), "component")
-    loose = F.ceil(F.col("left") / F.col("rows_each")).cast("int").alias("loose")
-    tight = F.ceil((F.col("n") - F.col("left")) / F.col("rows_each")).cast("int").alias("tight")
-    over = materialise(over.select("component", "n", loose, tight), "open", total)
-    if over.isEmpty():
-        return linked
+    most = F.greatest(F.count(F.lit(1)) / group_rows, F.sum("bytes") / group_bytes)
+    chunks = codes.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.ceil(most).cast("int").alias("chunks")).where("n > 1")
+    chunks = materialise(chunks, "chunks", total)
+    dealt = hot_join(codes, chunks, ["component"], "n", total).withColumn("side", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
+    dealt = dealt.join(texts, ["doc_id", "row"])
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.withColumn("one", F.least("side", "other")).withColumn("two", F.greatest("side", "other"))
 
     def check(group: pd.DataFrame) -> pd.DataFrame:
-        """Links of the nodes left over: to the pivot, if they are joined to any node that it holds, else to the smallest of them."""
         group = group.drop_duplicates("node").sort_values("node")
         sets = [shingle_set(x, size) for x in group["text"]]
         edges = np.array(similar_edges(group[names].to_numpy(np.int64).view(np.uint64), sets, least, budget), np.int64).reshape(-1, 2)
-        forest, node, inside = Forest(len(group)), group["node"].to_numpy(), group["inside"].to_numpy()
+        forest, node = Forest(len(group)), group["node"].to_numpy()
         forest.link(edges[:, 0], edges[:, 1])
-        held = np.zeros(len(group), bool)
-        held[forest.parent[inside]] = True
-        label = np.where(held[forest.parent], group["pivot"].to_numpy(), node[forest.parent])
-        away = ~inside & (label != node)
-        return pd.DataFrame({"a": node[away], "b": label[away]})
-
-    # chunks 0 .. loose - 1 hold the nodes left over, the next ones the pivot and what it holds
-    dealt = hot_join(held, over.withColumnRenamed("n", "_n"), ["component"], "_n", total).join(linked.select("node", F.lit(True).alias("_in")), "node", "left")
-    dealt = dealt.withColumn("inside", first | F.col("_in").isNotNull())
-    hashed = F.xxhash64("node")
-    side = F.when(F.col("inside"), F.col("loose") + F.pmod(hashed, "tight")).otherwise(F.pmod(hashed, "loose")).cast("int")
-    others = F.sequence(F.lit(0), F.when(F.col("inside"), F.col("loose")).otherwise(F.col("loose") + F.col("tight")) - 1)
-    dealt = dealt.withColumn("side", side).withColumn("other", F.explode(others)).where("side <> other")
-    dealt = dealt.withColumn("one", F.least("side", "other")).withColumn("two", F.greatest("side", "other"))
-    found = dealt.select("component", "one", "two", "node", "pivot", "inside", "text", *names).groupBy("component", "one", "two").applyInPandas(check, "a long, b long")
-    joined = connected_components(found, most_rows=None)
-    # a pivot may have a smaller node in its group now: what it holds follows
-    named = joined.select(F.col("node").alias("_node"), F.col("component").alias("_label"))
-    moved = linked.join(named, F.col("component") == F.col("_node"), "left").select("node", F.coalesce("_label", "component").alias("component"))
-    return moved.unionByName(joined.select("node", "component"))
+        away = forest.parent != np.arange(len(group))  # rows are sorted by node, so a root is the smallest of its tree
+        return pd.DataFrame({"a": node[away], "b": node[forest.parent[away]]})
+
+    ship(texts.sparkSession)
+    found = dealt.select("component", "one", "two", "node", "text", *names).groupBy("component", "one", "two").applyInPandas(check, "a long, b long")
+    found = materialise(found, "verified")
+    if chunks.where("chunks > 1").isEmpty():  # then every tree lies in one group and points to its smallest node
+        return found.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return connected_components(found)
 
 
 def one_of_each(docs: DataFrame, size: int = 5, words: int = 8, budget: int = 124, least: float = 0.8, group_rows: int = 1 << 14, group_bytes: int = 1 << 26) -> DataFrame:

@@ -22,7 +22,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quernflow.llm import ann, components, contamination, langid, licenses, linededup, packing, quality, simhash, tokencount, trie, warc
+from quernflow.llm import ann, common, components, contamination, langid, licenses, linededup, packing, quality, simhash, tokencount, trie, warc
 from quernflow.llm.queries import ORACLES, QUERIES
 from tests.compare import assert_same, connect
 from tests.llm.frames import awkward, docs
@@ -277,10 +277,9 @@ class TestSimHash:
         got = sorted((r["doc_id"], r["text"]) for r in simhash.one_of_each(rows).collect())
         assert got == sorted([(1, a), (1, b), (3, c)])
 
-    @pytest.mark.parametrize("star", [256, 2])
-    def test_copies_around_a_text_that_is_not_the_smallest(self, spark, monkeypatch, star):
+    @pytest.mark.parametrize("group_rows", [1 << 14, 4])
+    def test_copies_around_a_text_that_is_not_the_smallest(self, spark, group_rows):
         """Edits of one text, alike to it but not to each other, and the smallest id among the edits."""
-        monkeypatch.setattr(simhash, "STAR", star)
         draw = random.Random(14)
         base = [f"b{draw.randrange(10**6)}" for _ in range(300)]
         rows = [(50, " ".join(base))]
@@ -289,7 +288,7 @@ class TestSimHash:
             words[25 * k : 25 * k + 25] = [f"e{draw.randrange(10**6)}" for _ in range(25)]  # 0.82 to the base, 0.67 to the others
             rows.append((k, " ".join(words)))
         rows += [(100 + k, " ".join(f"o{draw.randrange(10**6)}" for _ in range(100))) for k in range(5)]
-        assert {r[0] for r in simhash.one_of_each(docs(spark, rows)).select("doc_id").collect()} == {0, *range(100, 105)}
+        assert {r[0] for r in simhash.one_of_each(docs(spark, rows), group_rows=group_rows).select("doc_id").collect()} == {0, *range(100, 105)}
 
     def test_hub_of_a_component(self, spark):
         edges = spark.range(1, 5000).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
@@ -895,6 +894,19 @@ class TestContamination:
         assert contamination.find_leaks(awkward(spark), bench.limit(0)).count() == 0 and contamination.find_leaks(awkward(spark).limit(0), bench).count() == 0
 
 
+class TestHotJoin:
+    @pytest.mark.parametrize("how", ["inner", "left"])
+    def test_heavy_and_light_keys_together(self, spark, monkeypatch, how):
+        monkeypatch.setattr(common, "HOT", 4)
+        rows = spark.range(300).select(F.when(F.col("id") < 150, 0).otherwise(F.col("id") % 20).alias("k"), F.col("id").alias("x"))
+        counts = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("k <> 7").select("k", "n", (F.col("k") * 10).alias("v"), F.lit(None).cast("string").alias("w"))
+        got = common.hot_join(rows, counts, ["k"], "n", 300, how)
+        want = rows.join(counts.drop("n"), ["k"], how)
+        assert sorted(got.columns) == sorted(want.columns)
+        assert sorted(map(str, got.select("k", "x", "v", "w").collect())) == sorted(map(str, want.select("k", "x", "v", "w").collect()))
+        assert got.count() == (300 if how == "left" else rows.where("k <> 7").count())
+
+
 class TestComponents:
     @settings(max_examples=8, deadline=None)
     @given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), min_size=1, max_size=40))
