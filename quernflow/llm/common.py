@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 import quernflow
@@ -86,16 +88,39 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(target)
 
 
+def give_back() -> None:
+    """Return the freed memory of this process, of Arrow and of the C library, to the system."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, TypeError, AttributeError):  # not the GNU library
+        pass
+
+
+def frugal(function):
+    """The function of a task; a worker serves many tasks and stages, and else keeps the most that any of them took."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def in_arrow(df: DataFrame, function, schema) -> DataFrame:
     """``mapInArrow`` with this package on the executors."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(frugal(function), schema)
 
 
 def in_pandas(df: DataFrame, function, schema) -> DataFrame:
     """``mapInPandas`` with this package on the executors."""
     ship(df.sparkSession)
-    return df.mapInPandas(function, schema)
+    return df.mapInPandas(frugal(function), schema)
 
 
 def hot_join(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, total: int, how: str = "inner") -> DataFrame:

@@ -6,6 +6,7 @@ import dataclasses
 import functools
 import hashlib
 import math
+import os
 import random
 import re
 import struct
@@ -15,6 +16,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tokenizers
 import xxhash
@@ -928,3 +930,33 @@ class TestComponents:
     def test_a_long_path(self, spark):
         edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
         assert components.connected_components(edges).where("component <> 0").count() == 0
+
+
+class TestWorkers:
+    def test_a_task_leaves_no_freed_memory_with_its_worker(self, spark):
+        def memory():
+            with open("/proc/self/smaps_rollup") as f:
+                return sum(int(line.split()[1]) for line in f if line.startswith("Pss_Anon:")) / 1024
+
+        def report(pids, mb):
+            return pa.RecordBatch.from_arrays([pa.array(pids, pa.int64()), pa.array(mb, pa.float64())], ["pid", "mb"])
+
+        def large(batches):
+            for _ in batches:
+                before, taken = memory(), []
+                os._pins = []  # 24 MB that stay, strewn among 150 MB that do not
+                for _ in range(1500):
+                    taken.append(np.ones(12_800))
+                    os._pins.append(np.ones(2_000))
+                yield report([os.getpid()], [before])
+
+        def small(batches):
+            for _ in batches:
+                yield report([os.getpid()], [memory()])
+
+        rows = spark.range(8).repartition(8)
+        first = sorted(common.in_arrow(rows, large, "pid long, mb double").collect(), key=lambda r: -r["mb"])
+        before = {r["pid"]: r["mb"] for r in first}  # as each worker began
+        after = {r["pid"]: r["mb"] for r in common.in_arrow(rows, small, "pid long, mb double").collect()}
+        both = before.keys() & after.keys()
+        assert both and all(after[p] - before[p] < 75 for p in both)
